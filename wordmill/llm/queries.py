@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op3_jaccard
 from .language import op8_language
 from .media import op4_media
 from .quality import op2_quality
@@ -15,6 +16,7 @@ from .urls import op5_urls
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
+    "op3_jaccard": op3_jaccard,
     "op4_media": op4_media,
     "op5_urls": op5_urls,
     "op8_language": op8_language,
