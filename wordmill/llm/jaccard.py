@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_text, components, discard, materialize, shingle_sets, table
+from .common import arrow_text, components, discard, materialize, mix, shingle_sets, table
 
 SHINGLE = 5
 HOT_DF, FILTER_BITS = 48, 26
@@ -289,11 +289,9 @@ def _prefixes(shared):
                         continue
                     seen.add(digest)
                     length = n - -(-3 * n // 4) + 1
-                    if marks is not None:
-                        slot = (s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                        hot = (marks[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
-                        if hot.any():
-                            s = np.concatenate([s[~hot], s[hot]])
+                    hot = _marked(marks, (s >> np.uint64(64 - FILTER_BITS)).astype(np.int64))
+                    if hot.any():
+                        s = np.concatenate([s[~hot], s[hot]])
                     tokens.append(s[:length])
                     owners.append(np.full(length, key, np.int64))
                 if tokens:
@@ -330,22 +328,34 @@ def _ties(batches) -> Iterator:
 
 
 def _tiles(batches) -> Iterator:
-    """Joins each tile (rows sorted by cluster and tile): doc, label, probe, text -> links (a, b)."""
+    """Joins each tile (rows sorted by cluster and tile): each document with the smallest one that its links reach there."""
     import pyarrow as pa
 
+    names = ["a", "b", "tiles"]
+
     def join(rows):
         sets, keep = [], []
-        for key, label, probe, text in rows:
+        for key, label, probe, tiles, text in rows:
             raw = (text or "").encode()
             s = shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), SHINGLE)[0]
             if len(s):
                 sets.append(s)
-                keep.append((key, label, probe))
+                keep.append((key, label, probe, tiles))
         if len(sets) < 2:
             return []
         probes = [i for i, k in enumerate(keep) if k[2]]
         labels = np.array([k[1] for k in keep], np.int64)
-        return [(keep[a][0], keep[b][0]) for a, b in join_tile(sets, labels, probes if any(k[2] is not None for k in keep) else None)]
+        up: dict[int, int] = {}
+
+        def find(x):
+            while (t := up.get(x, x)) != x:
+                x = t
+            return x
+
+        for a, b in join_tile(sets, labels, probes if any(k[2] is not None for k in keep) else None):
+            a, b = find(keep[a][0]), find(keep[b][0])
+            up[max(a, b)] = min(a, b)
+        return [(x, find(x), keep[0][3]) for x in list(up) if find(x) != x]
 
     now, rows = None, []
     for batch in batches:
@@ -356,23 +366,80 @@ def _tiles(batches) -> Iterator:
                 now, rows = (cluster, tile), []
             rows.append(row)
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names)
     if found := join(rows):
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A packed filter of 2**FILTER_BITS bits with each id's place marked; its size is fixed whatever the ids are."""
+    width = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = 1 << FILTER_BITS - _BUCKET_BITS
+
+    def segments(batches):
+        import pyarrow as pa
+
+        marks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = _slots(batch.column(0).to_numpy(zero_copy_only=False))
+            for bucket in np.unique(at >> FILTER_BITS - _BUCKET_BITS).tolist():
+                part = at[at >> FILTER_BITS - _BUCKET_BITS == bucket] & slots - 1
+                marks.setdefault(bucket, np.zeros(slots, bool))[part] = True
+        if marks:
+            yield pa.RecordBatch.from_arrays([pa.array(list(marks), pa.int32()), pa.array([np.packbits(m).tobytes() for m in marks.values()], pa.binary())], ["bucket", "marks"])
+
+    def keyed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = _slots(batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((at >> FILTER_BITS - _BUCKET_BITS).astype(np.int32))], ["id", "bucket"])
+
+    dealt = ids.toDF("id").mapInArrow(keyed, "id bigint, bucket int").repartition(width, "bucket").select("id")
+    return _gathered(dealt.mapInArrow(segments, "bucket int, marks binary"))
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _marked(marks: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (marks[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _gathered(rows: DataFrame) -> np.ndarray:
+    """The segments (bucket, marks) of a filter as one array."""
+    out = np.zeros((1 << _BUCKET_BITS, 1 << FILTER_BITS - _BUCKET_BITS - 3), np.uint8)
+    found = rows.toArrow()
+    for bucket, bits in zip(found.column("bucket").to_pylist(), found.column("marks").to_pylist()):
+        out[bucket] |= np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def _passing(shared):
+    """Documents whose id is marked."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(_marked(shared.value, _slots(ids))))
+
+    return run
 
 
 # ------------------------------------------------------------------ the join
 
 
-def _with_text(docs: DataFrame, members: DataFrame) -> DataFrame:
-    return docs.join(members, docs["doc_id"] == members["doc"]).select("cluster", "tile", "doc", "label", "probe", "text")
+def _with_text(texts: DataFrame, members: DataFrame) -> DataFrame:
+    return texts.withColumnRenamed("doc", "__doc").join(members, F.col("__doc") == F.col("doc")).select("cluster", "tile", "doc", "label", "probe", "tiles", "text")
 
 
 def _joined(rows: DataFrame, name: str) -> DataFrame:
-    spark = rows.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(width, "cluster", "tile").sortWithinPartitions("cluster", "tile")
-    return materialize(dealt.mapInArrow(_tiles, "a bigint, b bigint"), name)
+    return materialize(dealt.mapInArrow(_tiles, "a bigint, b bigint, tiles bigint"), name)
 
 
 def _tiled(members: DataFrame) -> DataFrame:
@@ -389,11 +456,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     counted = docs.mapInArrow(_count_side, "bucket int, a binary, b binary").repartition(width, "bucket").mapInArrow(_count_merge, "bucket int, marks binary, doc_id bigint, n bigint, d1 bigint, d2 bigint")
     counted = materialize(counted, "jaccard-counts")
-    marks = np.zeros((1 << _BUCKET_BITS, 1 << FILTER_BITS - _BUCKET_BITS - 3), np.uint8)
-    found = counted.where("bucket is not null").select("bucket", "marks").toArrow()
-    for bucket, bits in zip(found.column("bucket").to_pylist(), found.column("marks").to_pylist()):
-        marks[bucket] = np.frombuffer(bits, np.uint8)
-    shared = spark.sparkContext.broadcast(marks.ravel() if found.num_rows else None)
+    shared = spark.sparkContext.broadcast(_gathered(counted.where("bucket is not null").select("bucket", "marks")))
     sizes = counted.where("bucket is null").select("doc_id", "n", "d1", "d2")
     classes = sizes.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     classed = sizes.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
@@ -407,18 +470,23 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     sized = of.where("d = rep").groupBy("rep").agg(F.max("n").alias("n"))
     members = materialize(_tiled(clusters.withColumnRenamed("comp", "cluster").join(sized, F.col("node") == F.col("rep")).select(F.col("node").alias("doc"), "cluster", "n")), "jaccard-members")
 
-    plain = members.select("doc", "cluster", "tile", F.col("doc").alias("label"), F.lit(None).cast("boolean").alias("probe"))
-    links = _joined(_with_text(docs, plain), "jaccard-links")
+    # texts of the clusters' documents only: by the fixed filter first, so that the rest isn't shuffled
+    inside = spark.sparkContext.broadcast(id_filter(members.select("doc")))
+    few = docs.where("doc_id is not null").mapInArrow(_passing(inside), "doc_id bigint, text string").withColumnRenamed("doc_id", "doc")
+    texts = materialize(few.join(members.select(F.col("doc").alias("__m")), F.col("doc") == F.col("__m"), "left_semi").dropDuplicates(["doc"]), "jaccard-texts")
+    plain = members.select("doc", "cluster", "tile", F.col("doc").alias("label"), F.lit(None).cast("boolean").alias("probe"), "tiles")
+    links = _joined(_with_text(texts, plain), "jaccard-links")
+    comps = links.where("tiles = 1").select(F.col("a").alias("node"), F.col("b").alias("comp"))
     large = members.where("tiles > 1")
     if large.limit(1).count():
-        links = _across_tiles(docs, large, links)
-    comps = components(links, "jaccard-final")
+        comps = comps.union(components(_across_tiles(texts, large, links.where("tiles > 1")), "jaccard-final"))
     out = classed.join(comps, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
 
-def _across_tiles(docs: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
+def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
     """Completes the links of clusters with several tiles."""
+    links = links.select("a", "b")
 
     def labelled(links: DataFrame) -> DataFrame:
         comps = components(links, "jaccard-part")
@@ -432,13 +500,14 @@ def _across_tiles(docs: DataFrame, large: DataFrame, links: DataFrame) -> DataFr
         heads = now.groupBy("cluster", "label").agg(F.count("*").alias("c"), F.min(F.struct("doc", "n")).alias("m")).where("c > 1")
         heads = materialize(_tiled(heads.select("cluster", "label", F.col("m.doc").alias("doc"), F.col("m.n").alias("n"))), "jaccard-heads")
         before, several = heads.count(), heads.where("tiles > 1").limit(1).count()
-        if before:
-            more = _joined(_with_text(docs, heads.select("doc", "cluster", "tile", "label", F.lit(None).cast("boolean").alias("probe"))), "jaccard-links")
+        merged = 0
+        if before > 1:
+            more = _joined(_with_text(texts, heads.select("doc", "cluster", "tile", "label", F.lit(None).cast("boolean").alias("probe"), "tiles")), "jaccard-links").select("a", "b")
             merged = more.limit(1).count()
-            links = links.union(more)
             if merged:
+                links = links.union(more)
                 now = labelled(links)
-        if not before or not merged or not several:
+        if not merged or not several:
             break
     counts = now.groupBy("cluster", "label").agg(F.count("*").alias("c"))
     largest = counts.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("all"))
@@ -449,8 +518,8 @@ def _across_tiles(docs: DataFrame, large: DataFrame, links: DataFrame) -> DataFr
     piece = F.pmod(F.xxhash64("doc", "pieces", F.lit("piece")), F.col("pieces")).cast("int")
     apart = open_.where("label <> top").withColumn("piece", piece).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     base = open_.withColumn("at", F.col("tile")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    both = [x.select("doc", "cluster", (F.col("at") * F.col("pieces") + F.col("piece")).cast("int").alias("tile"), "label", F.lit(p).alias("probe")) for x, p in ((apart, True), (base, False))]
-    return links.union(_joined(_with_text(docs, both[0].union(both[1])), "jaccard-links"))
+    both = [x.select("doc", "cluster", (F.col("at") * F.col("pieces") + F.col("piece")).cast("int").alias("tile"), "label", F.lit(p).alias("probe"), "tiles") for x, p in ((apart, True), (base, False))]
+    return links.union(_joined(_with_text(texts, both[0].union(both[1])), "jaccard-links").select("a", "b"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
