@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Word endings that decide between verb and noun, and the enclitics that are marked.
 VERB_ENDINGS = ("aa", "ää", "oi", "ui", "in", "en")
@@ -17,7 +18,7 @@ ENCLITICS = ("kin", "kaan", "pa", "pä")
 _EDGE = r"(?U)^\s+|\s+$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normal form C; Spark has no built-in for it. Texts that are in that form are returned as they are."""
     return text.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))

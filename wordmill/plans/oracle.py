@@ -6,8 +6,10 @@ from ..operators.review import Memory
 from ..sources.tables import CARDS, LABELS, LANGUAGES, LEXICON, PHRASES, USERS
 
 WS = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_PUNCT = r"[!-/:-@\[-`{-~]"
-_BARE = f"regexp_replace({{0}}, '^{_PUNCT}+|{_PUNCT}+$', '', 'g')"
+
+
+def _bare(column: str) -> str:
+    return f"regexp_replace({column}, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')"
 
 
 def _values(rows) -> str:
@@ -42,7 +44,7 @@ def _fold(m: Memory = Memory()) -> str:
     recall = f"pow(1 + {f!r} * days / s, {d!r})"
     return f"""seq AS (SELECT *, quality + 1 AS g, row_number() OVER (PARTITION BY card_id ORDER BY ts, event_id) AS nth FROM log),
 fold AS (
-  SELECT card_id, user_id, k, nth, ts, g, [{w[0]!r}, {w[1]!r}, {w[2]!r}, {w[3]!r}]::DOUBLE[][g]::DOUBLE AS s, least(greatest({w[4]!r}::DOUBLE - exp({w[5]!r}::DOUBLE * (g - 1)) + 1, 1), 10)::DOUBLE AS d, 0 AS lapses FROM seq WHERE nth = 1
+  SELECT card_id, user_id, k, nth, ts, g, list_extract([{w[0]!r}, {w[1]!r}, {w[2]!r}, {w[3]!r}], g)::DOUBLE AS s, least(greatest({w[4]!r}::DOUBLE - exp({w[5]!r}::DOUBLE * (g - 1)) + 1, 1), 10)::DOUBLE AS d, 0 AS lapses FROM seq WHERE nth = 1
   UNION ALL
   SELECT card_id, user_id, k, nth, ts, g,
     greatest(CASE WHEN days < 1 THEN s * exp({w[17]!r}::DOUBLE * (g - 3 + {w[18]!r}::DOUBLE)) * pow(s, -{w[19]!r}::DOUBLE)
@@ -63,7 +65,7 @@ KNOWN = STATES + ", known AS (SELECT user_id, k FROM (SELECT user_id, k FROM sta
 DUE = KNOWN + f", due AS (SELECT * FROM states ANTI JOIN ignored USING (user_id, k) WHERE next_due <= {NOW})"
 BOTH = WORDS.replace("cut AS", "cut AS", 1) + ", " + DECKS
 LEX = f"lexicon(form, lemma, pos, feats, gloss, weight) AS (VALUES {_values(LEXICON)}), labels(pos, feats, label) AS (VALUES {_values(LABELS)})"
-CANDIDATES = TOKENS + ", " + LEX + f", best AS (SELECT *, row_number() OVER (PARTITION BY form ORDER BY weight DESC, lemma, pos) AS nth, count(*) OVER (PARTITION BY form) AS many FROM lexicon), bare AS (SELECT *, lower({_BARE.format('form')}) AS w FROM tokens)"
+CANDIDATES = TOKENS + ", " + LEX + f", best AS (SELECT *, row_number() OVER (PARTITION BY form ORDER BY weight DESC, lemma, pos) AS nth, count(*) OVER (PARTITION BY form) AS many FROM lexicon), bare AS (SELECT *, lower({_bare('form')}) AS w FROM tokens)"
 ANALYSED = CANDIDATES + ", analysed AS (SELECT t.deck_id, t.sentence_ix, t.token_ix, coalesce(b.lemma, t.lemma) AS lemma, coalesce(b.pos, t.pos) AS pos, coalesce(b.feats, '') AS feats FROM bare t LEFT JOIN best b ON t.w = b.form AND b.nth = 1)"
 
 
@@ -72,10 +74,10 @@ def _phrases() -> str:
     rows = []
     for key, _, pattern in PHRASES:
         tests = [f"ws[i + {j}] = '{w}'" if w is not None else f"ws[i + {j}] IS NOT NULL" for j, w in enumerate(pattern)]
-        rows.append(f"SELECT deck_id, sentence_ix, CAST(i - 1 AS INT) AS start, {len(pattern)} AS size, CAST({key} AS BIGINT) AS mwe_id FROM at WHERE {' AND '.join(tests)}")
+        rows.append(f"SELECT deck_id, sentence_ix, CAST(i - 1 AS INT) AS start, {len(pattern)} AS size, CAST({key} AS BIGINT) AS mwe_id FROM spots WHERE {' AND '.join(tests)}")
     longest = "SELECT * FROM (" + " UNION ALL ".join(rows) + ") QUALIFY row_number() OVER (PARTITION BY deck_id, sentence_ix, start ORDER BY size DESC, mwe_id) = 1"
-    return f"""low AS (SELECT deck_id, sentence_ix, list_transform(ws, lambda x: lower({_BARE.format('x')})) AS ws FROM pieces),
-at AS (SELECT deck_id, sentence_ix, ws, unnest(range(1, len(ws) + 1)) AS i FROM low WHERE list_has_any(ws, ['leuka', 'of', 'in', 'de', 'is'])),
+    return f"""low AS (SELECT deck_id, sentence_ix, list_transform(ws, lambda x: lower({_bare('x')})) AS ws FROM pieces),
+spots AS (SELECT deck_id, sentence_ix, ws, unnest(range(1, len(ws) + 1)) AS i FROM low WHERE list_has_any(ws, ['leuka', 'of', 'in', 'de', 'is'])),
 hits AS ({longest}),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY deck_id, sentence_ix ORDER BY start) AS nth FROM hits),
 walk AS (SELECT deck_id, sentence_ix, nth, start, size, mwe_id, true AS taken, start + size AS stop FROM ordered WHERE nth = 1
@@ -108,7 +110,7 @@ _KEYS = "CASE WHEN k % 3 = 0 THEN CAST(k AS BIGINT) END AS mwe_id"
 _LANGS = ", ".join(f"'{x}'" for x in LANGUAGES)
 
 SQL: dict[str, str] = {
-    "s1_requests": "SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN NULL ELSE source END AS title, CASE WHEN doc_id % 50 = 7 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 50 = 7 THEN NULL ELSE CAST(length(text) AS INT) END AS chars, doc_id % 50 = 7 AS bad_json FROM documents",
+    "s1_requests": "SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN NULL ELSE source END AS title, CASE WHEN doc_id % 50 = 7 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 50 = 7 THEN -1 ELSE CAST(length(text) AS INT) END AS chars, doc_id % 50 = 7 AS bad_json FROM documents",
     "s5_user_lookup": f"WITH {_USERS} SELECT CAST(id AS BIGINT) AS id, email, true AS email_verified, 20 AS new_per_day FROM users WHERE email = 'user42@example.org'",
     "s6_get_or_create_users": f"WITH {_USERS}, {_EMAILS} SELECT CAST(id AS BIGINT) AS id, email, true AS email_verified, CAST(0.9 AS DOUBLE) AS retention FROM users UNION ALL SELECT 3 + row_number() OVER (ORDER BY email), email, true, 0.9 FROM emails ANTI JOIN users USING (email)",
     "s7_deck_insert": f"SELECT row_number() OVER (ORDER BY doc_id % 5, source, doc_id) AS deck_id, doc_id % 5 AS user_id, source AS title, doc_id FROM documents WHERE coalesce(source, '') <> '' AND lang IN ({_LANGS}) AND octet_length(encode(text)) <= 2097152 AND regexp_replace(text, '{WS}', '', 'g') <> ''",
@@ -123,7 +125,7 @@ SQL: dict[str, str] = {
     "t1_nfc": "SELECT doc_id AS deck_id, md5(nfc_normalize(text)) AS nfc_md5, length(nfc_normalize(text)) AS chars FROM documents",
     "t2_sentences": _with(SENTENCES, "SELECT deck_id, sentence_ix, text FROM sentences"),
     "t3_tokens": _with(TOKENS, "SELECT deck_id, sentence_ix, token_ix, form FROM tokens"),
-    "t4_t7_analysed_tokens": _with(TOKENS, "SELECT deck_id, sentence_ix, token_ix, form, lemma, pos, pos || ' (stub)' AS grammar_label, CAST(NULL AS BIGINT) AS mwe_id FROM tokens"),
+    "t4_t7_analysed_tokens": _with(TOKENS, "SELECT deck_id, sentence_ix, token_ix, form, lemma, pos, pos || ' (stub)' AS grammar_label FROM tokens"),
     "t5_pos_counts": _with(TOKENS, "SELECT lang, pos, count(*) AS n, count(DISTINCT lemma) AS lemmas FROM tokens GROUP BY ALL"),
     "t8_analysis": _with(
         TOKENS,
@@ -131,7 +133,7 @@ SQL: dict[str, str] = {
 SELECT d.doc_id AS deck_id, md5('{"sentences":[' || coalesce(string_agg(j, ',' ORDER BY sentence_ix), '') || ']}') AS json_md5, count(j) AS sentences FROM documents d LEFT JOIN js ON js.deck_id = d.doc_id GROUP BY d.doc_id""",
     ),
     "t10_sentence_texts": _with(TOKENS, "SELECT deck_id, sentence_ix, array_to_string(ws, ' ') AS text FROM pieces"),
-    "t11_enclitics": _with(TOKENS, f"SELECT lang, e AS enclitic, count(*) AS n FROM (SELECT lang, regexp_extract(lower({_BARE.format('form')}), '(kin|kaan|pa|pä)$', 1) AS e FROM tokens) WHERE e <> '' GROUP BY ALL"),
+    "t11_enclitics": _with(TOKENS, f"SELECT lang, e AS enclitic, count(*) AS n FROM (SELECT lang, regexp_extract(lower({_bare('form')}), '(kin|kaan|pa|pä)$', 1) AS e FROM tokens) WHERE e <> '' GROUP BY ALL"),
     "t12_candidates": _with(CANDIDATES, "SELECT lang, b.form IS NULL AS guessed, count(*) AS tokens, CAST(sum(coalesce(many, 1)) AS BIGINT) AS candidates FROM bare t LEFT JOIN best b ON t.w = b.form AND nth = 1 GROUP BY ALL"),
     "t13_best_analysis": _with(ANALYSED, "SELECT lemma, pos, feats, count(*) AS n FROM analysed GROUP BY ALL"),
     "t15_phrases": _with(TOKENS + ", " + _phrases(), "SELECT deck_id, sentence_ix, start, size, mwe_id FROM phrases"),
@@ -147,13 +149,13 @@ SELECT a, b, n_ab, n_a, n_b, round(log2(x * n / (p * q)), 6) AS pmi, round(2 * (
     "t19_generate": _with(
         TOKENS,
         f""", short AS (SELECT deck_id, sentence_ix, ws, unnest(range(1, len(ws) + 1)) AS i FROM pieces WHERE len(ws) <= 12)
-SELECT deck_id, sentence_ix, CAST(i - 1 AS INT) AS token_ix, 'be' AS lemma, 'Mood=Ind|Number=Sing|Person=3|Tense=Past' AS feats, array_to_string(list_concat(ws[:i - 1], [replace(lower(ws[i]), 'is', 'was')], ws[i + 1:]), ' ') AS generated FROM short WHERE lower({_BARE.format("ws[i]")}) = 'is'""",
+SELECT deck_id, sentence_ix, CAST(i - 1 AS INT) AS token_ix, 'be' AS lemma, 'Mood=Ind|Number=Sing|Person=3|Tense=Past' AS feats, array_to_string(list_concat(ws[:i - 1], [replace(lower(ws[i]), 'is', 'was')], ws[i + 1:]), ' ') AS generated FROM short WHERE lower({_bare("ws[i]")}) = 'is'""",
     ),
     "j1_deck_words": _with(OCCURRENCES + ", " + DECKS, "SELECT user_id, CAST(sum(n) AS BIGINT) AS tokens, count(DISTINCT (lemma, pos)) AS words FROM occurrences JOIN decks ON deck_id = id GROUP BY user_id"),
     "j2_not_ignored": _with(STATES, "SELECT user_id, count(*) AS cards FROM states ANTI JOIN ignored USING (user_id, k) GROUP BY user_id"),
     "j3_known_in_deck": _with(_DECK_NUMBERS, "SELECT deck_id, known FROM numbers WHERE known > 0"),
     "j4_gloss": _with(WORDS + ", " + LEX, "SELECT k, lemma, pos, gloss FROM card_words LEFT JOIN (SELECT lemma, pos, min(gloss) AS gloss FROM lexicon GROUP BY ALL) USING (lemma, pos)"),
-    "j6_null_safe_cards": _with(LOG + ", " + MARKS, f"SELECT user_id, lemma, pos, mwe_id FROM (SELECT DISTINCT user_id, 'w' || k AS lemma, 'NOUN' AS pos, {_KEYS} FROM log) c WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.user_id = c.user_id AND 'w' || m.k = c.lemma)"),
+    "j6_null_safe_cards": _with(LOG + ", " + MARKS, f"SELECT user_id, lemma, pos, coalesce(mwe_id, -1) AS mwe_id FROM (SELECT DISTINCT user_id, 'w' || k AS lemma, 'NOUN' AS pos, {_KEYS} FROM log) c WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.user_id = c.user_id AND 'w' || m.k = c.lemma)"),
     "j7_overlaps": _with(OCCURRENCES + ", " + DECKS, ", owned AS (SELECT user_id, deck_id, lemma, pos FROM occurrences JOIN decks ON deck_id = id), kept AS (SELECT *, count(*) OVER (PARTITION BY user_id, lemma, pos) AS d FROM owned) SELECT a.user_id, a.deck_id AS deck_a, b.deck_id AS deck_b, count(*) AS shared FROM kept a JOIN kept b ON a.user_id = b.user_id AND a.lemma = b.lemma AND a.pos = b.pos AND a.deck_id < b.deck_id WHERE a.d <= 200 GROUP BY ALL HAVING count(*) >= 20"),
     "a1_words_known": _with(KNOWN, "SELECT user_id, count(*) AS known FROM known GROUP BY user_id"),
     "a2_words_due": _with(DUE, "SELECT user_id, count(*) AS due FROM due GROUP BY user_id"),
@@ -168,7 +170,7 @@ SELECT deck_id, sentence_ix, CAST(i - 1 AS INT) AS token_ix, 'be' AS lemma, 'Moo
         WORDS + ", " + _phrases(),
         ", places AS (SELECT DISTINCT t.lemma, t.pos, t.deck_id, t.sentence_ix, p.deck_id IS NOT NULL AS m FROM tokens t JOIN card_words USING (lemma, pos) LEFT JOIN (SELECT DISTINCT deck_id, sentence_ix FROM phrases) p ON p.deck_id = t.deck_id AND p.sentence_ix = t.sentence_ix), best AS (SELECT lemma, pos, deck_id, sentence_ix, CAST(row_number() OVER (PARTITION BY lemma, pos ORDER BY CASE WHEN deck_id = 5 THEN 0 ELSE 1 END, CASE WHEN m THEN 0 ELSE 1 END, deck_id, sentence_ix) AS INT) AS rank FROM places) SELECT lemma, pos, rank, deck_id, sentence_ix, array_to_string(ws, ' ') AS text FROM best JOIN pieces USING (deck_id, sentence_ix) WHERE rank <= 3",
     ),
-    "w2_review_gaps": _with(LOG, "SELECT event_id, card_id, CAST(row_number() OVER w AS INT) AS nth, date_diff('day', lag(ts) OVER w::DATE, ts::DATE) AS days FROM log WINDOW w AS (PARTITION BY card_id ORDER BY ts, event_id)".replace("lag(ts) OVER w::DATE", "(lag(ts) OVER w)::DATE")),
+    "w2_review_gaps": _with(LOG, "SELECT event_id, card_id, CAST(row_number() OVER w AS INT) AS nth, coalesce(date_diff('day', lag(ts) OVER w::DATE, ts::DATE), -1) AS days FROM log WINDOW w AS (PARTITION BY card_id ORDER BY ts, event_id)".replace("lag(ts) OVER w::DATE", "(lag(ts) OVER w)::DATE")),
     "w3_new_under_cap": _with(STATES + ", " + _ALL_CARDS, "SELECT user_id, k, CAST(row_number() OVER (PARTITION BY user_id ORDER BY k) AS INT) AS nth FROM fresh QUALIFY nth <= 20"),
     "w6_user_ids": _with(_EMAILS, "SELECT row_number() OVER (ORDER BY email) AS id, email FROM emails"),
     "l1_recent_decks": _with(DECKS, "SELECT id, title, created_at FROM decks ORDER BY created_at DESC, id DESC LIMIT 25"),

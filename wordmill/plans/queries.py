@@ -74,7 +74,7 @@ def s1_requests(s, d):
     """Upload requests as JSON, parsed and checked."""
     bodies = T.table(s, d, "documents").select("doc_id", F.to_json(F.struct(F.col("source").alias("title"), "lang", "text")).alias("body"))
     parsed = parse_requests(bodies.withColumn("body", F.when(F.col("doc_id") % 50 == 7, F.lit("{not json")).otherwise(F.col("body"))))
-    return parsed.select("doc_id", "title", "lang", F.length("text").alias("chars"), "bad_json")
+    return parsed.select("doc_id", "title", "lang", F.coalesce(F.length("text"), F.lit(-1)).alias("chars"), "bad_json")
 
 
 @query
@@ -181,7 +181,7 @@ def t3_tokens(s, d):
 
 @query
 def t4_t7_analysed_tokens(s, d):
-    return _tokens(s, d).select("deck_id", "sentence_ix", "token_ix", "form", "lemma", "pos", "grammar_label", "mwe_id")
+    return _tokens(s, d).select("deck_id", "sentence_ix", "token_ix", "form", "lemma", "pos", "grammar_label")
 
 
 @query
@@ -294,7 +294,7 @@ def j6_null_safe_cards(s, d):
     """Cards once for each key, a null set phrase being equal to itself."""
     cards = _card_keys(s, d).distinct()
     marks = T.known_marks(s, d).select("user_id", F.concat(F.lit("w"), F.col("k").cast("string")).alias("lemma"), F.when(F.col("k") % 3 == 0, F.col("k").cast("bigint")).alias("mwe_id"))
-    return R.without(cards, marks, ("user_id", "lemma", "mwe_id"))
+    return R.without(cards, marks, ("user_id", "lemma", "mwe_id")).withColumn("mwe_id", F.coalesce("mwe_id", F.lit(-1).cast("bigint")))
 
 
 @query
@@ -383,7 +383,7 @@ def w1_examples(s, d):
 def w2_review_gaps(s, d):
     w = Window.partitionBy("card_id").orderBy("ts", "event_id")
     log = T.review_log(s, d)
-    return log.select("event_id", "card_id", F.row_number().over(w).alias("nth"), F.datediff("ts", F.lag("ts").over(w)).cast("bigint").alias("days"))
+    return log.select("event_id", "card_id", F.row_number().over(w).alias("nth"), F.coalesce(F.datediff("ts", F.lag("ts").over(w)).cast("bigint"), F.lit(-1).cast("bigint")).alias("days"))
 
 
 @query
