@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more stay; the network learns from `labels` outside the held-out fold."""
     model = train(docs, table(spark, sf_dir, "labels"))
     names = docs.columns
-    return with_scores(docs, model, names).where(F.col("score") >= 0.5).select(*names)
+    return with_scores(docs, model, names, "__score").where(F.col("__score") >= 0.5).select(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     return fit([t.encode() for t in got.column("text").to_pylist()], y, weight / weight.mean())
 
 
-def with_scores(docs: DataFrame, model: Network | float, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and `score`, in one narrow pass over whole texts."""
+def with_scores(docs: DataFrame, model: Network | float, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns `keep` of docs and the score, in one narrow pass over whole texts."""
     frame = docs.select(F.coalesce("text", F.lit("")).alias("__text"), *keep)
 
     def run(batches):
@@ -179,10 +179,10 @@ def with_scores(docs: DataFrame, model: Network | float, keep: list[str]) -> Dat
         for batch in batches:
             data, offsets = arrow_text(batch.column(0))
             score = model.scores(data, offsets) if isinstance(model, Network) else np.full(batch.num_rows, model)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], [*keep, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:])
-    return frame.mapInArrow(run, f"{schema}, score double")
+    return frame.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
