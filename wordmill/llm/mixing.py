@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 BLOCK, PERIOD, ALPHA = 16, 4096, 0.8
-SALT_ROWS = 20_000
+SALT_ROWS, SALTS = 4_000, 512
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -83,22 +83,22 @@ def plan(counts: dict[str, int], weights: dict[str, float] | None = None, block:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """All columns of docs and source_key, epoch, block, release, deadline, slot, position (unique, from 0).
+    """row (a document's columns as a struct), source_key, epoch, block, release, deadline, slot, position (unique, from 0).
 
     A source's documents are numbered in parts: by a salt of the hash, each part far smaller than a hot source, with the
     parts' sizes summed beforehand.
     """
     spark = docs.sparkSession
-    keyed = docs.withColumn("source_key", F.coalesce("source", F.lit("(null)"))).withColumn("__h", F.xxhash64("doc_id", F.lit(17)))
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("(null)")).alias("source_key"), F.xxhash64("doc_id", F.lit(17)).alias("__h"))
     counts = {r["source_key"]: r["n"] for r in keyed.groupBy("source_key").agg(F.count("*").alias("n")).collect()}
-    salts = 1 << (max([1, *counts.values()]) // SALT_ROWS).bit_length() + 5
+    salts = max(SALTS, 1 << (max([1, *counts.values()]) // SALT_ROWS).bit_length())
     keyed = keyed.withColumn("__salt", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(salts)).cast("int"))
     parts = keyed.groupBy("source_key", "__salt").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("source_key").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(F.col("source_key").alias("__s"), F.col("__salt").alias("__t"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     rows = [(s, c, need, counts[s], when) for s, c, need, when in plan(counts, weights, block, period)]
     entry = spark.createDataFrame(rows, "__s2 string, __c long, __need long, __all long, __when array<int>")
-    inside = Window.partitionBy("source_key", "__salt").orderBy("__h", "doc_id")
+    inside = Window.partitionBy("source_key", "__salt").orderBy("__h", "row.doc_id")
     ranked = keyed.withColumn("__r", F.row_number().over(inside) - 1)
     ranked = ranked.join(offsets, (F.col("source_key") == F.col("__s")) & (F.col("__salt") == F.col("__t"))).withColumn("__r", F.col("__r") + F.col("__before"))
     # one entry for each source, PERIOD slots in all: small whatever the data
@@ -115,17 +115,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         }
     )
     placed = placed.withColumn("position", F.col("slot") * block + F.col("__i") % block)
-    return placed.select(*docs.columns, "source_key", "epoch", "block", "release", "deadline", "slot", "position")
+    return placed.select("row", "source_key", "epoch", "block", "release", "deadline", "slot", "position")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents in the order of the mix (range-partitioned and sorted), with their own columns only."""
-    names = docs.columns
-    placed = mix(docs)
-    return placed.select(*names, "position").repartitionByRange("position").sortWithinPartitions("position").select(*names)
+    placed = mix(docs).select("row", "position")
+    return placed.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's places in the mix of all sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source_key").alias("source"), "epoch", "block", "release", "deadline", "slot", "position")
+    return mix(docs).select(F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("source_key").alias("source"), "epoch", "block", "release", "deadline", "slot", "position")
