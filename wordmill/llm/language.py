@@ -59,7 +59,8 @@ def _piece_hashes(pieces: list[bytes]) -> np.ndarray:
     out = np.zeros(len(pieces), np.uint64)
     for i, p in enumerate(pieces):
         raw = np.frombuffer(p, np.uint8)
-        out[i] = (_BYTE[raw] * _UP[: len(raw)]).sum(dtype=np.uint64) + _LENGTH[len(raw)]
+        out[i] = (_BYTE[raw] * _UP[: len(raw)]).sum(dtype=np.uint64)
+        out[i : i + 1] += _LENGTH[len(raw) : len(raw) + 1]
     return mix(out)
 
 
@@ -116,7 +117,7 @@ class Words:
                 h = mix((self.prefix[p, :n] - self.prefix[q, :n]) * _DOWN[q] + _LENGTH[p - q])
                 words, rows = pieces.find(h)
                 if len(words):
-                    yield p, q, words, rows
+                    yield p, q, words.astype(np.int32), rows.astype(np.int32)
 
     def forward(self, pieces: Pieces, prob: np.ndarray, keep: list | None = None) -> np.ndarray:
         """alpha: positions x words x languages."""
