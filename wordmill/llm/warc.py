@@ -1,8 +1,9 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Rows are range-sorted by page id (and payload digest); each partition writes records one after another as gzip members and
-starts a new file where one has reached ROLL compressed bytes. Headers and digests are regenerated from the payload, so
-equal input gives equal bytes. A file is written under a temporary name of its own and renamed when complete; tasks that
+Rows are range-sorted by page id (and payload digest) into shards; each shard's records are written one after another as
+gzip members, and a new file starts where one has reached ROLL compressed bytes. The shards' bounds come from a sample
+that a hash of the id picks, so they depend on the rows only, not on how they are partitioned. Headers and digests are
+regenerated from the payload: equal input gives equal files. A file is written under a temporary name of its own and renamed when complete; tasks that
 run again after a lost executor write the same bytes again. Readers only see files that the manifest lists, and the
 manifest (with byte range, size and digest of each stretch of records) is itself committed last, by rename.
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, table, work_path
 
-MIN_REVISIT, ROLL, LEVEL, STRETCH, SHARD = 1000, 32 << 20, 3, 4 << 20, 24 << 20
+MIN_REVISIT, ROLL, LEVEL, STRETCH, SHARD = 1000, 32 << 20, 3, 4 << 20, 16 << 20
+MOST_SHARDS, SAMPLED = 4096, 100
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed value: the profile of a revisit by digest in the WARC 1.1 standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -143,7 +145,7 @@ def _writer(root: str, roll: int, level: int):
 
         context = TaskContext.get()
         files, base = _open(root)
-        part, rows = context.partitionId(), []
+        part, rows = None, []
         state = {"sink": None, "nth": 0}
 
         def close(stretches):
@@ -156,7 +158,14 @@ def _writer(root: str, roll: int, level: int):
         stretches, now = [], None
         refers, key = None, None
         for batch in batches:
-            for page, digest, kind, refers_to, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, page, digest, kind, refers_to, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != part:
+                    if state["sink"] is not None:
+                        if now is not None:
+                            stretches.append((*now[:5], now[5].hexdigest()))
+                            now = None
+                        close(stretches)
+                    part, state["nth"] = shard, 0
                 if kind == 0:  # the decision stands before the rows of its page and digest
                     refers, key = refers_to, (page, digest)
                     continue
@@ -203,17 +212,40 @@ def revisits(pages: DataFrame) -> DataFrame:
     return large.join(heads, (F.col("digest") == F.col("__d")) & (F.col("size") == F.col("__s"))).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
+def shard_bounds(ids: DataFrame, size: int) -> tuple[list[int], int]:
+    """(first ids of the second and later shards, number of shards) for shards of about `size` payload bytes.
+
+    At most MOST_SHARDS; about SAMPLED ids for each shard come to the driver.
+    """
+    total = ids.agg(F.sum("size").alias("s"), F.count("*").alias("n")).first()
+    parts = max(1, min(MOST_SHARDS, -(-(total["s"] or 0) // size)))
+    if parts == 1:
+        return [], 1
+    share = min(1.0, SAMPLED * parts / total["n"])
+    some = ids.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)).select("page_id", "size").collect()
+    some = sorted((r["page_id"], r["size"]) for r in some)
+    step, done, bounds = sum(n for _, n in some) / parts, 0, []
+    for page, n in some:
+        if done >= step * (len(bounds) + 1) and (not bounds or page > bounds[-1]):
+            bounds.append(page)
+        done += n
+    return bounds[: parts - 1], parts
+
+
 def write_archive(pages: DataFrame, root: str, roll: int = ROLL, level: int = LEVEL, shard: int = SHARD) -> DataFrame:
     """Writes pages (page_id, url, html) under root and returns the manifest, read from its file."""
     spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
     base = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", html.alias("html"))
     ids = materialize(base.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").cast("bigint").alias("size")), "warc-ids")
-    total = ids.agg(F.sum("size").alias("s"), F.count("*").alias("n")).first()
     decided = revisits(ids).select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"))
     rows = base.select("page_id", F.sha1("html").alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("refers_to"), "url", "html")
-    parts = max(1, -(-(total["s"] or 0) // shard))
-    dealt = decided.union(rows).repartitionByRange(parts, "page_id", "digest").sortWithinPartitions("page_id", "digest", "kind")
+    bounds, parts = shard_bounds(ids, shard)
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b <= F.col("page_id")))
+    # rows without id are dealt by their digest, after all others
+    number = F.when(F.col("page_id").isNull(), parts + F.pmod(F.crc32(F.col("digest").cast("binary")), F.lit(parts))).otherwise(place).cast("int")
+    both = decided.union(rows).select(number.alias("shard"), "*")
+    dealt = both.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     written = dealt.mapInArrow(_writer(root, roll, level), MANIFEST)
     temporary = f"{root}/_manifest-tmp"
     written.write.parquet(temporary)
