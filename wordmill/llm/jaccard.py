@@ -3,13 +3,14 @@
 A document's set holds 64-bit hashes of its distinct 5-word shingles. All links with 100 * |x & y| >= 75 * |x | y| count;
 the result is each document's connected component. The way there is exact (up to equal 64-bit hashes):
 
-1. One pass counts every shingle's documents in hashed counters, dealt by ranges of the hash. Shingles of more than
-   HOT_DF documents are marked in a filter of 2**FILTER_BITS bits; that size is fixed, so it can go to every executor.
-   The same pass returns each document's size and 128-bit digest; equal sets are one class.
-2. A second pass emits the prefix of each set under the order (marked, hash): n - ceil(3n/4) + 1 shingles, of which two
-   linked sets always share one. Passages that many documents share are marked and stand last, so they don't bring
-   strangers together. The documents of a shingle are tied to the smallest of them; components of these ties are
-   *clusters*: every link lies inside one.
+1. One pass counts every shingle's documents in hashed counters, dealt by ranges of the hash. Shingles of two or more
+   documents are marked in a filter of 2**REPEATED_BITS bits, those of more than HOT_DF in one of 2**FILTER_BITS bits;
+   these sizes are fixed, so both can go to every executor. (A filter that fills up costs time, not links.) The same pass
+   returns each document's size and 128-bit digest; equal sets are one class.
+2. A second pass takes the prefix of each set under the order (marks, hash): n - ceil(3n/4) + 1 shingles, of which two
+   linked sets always share one. Unmarked shingles stand in one document only and needn't be sent: a text of its own that
+   shares a passage with others sends nothing. The documents of a shingle are tied to the smallest of them; components of
+   these ties are *clusters*: every link lies inside one.
 3. A cluster is cut into tiles of bounded size by a hash. Each tile is joined with itself by a signature tree: leaves are
    documents with token bitmaps, inner nodes hold the OR of their bitmaps, the range of sizes and the most collisions of a
    bitmap; the dual traversal keeps a pair of nodes only if the common bits allow the overlap that the smallest sizes
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import arrow_text, components, discard, materialize, mix, shingle_sets, table
 
 SHINGLE = 5
-HOT_DF, FILTER_BITS = 48, 26
+HOT_DF, FILTER_BITS, REPEATED_BITS = 48, 26, 28
 TILE_DOCS, TILE_SHINGLES = 512, 1 << 20
 FANOUT = 8
 _BUCKET_BITS = 8
@@ -245,37 +246,38 @@ def _count_merge(batches) -> Iterator:
 
     import pyarrow as pa
 
-    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["bucket", "marks", "doc_id", "n", "d1", "d2"]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["bucket", "marks", "hot", "doc_id", "n", "d1", "d2"]
     parts: dict[int, list] = {}
     for batch in batches:
         for bucket, a, b in zip(*(c.to_pylist() for c in batch.columns)):
             if bucket < 0:
                 ids, n, d1, d2 = pickle.loads(a)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), kinds[0]), pa.nulls(len(ids), kinds[1]), *(pa.array(x, pa.int64()) for x in (ids, n, d1, d2))], names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(ids), k) for k in kinds[:3]), *(pa.array(x, pa.int64()) for x in (ids, n, d1, d2))], names)
             else:
                 parts.setdefault(bucket, []).append((a, b))
-    slots = 1 << FILTER_BITS - _BUCKET_BITS
     for bucket, pieces in parts.items():
         token = np.concatenate([np.cumsum(_unpack(a, np.uint32), dtype=np.uint32) for a, _ in pieces])
         count = np.concatenate([_unpack(b, np.uint8) for _, b in pieces]).astype(np.int64)
         order = np.argsort(token, kind="stable")
         token, count = token[order], count[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        hot = token[first][np.add.reduceat(count, first) > HOT_DF]
-        if len(hot):
-            marks = np.zeros(slots, bool)
-            marks[(hot >> np.uint32(32 - FILTER_BITS)).astype(np.int64) & (slots - 1)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], kinds[0]), pa.array([np.packbits(marks).tobytes()], kinds[1]), *(pa.nulls(1, pa.int64()) for _ in range(4))], names)
+        total = np.add.reduceat(count, first)
+        filters = []
+        for bits, least in ((REPEATED_BITS, 2), (FILTER_BITS, HOT_DF + 1)):
+            marks = np.zeros(1 << bits - _BUCKET_BITS, bool)
+            marks[(token[first][total >= least] >> np.uint32(32 - bits)).astype(np.int64) & len(marks) - 1] = True
+            filters.append(np.packbits(marks).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], kinds[0]), *(pa.array([f], pa.binary()) for f in filters), *(pa.nulls(1, pa.int64()) for _ in range(4))], names)
 
 
 def _prefixes(shared):
-    """Map side: (shingle, doc) for the prefix of each set; copies inside the task are left to the classes."""
+    """Map side: (shingle, doc) for the marked part of each set's prefix; copies inside the task are left to the classes."""
 
     def run(batches):
         import pyarrow as pa
 
-        marks = shared.value
+        repeated, hot = shared.value
         seen: set[bytes] = set()
         for batch in batches:
             data, offsets = arrow_text(batch.column(1))
@@ -284,16 +286,19 @@ def _prefixes(shared):
                 tokens, owners = [], []
                 for key, s in zip(ids[at : at + 512], shingle_sets(data, offsets[at : at + 513], SHINGLE)):
                     n = len(s)
+                    marked = s[_marked(repeated, (s >> np.uint64(64 - REPEATED_BITS)).astype(np.int64))]
+                    length = n - -(-3 * n // 4) + 1 - (n - len(marked))
+                    if length <= 0 or not n:
+                        continue
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    if not n or digest in seen:
+                    if digest in seen:
                         continue
                     seen.add(digest)
-                    length = n - -(-3 * n // 4) + 1
-                    hot = _marked(marks, (s >> np.uint64(64 - FILTER_BITS)).astype(np.int64))
-                    if hot.any():
-                        s = np.concatenate([s[~hot], s[hot]])
-                    tokens.append(s[:length])
-                    owners.append(np.full(length, key, np.int64))
+                    late = _marked(hot, (marked >> np.uint64(64 - FILTER_BITS)).astype(np.int64))
+                    if late.any():
+                        marked = np.concatenate([marked[~late], marked[late]])
+                    tokens.append(marked[:length])
+                    owners.append(np.full(len(tokens[-1]), key, np.int64))
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))], ["token", "doc"])
 
@@ -407,9 +412,9 @@ def _marked(marks: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (marks[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _gathered(rows: DataFrame) -> np.ndarray:
+def _gathered(rows: DataFrame, filter_bits: int = FILTER_BITS) -> np.ndarray:
     """The segments (bucket, marks) of a filter as one array."""
-    out = np.zeros((1 << _BUCKET_BITS, 1 << FILTER_BITS - _BUCKET_BITS - 3), np.uint8)
+    out = np.zeros((1 << _BUCKET_BITS, 1 << filter_bits - _BUCKET_BITS - 3), np.uint8)
     found = rows.toArrow()
     for bucket, bits in zip(found.column("bucket").to_pylist(), found.column("marks").to_pylist()):
         out[bucket] |= np.frombuffer(bits, np.uint8)
@@ -454,9 +459,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
-    counted = docs.mapInArrow(_count_side, "bucket int, a binary, b binary").repartition(width, "bucket").mapInArrow(_count_merge, "bucket int, marks binary, doc_id bigint, n bigint, d1 bigint, d2 bigint")
+    counted = docs.mapInArrow(_count_side, "bucket int, a binary, b binary").repartition(width, "bucket").mapInArrow(_count_merge, "bucket int, marks binary, hot binary, doc_id bigint, n bigint, d1 bigint, d2 bigint")
     counted = materialize(counted, "jaccard-counts")
-    shared = spark.sparkContext.broadcast(_gathered(counted.where("bucket is not null").select("bucket", "marks")))
+    segments = counted.where("bucket is not null")
+    shared = spark.sparkContext.broadcast((_gathered(segments.select("bucket", "marks"), REPEATED_BITS), _gathered(segments.select("bucket", F.col("hot").alias("marks")))))
     sizes = counted.where("bucket is null").select("doc_id", "n", "d1", "d2")
     classes = sizes.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     classed = sizes.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
