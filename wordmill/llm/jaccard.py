@@ -16,9 +16,10 @@ the result is each document's connected component. The way there is exact (up to
    bitmap; the dual traversal keeps a pair of nodes only if the common bits allow the overlap that the smallest sizes
    need. Surviving pairs are compared exactly, and a pair that is already connected is skipped: a group of copies costs
    about one comparison a document.
-4. Clusters of several tiles: representatives of the tiles' components are joined in further rounds; then every document
-   outside its cluster's largest component meets all the tiles (again by tree) unless it is connected already. No pair
-   of documents in different components is left out.
+4. Clusters of several tiles: representatives of the tiles' components are joined in further rounds. Then pairs of
+   different components that share a prefix shingle of at most HOT_DF documents are compared; documents that share a
+   hotter one are cut into tiles again, and every document outside its cluster's largest component meets all of them (by
+   tree). No pair of documents in different components is left out.
 
 Defined results: null text, empty text and text of white space have an empty set, size 0 and their own id as component;
 equal sets are linked; repeated rows of one id count as one document and give a row each; a null id gets a null
@@ -376,6 +377,37 @@ def _tiles(batches) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names)
 
 
+def _mixed(batches) -> Iterator:
+    """Reduce side, rows (token, doc, label, n): pairs of different components that share a shingle and could link by size.
+
+    A shingle of more than HOT_DF documents gives its documents alone (b is null).
+    """
+    import pyarrow as pa
+
+    columns = [np.concatenate(c) for c in zip(*([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for batch in batches))]
+    if not columns:
+        return
+    order = np.argsort(columns[0], kind="stable")
+    token, doc, label, n = (c[order] for c in columns)
+    cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    ends = np.append(cuts[1:], len(token))
+    mixed = np.minimum.reduceat(label, cuts) != np.maximum.reduceat(label, cuts)
+    pairs: set[tuple[int, int]] = set()
+    hot: set[int] = set()
+    for a, b in zip(cuts[mixed].tolist(), ends[mixed].tolist()):
+        if b - a > HOT_DF:
+            hot.update(doc[a:b].tolist())
+            continue
+        i, j = np.triu_indices(b - a, 1)
+        i, j = i + a, j + a
+        good = (label[i] != label[j]) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
+        i, j = doc[i[good]], doc[j[good]]
+        pairs.update(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
+    rows = [*pairs, *((x, None) for x in hot)]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b"])
+
+
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A packed filter of 2**FILTER_BITS bits with each id's place marked; its size is fixed whatever the ids are."""
     width = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -485,12 +517,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     comps = links.where("tiles = 1").select(F.col("a").alias("node"), F.col("b").alias("comp"))
     large = members.where("tiles > 1")
     if large.limit(1).count():
-        comps = comps.union(components(_across_tiles(texts, large, links.where("tiles > 1")), "jaccard-final"))
+        comps = comps.union(components(_across_tiles(texts, large, links.where("tiles > 1"), shared), "jaccard-final"))
     out = classed.join(comps, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
 
-def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
+def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, shared) -> DataFrame:
     """Completes the links of clusters with several tiles."""
     links = links.select("a", "b")
 
@@ -515,12 +547,28 @@ def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame) -> DataF
                 now = labelled(links)
         if not merged or not several:
             break
-    counts = now.groupBy("cluster", "label").agg(F.count("*").alias("c"))
+    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = texts.join(now.select(F.col("doc").alias("__d")), F.col("doc") == F.col("__d"), "left_semi")
+    labels = now.select(F.col("doc").alias("__d"), "label", "n")
+    posts = inside.mapInArrow(_prefixes(shared), "token bigint, doc bigint").join(labels, F.col("doc") == F.col("__d")).select("token", "doc", "label", "n")
+    found = materialize(posts.repartition(width, "token").mapInArrow(_mixed, "a bigint, b bigint").distinct(), "jaccard-mixed")
+    pairs = found.where("b is not null")
+    if pairs.limit(1).count():
+        of = now.select(F.col("doc").alias("__d"), "label")
+        ones = pairs.select("a").distinct().select(F.col("a").alias("cluster"), F.col("a").alias("doc"), F.lit(True).alias("probe"))
+        rows = ones.union(pairs.select("a", "b", F.lit(False))).join(of, F.col("doc") == F.col("__d"))
+        more = _joined(_with_text(texts, rows.select("doc", "cluster", F.lit(0).alias("tile"), "label", "probe", F.lit(2).alias("tiles"))), "jaccard-links").select("a", "b")
+        if more.limit(1).count():
+            links = links.union(more)
+            now = labelled(links)
+    dense = now.join(found.where("b is null").select(F.col("a").alias("__d")), F.col("doc") == F.col("__d"), "left_semi")
+    dense = materialize(_tiled(dense.select("doc", "cluster", "n", "label")), "jaccard-dense")
+    counts = dense.groupBy("cluster", "label").agg(F.count("*").alias("c"))
     largest = counts.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("all"))
     pieces = F.ceil((F.col("all") - F.col("m.c")) / TILE_DOCS).cast("int")
     several = largest.where("parts > 1").select("cluster", F.col("m.label").alias("top"), pieces.alias("pieces"))
     # each document apart meets every tile of its cluster: groups of one tile and one piece of those apart
-    open_ = now.join(several, "cluster")
+    open_ = dense.join(several, "cluster")
     piece = F.pmod(F.xxhash64("doc", "pieces", F.lit("piece")), F.col("pieces")).cast("int")
     apart = open_.where("label <> top").withColumn("piece", piece).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     base = open_.withColumn("at", F.col("tile")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
