@@ -86,6 +86,20 @@ def label(analysed: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumn("label", F.coalesce("__l", X.grammar_label(F.col("pos")))).drop("__p", "__f", "__l")
 
 
+def compounds(words: DataFrame, lexicon: DataFrame, least: int = 2) -> DataFrame:
+    """word, components, lemma: words made of two known forms; the headword is the second one's best lemma.
+
+    words: word (distinct, bare, lower case). Of several cuts the one with the longest first part holds.
+    """
+    heads = lexicon.groupBy("form").agg(F.min_by("lemma", F.struct((-F.col("weight")).alias("w"), "lemma")).alias("lemma"))
+    places = F.sequence(F.lit(least), F.length("word") - least)
+    cut = words.where(F.length("word") >= 2 * least).select("word", F.explode(places).alias("at"))
+    cut = cut.select("word", "at", F.expr("left(word, at)").alias("first"), F.expr("substring(word, at + 1)").alias("second"))
+    known = cut.join(heads.select(F.col("form").alias("first")), "first", "left_semi").join(heads.select(F.col("form").alias("second"), "lemma"), "second")
+    best = known.groupBy("word").agg(F.max_by(F.struct("first", "second", "lemma"), "at").alias("b"))
+    return best.select("word", F.array("b.first", "b.second").alias("components"), F.col("b.lemma").alias("lemma"))
+
+
 def inflect(wanted: DataFrame, lexicon: DataFrame) -> DataFrame:
     """wanted (lemma, pos, feats) with `form`: the heaviest entry of that analysis, null if there is none."""
     best = lexicon.groupBy("lemma", "pos", "feats").agg(F.max_by("form", F.struct("weight", "form")).alias("form"))

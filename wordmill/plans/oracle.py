@@ -136,6 +136,11 @@ SELECT d.doc_id AS deck_id, md5('{"sentences":[' || coalesce(string_agg(j, ',' O
     "t11_enclitics": _with(TOKENS, f"SELECT lang, e AS enclitic, count(*) AS n FROM (SELECT lang, regexp_extract(lower({_bare('form')}), '(kin|kaan|pa|pä)$', 1) AS e FROM tokens) WHERE e <> '' GROUP BY ALL"),
     "t12_candidates": _with(CANDIDATES, "SELECT lang, b.form IS NULL AS guessed, count(*) AS tokens, CAST(sum(coalesce(many, 1)) AS BIGINT) AS candidates FROM bare t LEFT JOIN best b ON t.w = b.form AND nth = 1 GROUP BY ALL"),
     "t13_best_analysis": _with(ANALYSED, "SELECT lemma, pos, feats, count(*) AS n FROM analysed GROUP BY ALL"),
+    "t14_compounds": _with(
+        CANDIDATES,
+        """, counted AS (SELECT w AS word, count(*) AS n FROM bare GROUP BY w), cuts AS (SELECT word, n, unnest(range(2, length(word) - 1)) AS i FROM counted),
+split AS (SELECT word, n, i, left(word, i) AS a, substring(word, i + 1) AS b FROM cuts) SELECT word, a || '+' || b AS components, h.lemma, n FROM split JOIN (SELECT form, lemma FROM best WHERE nth = 1) h ON h.form = b WHERE a IN (SELECT form FROM lexicon) QUALIFY row_number() OVER (PARTITION BY word ORDER BY i DESC) = 1""",
+    ),
     "t15_phrases": _with(TOKENS + ", " + _phrases(), "SELECT deck_id, sentence_ix, start, size, mwe_id FROM phrases"),
     "t16_associations": _with(
         TOKENS,
@@ -156,7 +161,7 @@ SELECT deck_id, sentence_ix, CAST(i - 1 AS INT) AS token_ix, 'be' AS lemma, 'Moo
     "j3_known_in_deck": _with(_DECK_NUMBERS, "SELECT deck_id, known FROM numbers WHERE known > 0"),
     "j4_gloss": _with(WORDS + ", " + LEX, "SELECT k, lemma, pos, gloss FROM card_words LEFT JOIN (SELECT lemma, pos, min(gloss) AS gloss FROM lexicon GROUP BY ALL) USING (lemma, pos)"),
     "j6_null_safe_cards": _with(LOG + ", " + MARKS, f"SELECT user_id, lemma, pos, coalesce(mwe_id, -1) AS mwe_id FROM (SELECT DISTINCT user_id, 'w' || k AS lemma, 'NOUN' AS pos, {_KEYS} FROM log) c WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.user_id = c.user_id AND 'w' || m.k = c.lemma)"),
-    "j7_overlaps": _with(OCCURRENCES + ", " + DECKS, ", owned AS (SELECT user_id, deck_id, lemma, pos FROM occurrences JOIN decks ON deck_id = id), kept AS (SELECT *, count(*) OVER (PARTITION BY user_id, lemma, pos) AS d FROM owned) SELECT a.user_id, a.deck_id AS deck_a, b.deck_id AS deck_b, count(*) AS shared FROM kept a JOIN kept b ON a.user_id = b.user_id AND a.lemma = b.lemma AND a.pos = b.pos AND a.deck_id < b.deck_id WHERE a.d <= 200 GROUP BY ALL HAVING count(*) >= 20"),
+    "j7_overlaps": _with(OCCURRENCES + ", " + DECKS, ", owned AS (SELECT user_id, deck_id, lemma, pos FROM occurrences JOIN decks ON deck_id = id), kept AS (SELECT *, count(*) OVER (PARTITION BY user_id, lemma, pos) AS d FROM owned) SELECT a.user_id, a.deck_id AS deck_a, b.deck_id AS deck_b, count(*) AS shared FROM kept a JOIN kept b ON a.user_id = b.user_id AND a.lemma = b.lemma AND a.pos = b.pos AND a.deck_id < b.deck_id WHERE a.d <= 20 GROUP BY ALL HAVING count(*) >= 20"),
     "a1_words_known": _with(KNOWN, "SELECT user_id, count(*) AS known FROM known GROUP BY user_id"),
     "a2_words_due": _with(DUE, "SELECT user_id, count(*) AS due FROM due GROUP BY user_id"),
     "a3_new_capacity": _with(STATES + ", " + _ALL_CARDS + ", " + _capacity("2024-01-05"), "SELECT user_id, learned_today, capacity, coalesce(b, 0) AS backlog FROM capacity LEFT JOIN (SELECT user_id, count(*) AS b FROM fresh GROUP BY user_id) USING (user_id)"),

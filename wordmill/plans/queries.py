@@ -226,6 +226,14 @@ def t13_viterbi(s, d):
     return path.groupBy("lemma", "pos").agg(F.count("*").alias("n"))
 
 
+@query
+def t14_compounds(s, d):
+    """Words that are two known forms, with how often they stand in the texts."""
+    counted = _tokens(s, d).groupBy(F.lower(X.bare(F.col("form"))).alias("word")).agg(F.count("*").alias("n"))
+    found = V.compounds(counted.select("word"), T.lexicon(s))
+    return counted.join(found, "word").select("word", F.array_join("components", "+").alias("components"), "lemma", "n")
+
+
 @query
 def t15_phrases(s, d):
     return V.phrase_matches(_bare_sentences(s, d), T.PHRASES)
