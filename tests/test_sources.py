@@ -36,6 +36,6 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r["card_id"]: (round(r["stability"], 6), r["reps"]) for r in latest_states(spark.read.parquet(str(tmp_path / "state"))).collect()}
     want = {r["card_id"]: (round(r["stability"], 6), r["reps"]) for r in card_states(log.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).collect()}
     assert got == want
-    q = daily_counts(answers(stream)).writeStream.format("memory").queryName("daily").outputMode("append").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    q = daily_counts(answers(stream), None).writeStream.format("memory").queryName("daily").outputMode("append").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("daily").agg(F.sum("n")).first()[0] > 0

@@ -67,7 +67,7 @@ def card_states(log: DataFrame, memory: Memory = Memory()) -> DataFrame:
     """
     answer = F.struct("ts", "event_id", (F.col("quality") + 1).alias("g"))
     rows = log.groupBy("card_id", "user_id").agg(F.array_sort(F.collect_list(answer)).alias("__log"))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("d"), F.lit(0).alias("reps"), F.lit(0).alias("lapses"), F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(0).alias("g"))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("d"), F.lit(0).alias("reps"), F.lit(0).alias("lapses"), F.lit(None).cast(log.schema["ts"].dataType).alias("at"), F.lit(0).alias("g"))
 
     def merge(acc: Column, x: Column) -> Column:
         first = acc["reps"] == 0

@@ -15,7 +15,7 @@ def read_texts(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> Da
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = files.where(F.lower("path").rlike(r"\.(txt|md)$") & (F.col("length") <= max_bytes))
     title = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return small.select("path", title.alias("title"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return small.select("path", title.alias("title"), F.decode("content", "UTF-8").alias("text"))
 
 
 def parse_requests(raw: DataFrame, column: str = "body") -> DataFrame:

@@ -14,9 +14,9 @@ def answers(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def daily_counts(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """day, user_id, n, lapses: tumbling windows of a day."""
-    kept = stream.withWatermark("ts", delay)
+def daily_counts(stream: DataFrame, delay: str | None = "1 day") -> DataFrame:
+    """day, user_id, n, lapses: tumbling windows of a day. delay None: the stream has its watermark already."""
+    kept = stream.withWatermark("ts", delay) if delay else stream
     grouped = kept.groupBy(F.window("ts", "1 day"), "user_id").agg(F.count("*").alias("n"), F.sum((F.col("quality") == 0).cast("int")).alias("lapses"))
     return grouped.select(F.col("window.start").alias("day"), "user_id", "n", "lapses")
 
