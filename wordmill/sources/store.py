@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,13 @@ def append(spark: SparkSession, database: str, name: str, rows: DataFrame) -> No
 def numbered(rows: DataFrame, order: list[str], first: int = 1, parts: int = 64, name: str = "id") -> DataFrame:
     """Consecutive ids in the order of columns, from `first`, without one task that sorts all rows.
 
-    Rows are range-partitioned by the order's columns; the partitions' sizes give each its first id.
+    Rows are range-partitioned by the order's columns; the partitions' sizes give each its first id. The partitions are
+    kept by a checkpoint, as a range's bounds come from a sample that differs when it is taken again.
     """
-    dealt = rows.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # on a cluster spark.checkpoint.dir sets it
+        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wordmill-"))
+    dealt = rows.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()).checkpoint()
     sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("__p").alias("__q"), (F.coalesce(F.sum("__n").over(before), F.lit(0)) + first).alias("__first"))
