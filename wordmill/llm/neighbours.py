@@ -28,7 +28,7 @@ from .common import discard, materialize, table
 
 TOP, NEIGHBOURS, DESCENT, STARTS = 10, 24, 3, 2
 BLOCK = 256
-BEAM, EXPAND, ROUNDS, ENTRIES = 640, 160, 8, 32
+BEAM, EXPAND, ROUNDS, ENTRIES = 640, 320, 5, 32
 
 
 def _numbers(column) -> np.ndarray:
@@ -244,6 +244,7 @@ def build_graph(points: DataFrame, count: int, size: int, k: int = NEIGHBOURS, r
 # ------------------------------------------------------------------ search
 
 _STATE = "q bigint, ids array<bigint>, dist array<float>, done array<boolean>"
+_MARKED = _STATE + ", go array<bigint>"
 
 
 def search(points: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND, rounds: int = ROUNDS) -> DataFrame:
@@ -291,10 +292,14 @@ def search(points: DataFrame, graph: DataFrame, queries: DataFrame, beam: int =
             keep = np.concatenate([[True], ids[1:] != ids[:-1]]) & (ids != q)
             ids, d, done = ids[keep], d[keep], done[keep]
             order = np.lexsort((ids, d))[:beam]
-            rows.append((q, ids[order], d[order], done[order]))
+            ids, d, done = ids[order], d[order], done[order].astype(bool)
+            front = np.flatnonzero(~done)[:expand]
+            done[front] = True
+            rows.append((q, ids, d, done, ids[front]))
         if rows:
-            ends = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])])
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(_lists(np.concatenate([r[i] for r in rows]), ends, t) for i, t in ((1, pa.int64()), (2, pa.float32()), (3, pa.bool_())))], ["q", "ids", "dist", "done"])
+            kinds = (pa.int64(), pa.float32(), pa.bool_(), pa.int64())
+            lists = [_lists(np.concatenate([r[i] for r in rows]), np.concatenate([[0], np.cumsum([len(r[i]) for r in rows])]), t) for i, t in enumerate(kinds, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *lists], ["q", "ids", "dist", "done", "go"])
 
     for number in range(rounds + 1):
         asked = wanted.where("q <> v").distinct().join(points, F.col("v") == F.col("u")).select("q", "v", "x")
@@ -302,22 +307,12 @@ def search(points: DataFrame, graph: DataFrame, queries: DataFrame, beam: int =
         far = F.lit(float("inf")).cast("float") if state is None else F.coalesce("far", F.lit(float("inf")).cast("float"))
         limits = limits.select(F.col("q").alias("__p"), "y", far.alias("far"))
         measured = asked.join(limits, F.col("q") == F.col("__p")).select("q", "v", "x", "y", "far").mapInArrow(measure, _STATE)
-        together = measured if state is None else measured.union(state)
-        new = materialize(together.repartition(width, "q").mapInArrow(merge, _STATE), "nn-state")
+        together = measured if state is None else measured.union(state.select("q", "ids", "dist", "done"))
+        new = materialize(together.repartition(width, "q").mapInArrow(merge, _MARKED), "nn-state")
         discard(state)
         state = new
-        if number == rounds:
-            break
-        # the next members to expand, and the state in which they count as expanded
-        open_ = F.filter(F.arrays_zip("ids", "done"), lambda e: ~e["done"])
-        nxt = state.select("q", F.transform(F.slice(open_, 1, expand), lambda e: e["ids"]).alias("go"))
-        moved = state.join(nxt.withColumnRenamed("q", "__q"), F.col("q") == F.col("__q"))
-        go = materialize(moved.select("q", "ids", "dist", F.transform("ids", lambda v, i: F.element_at("done", i + 1) | F.array_contains("go", v)).alias("done"), "go"), "nn-state")
-        discard(state)
-        state = go.select("q", "ids", "dist", "done")
-        state.work_path = go.work_path
-        front = go.select("q", F.explode("go").alias("v"))
-        if not front.limit(1).count():
+        front = state.select("q", F.explode("go").alias("v"))
+        if number == rounds or not front.limit(1).count():
             break
         wanted = front.join(around, F.col("v") == F.col("dst")).select("q", F.explode("near").alias("v"))
     return state.select("q", "ids", "dist")
