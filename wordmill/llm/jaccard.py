@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_text, components, discard, materialize, mix, shingle_sets, table
+from .common import _forest, arrow_text, components, discard, materialize, mix, shingle_sets, table
 
 SHINGLE = 5
 HOT_DF, FILTER_BITS, REPEATED_BITS = 48, 26, 28
@@ -307,7 +307,7 @@ def _prefixes(shared):
 
 
 def _ties(batches) -> Iterator:
-    """Reduce side: each document of a shingle is tied to the smallest one; every tie once for a task."""
+    """Reduce side: the documents of a shingle are tied; a task's ties become trees, one row (root, other documents) each."""
     import pyarrow as pa
 
     tokens, docs = [], []
@@ -329,8 +329,24 @@ def _ties(batches) -> Iterator:
     at = np.flatnonzero(first)
     hub = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(doc))))
     ties = np.unique(np.stack([hub, doc], 1)[hub != doc], axis=0)
-    if len(ties):
-        yield pa.RecordBatch.from_arrays([pa.array(ties[:, 0].copy()), pa.array(ties[:, 1].copy())], ["a", "b"])
+    for stars in _forest([pa.RecordBatch.from_arrays([pa.array(ties[:, 0].copy()), pa.array(ties[:, 1].copy())], ["a", "b"])]):
+        node, root = stars.column(0).to_numpy(), stars.column(1).to_numpy()
+        order = np.argsort(root, kind="stable")
+        node, root = node[order], root[order]
+        cuts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(root[cuts]), pa.ListArray.from_arrays(pa.array(np.append(cuts, len(root)).astype(np.int32)), pa.array(node))], ["a", "b"])
+
+
+def _unpacked(batches) -> Iterator:
+    """Trees (root, other nodes) of several tasks as one forest of edges."""
+    import pyarrow as pa
+
+    def edges():
+        for batch in batches:
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), batch.column(1).flatten()], ["a", "b"])
+
+    yield from _forest(edges())
 
 
 def _tiles(batches) -> Iterator:
@@ -501,7 +517,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     classed = materialize(classed, "jaccard-classes")
 
     prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(shared), "token bigint, doc bigint")
-    ties = materialize(prefixes.repartition(width, "token").mapInArrow(_ties, "a bigint, b bigint"), "jaccard-ties")
+    trees = materialize(prefixes.repartition(width, "token").mapInArrow(_ties, "a bigint, b array<bigint>"), "jaccard-ties")
+    ties = trees.mapInArrow(_unpacked, "a bigint, b bigint")
     of = classed.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("d"), "rep", "n").distinct()
     edges = ties.distinct().join(of.select(F.col("d").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("d").alias("b"), F.col("rep").alias("rb")), "b")
     clusters = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b"), "jaccard-cc")
