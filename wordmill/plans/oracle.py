@@ -162,6 +162,7 @@ SELECT deck_id, sentence_ix, CAST(i - 1 AS INT) AS token_ix, 'be' AS lemma, 'Moo
     "j4_gloss": _with(WORDS + ", " + LEX, "SELECT k, lemma, pos, gloss FROM card_words LEFT JOIN (SELECT lemma, pos, min(gloss) AS gloss FROM lexicon GROUP BY ALL) USING (lemma, pos)"),
     "j6_null_safe_cards": _with(LOG + ", " + MARKS, f"SELECT user_id, lemma, pos, coalesce(mwe_id, -1) AS mwe_id FROM (SELECT DISTINCT user_id, 'w' || k AS lemma, 'NOUN' AS pos, {_KEYS} FROM log) c WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.user_id = c.user_id AND 'w' || m.k = c.lemma)"),
     "j7_overlaps": _with(OCCURRENCES + ", " + DECKS, ", owned AS (SELECT user_id, deck_id, lemma, pos FROM occurrences JOIN decks ON deck_id = id), kept AS (SELECT *, count(*) OVER (PARTITION BY user_id, lemma, pos) AS d FROM owned) SELECT a.user_id, a.deck_id AS deck_a, b.deck_id AS deck_b, count(*) AS shared FROM kept a JOIN kept b ON a.user_id = b.user_id AND a.lemma = b.lemma AND a.pos = b.pos AND a.deck_id < b.deck_id WHERE a.d <= 20 GROUP BY ALL HAVING count(*) >= 20"),
+    "j7_overlaps_all": _with(OCCURRENCES + ", " + DECKS, ", owned AS (SELECT user_id, deck_id, lemma, pos FROM occurrences JOIN decks ON deck_id = id) SELECT a.user_id, a.deck_id AS deck_a, b.deck_id AS deck_b, count(*) AS shared FROM owned a JOIN owned b ON a.user_id = b.user_id AND a.lemma = b.lemma AND a.pos = b.pos AND a.deck_id < b.deck_id GROUP BY ALL"),
     "a1_words_known": _with(KNOWN, "SELECT user_id, count(*) AS known FROM known GROUP BY user_id"),
     "a2_words_due": _with(DUE, "SELECT user_id, count(*) AS due FROM due GROUP BY user_id"),
     "a3_new_capacity": _with(STATES + ", " + _ALL_CARDS + ", " + _capacity("2024-01-05"), "SELECT user_id, learned_today, capacity, coalesce(b, 0) AS backlog FROM capacity LEFT JOIN (SELECT user_id, count(*) AS b FROM fresh GROUP BY user_id) USING (user_id)"),
