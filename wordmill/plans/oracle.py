@@ -160,6 +160,7 @@ SELECT deck_id, sentence_ix, CAST(i - 1 AS INT) AS token_ix, 'be' AS lemma, 'Moo
     "j2_not_ignored": _with(STATES, "SELECT user_id, count(*) AS cards FROM states ANTI JOIN ignored USING (user_id, k) GROUP BY user_id"),
     "j3_known_in_deck": _with(_DECK_NUMBERS, "SELECT deck_id, known FROM numbers WHERE known > 0"),
     "j4_gloss": _with(WORDS + ", " + LEX, "SELECT k, lemma, pos, gloss FROM card_words LEFT JOIN (SELECT lemma, pos, min(gloss) AS gloss FROM lexicon GROUP BY ALL) USING (lemma, pos)"),
+    "j4_gloss_all": _with(OCCURRENCES + ", " + LEX, "SELECT lemma, pos, gloss FROM (SELECT DISTINCT lemma, pos FROM occurrences) LEFT JOIN (SELECT lemma, pos, min(gloss) AS gloss FROM lexicon GROUP BY ALL) USING (lemma, pos)"),
     "j6_null_safe_cards": _with(LOG + ", " + MARKS, f"SELECT user_id, lemma, pos, coalesce(mwe_id, -1) AS mwe_id FROM (SELECT DISTINCT user_id, 'w' || k AS lemma, 'NOUN' AS pos, {_KEYS} FROM log) c WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.user_id = c.user_id AND 'w' || m.k = c.lemma)"),
     "j7_overlaps": _with(OCCURRENCES + ", " + DECKS, ", owned AS (SELECT user_id, deck_id, lemma, pos FROM occurrences JOIN decks ON deck_id = id), kept AS (SELECT *, count(*) OVER (PARTITION BY user_id, lemma, pos) AS d FROM owned) SELECT a.user_id, a.deck_id AS deck_a, b.deck_id AS deck_b, count(*) AS shared FROM kept a JOIN kept b ON a.user_id = b.user_id AND a.lemma = b.lemma AND a.pos = b.pos AND a.deck_id < b.deck_id WHERE a.d <= 20 GROUP BY ALL HAVING count(*) >= 20"),
     "j7_overlaps_all": _with(OCCURRENCES + ", " + DECKS, ", owned AS (SELECT user_id, deck_id, lemma, pos FROM occurrences JOIN decks ON deck_id = id) SELECT a.user_id, a.deck_id AS deck_a, b.deck_id AS deck_b, count(*) AS shared FROM owned a JOIN owned b ON a.user_id = b.user_id AND a.lemma = b.lemma AND a.pos = b.pos AND a.deck_id < b.deck_id GROUP BY ALL"),
@@ -176,13 +177,19 @@ SELECT deck_id, sentence_ix, CAST(i - 1 AS INT) AS token_ix, 'be' AS lemma, 'Moo
         WORDS + ", " + _phrases(),
         ", places AS (SELECT DISTINCT t.lemma, t.pos, t.deck_id, t.sentence_ix, p.deck_id IS NOT NULL AS m FROM tokens t JOIN card_words USING (lemma, pos) LEFT JOIN (SELECT DISTINCT deck_id, sentence_ix FROM phrases) p ON p.deck_id = t.deck_id AND p.sentence_ix = t.sentence_ix), best AS (SELECT lemma, pos, deck_id, sentence_ix, CAST(row_number() OVER (PARTITION BY lemma, pos ORDER BY CASE WHEN deck_id = 5 THEN 0 ELSE 1 END, CASE WHEN m THEN 0 ELSE 1 END, deck_id, sentence_ix) AS INT) AS rank FROM places) SELECT lemma, pos, rank, deck_id, sentence_ix, array_to_string(ws, ' ') AS text FROM best JOIN pieces USING (deck_id, sentence_ix) WHERE rank <= 3",
     ),
+    "w1_examples_all": _with(
+        TOKENS + ", " + _phrases(),
+        ", places AS (SELECT DISTINCT t.lemma, t.pos, t.deck_id, t.sentence_ix, p.deck_id IS NOT NULL AS m FROM tokens t LEFT JOIN (SELECT DISTINCT deck_id, sentence_ix FROM phrases) p ON p.deck_id = t.deck_id AND p.sentence_ix = t.sentence_ix), best AS (SELECT lemma, pos, deck_id, sentence_ix, CAST(row_number() OVER (PARTITION BY lemma, pos ORDER BY CASE WHEN deck_id = 5 THEN 0 ELSE 1 END, CASE WHEN m THEN 0 ELSE 1 END, deck_id, sentence_ix) AS INT) AS rank FROM places) SELECT lemma, pos, rank, deck_id, sentence_ix, array_to_string(ws, ' ') AS text FROM best JOIN pieces USING (deck_id, sentence_ix) WHERE rank <= 3",
+    ),
     "w2_review_gaps": _with(LOG, "SELECT event_id, card_id, CAST(row_number() OVER w AS INT) AS nth, coalesce(date_diff('day', lag(ts) OVER w::DATE, ts::DATE), -1) AS days FROM log WINDOW w AS (PARTITION BY card_id ORDER BY ts, event_id)".replace("lag(ts) OVER w::DATE", "(lag(ts) OVER w)::DATE")),
     "w3_new_under_cap": _with(STATES + ", " + _ALL_CARDS, "SELECT user_id, k, CAST(row_number() OVER (PARTITION BY user_id ORDER BY k) AS INT) AS nth FROM fresh QUALIFY nth <= 20"),
     "w6_user_ids": _with(_EMAILS, "SELECT row_number() OVER (ORDER BY email) AS id, email FROM emails"),
     "l1_recent_decks": _with(DECKS, "SELECT id, title, created_at FROM decks ORDER BY created_at DESC, id DESC LIMIT 25"),
     "l4_first_tokens": _with(TOKENS, "SELECT deck_id, string_agg(form, ' ' ORDER BY token_ix) AS text FROM tokens WHERE sentence_ix = 0 GROUP BY deck_id"),
+    "l4_all_sentences": _with(SENTENCES, f"SELECT deck_id, sentence_ix, array_to_string(list_filter(string_split_regex(text, '{WS}+'), lambda x: x <> ''), ' ') AS text FROM sentences"),
     "o1_set_operations": _with(DUE, "SELECT 'either' AS what, count(*) AS n FROM (SELECT user_id, k FROM known UNION SELECT user_id, k FROM due) UNION ALL SELECT 'both', count(*) FROM known SEMI JOIN due USING (user_id, k) UNION ALL SELECT 'due_only', count(*) FROM due ANTI JOIN known USING (user_id, k)"),
     "f11_f12_highlight": _with(TOKENS, """SELECT deck_id, regexp_replace(replace(replace(replace(array_to_string(ws, ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)the', '<span class="highlight">\\0</span>', 'g') AS html FROM pieces WHERE sentence_ix = 0"""),
+    "f11_f12_highlight_all": _with(TOKENS, """SELECT deck_id, sentence_ix, regexp_replace(replace(replace(replace(array_to_string(ws, ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)the', '<span class="highlight">\\0</span>', 'g') AS html FROM pieces"""),
     "f13_badges": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'WORD' WHEN 1 THEN 'GENERATED' ELSE 'NEW' END AS badge FROM events",
     "f15_deck_lines": _with(_DECK_NUMBERS, """SELECT id, lang || ' • ' || known || '/' || "unique" || ' known • ' || due || ' due' AS line FROM decks JOIN numbers ON id = deck_id"""),
     "r1_next_card": _with(

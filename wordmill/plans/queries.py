@@ -291,6 +291,13 @@ def j4_gloss(s, d):
     return _card_words(s, d).join(gloss, ["lemma", "pos"], "left").select("k", "lemma", "pos", "gloss")
 
 
+@query
+def j4_gloss_all(s, d):
+    """The gloss of every word of the texts; j4_gloss shows the cards' words."""
+    gloss = T.lexicon(s).groupBy("lemma", "pos").agg(F.min("gloss").alias("gloss"))
+    return A.lemma_counts(T.deck_texts(s, d)).join(gloss, ["lemma", "pos"], "left").select("lemma", "pos", "gloss")
+
+
 def _card_keys(s, d):
     """user_id, lemma, pos, mwe_id with null keys and repeated rows."""
     log = T.review_log(s, d)
@@ -394,6 +401,13 @@ def w1_examples(s, d):
     return D.examples(_tokens(s, d), sentences, words, 5, V.phrase_matches(_bare_sentences(s, d), T.PHRASES))
 
 
+@query
+def w1_examples_all(s, d):
+    """Examples of every word of the texts; w1_examples shows the cards' words."""
+    sentences = A.sentence_texts(T.deck_texts(s, d))
+    return D.examples(_tokens(s, d), sentences, None, 5, V.phrase_matches(_bare_sentences(s, d), T.PHRASES))
+
+
 @query
 def w2_review_gaps(s, d):
     w = Window.partitionBy("card_id").orderBy("ts", "event_id")
@@ -424,6 +438,13 @@ def l4_first_tokens(s, d):
     return _tokens(s, d).where("sentence_ix = 0").groupBy("deck_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_ix", "form"))), lambda x: x["form"]), " ").alias("text"))
 
 
+@query
+def l4_all_sentences(s, d):
+    """Every sentence put together again from its tokens, in order; l4_first_tokens shows each deck's first."""
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_ix", "form"))), lambda x: x["form"]), " ")
+    return _tokens(s, d).groupBy("deck_id", "sentence_ix").agg(words.alias("text"))
+
+
 @query
 def o1_set_operations(s, d):
     """Known union mature, known and due, due without known."""
@@ -443,6 +464,12 @@ def f11_f12_highlight(s, d):
     return one.select("deck_id", X.highlight(X.escape_html(F.col("text")), "the").alias("html"))
 
 
+@query
+def f11_f12_highlight_all(s, d):
+    """Every sentence escaped and highlighted; f11_f12_highlight shows each deck's first."""
+    return A.sentence_texts(T.deck_texts(s, d)).select("deck_id", "sentence_ix", X.highlight(X.escape_html(F.col("text")), "the").alias("html"))
+
+
 @query
 def f13_badges(s, d):
     return T.table(s, d, "events").select("event_id", X.badge(F.when(F.col("event_id") % 3 == 0, "word").when(F.col("event_id") % 3 == 1, "generated").otherwise("sentence")).alias("badge"))
