@@ -34,6 +34,20 @@ def test_pfair(weights):
             assert abs(seen[s] - (t + 1) * c / period) < 1
 
 
+def test_pfair_is_exact():
+    """Less than one block from the weights themselves over many thousand slots, and any number of sources."""
+    counts = {"a": 900_000, "b": 333_333, "c": 70_001, "d": 1_000, "e": 1}
+    names, columns = X.plan(counts)
+    weights = np.array([counts[s] ** X.ALPHA for s in names])
+    ran = np.cumsum(columns["source"][:, None] == np.arange(len(names)), axis=0)
+    ideal = np.arange(1, len(ran) + 1)[:, None] * (weights / weights.sum())
+    assert len(ran) > 3 * 4096 and np.abs(ran - ideal).max() < 1
+    assert (columns["release"] <= columns["slot"]).all() and (columns["slot"] < columns["deadline"]).all()
+    assert all(16 * ran[-1][i] >= counts[s] for i, s in enumerate(names))
+    names, columns = X.plan({f"s{i}": 1 + i % 3 for i in range(5_000)})
+    assert len(names) == 5_000 and set(columns["source"]) == set(range(5_000))
+
+
 def mixed(spark, counts, **options):
     docs = [(i, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
     random.Random(1).shuffle(docs)

@@ -1,11 +1,11 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in the order of a hash, form blocks of BLOCK documents. Weights become whole numbers of blocks in
-a period of PERIOD slots. Block j of a source with c of Q slots is released at floor(j * Q / c) and due at
-ceil((j + 1) * Q / c); in every slot the released block with the earliest deadline runs (ties: smaller source name). All
-sources together fill every slot, so no deadline is missed and after every slot each source is less than one block from
-its share. The schedule repeats after a period: one period is computed on the driver (PERIOD entries, whatever the data),
-and every document finds its slot by arithmetic.
+Each source's documents, in the order of a hash, form blocks of BLOCK documents. A source of weight w of W in all has its
+block j released at floor(j * W / w) and due at ceil((j + 1) * W / w), in whole numbers of any size, so without rounding;
+in every slot the released block with the earliest deadline runs (ties: smaller source name). All sources together fill
+every slot, so no deadline is missed and after every slot each source is less than one block from its exact share. The
+driver computes the slots of the whole mix, one for each block; documents find theirs by a join on source and block. With
+`period`, on request only, weights are rounded to whole slots of a period that repeats.
 
 The mix goes on until every document has had its turn at least once; a source that is short for its weight starts again
 (`epoch`). No document is dropped. Default weights are the sources' shares raised to ALPHA and normalised, which lifts
@@ -19,17 +19,22 @@ stay. A weight of 0 leaves a source out, on request only.
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
-BLOCK, PERIOD, ALPHA = 16, 4096, 0.8
+BLOCK, ALPHA = 16, 0.8
 SALT_ROWS, SALTS = 4_000, 512
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
+def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     """Whole slots for each source that sum to the period (largest remainders; at least one for a positive weight)."""
     good = {s: w for s, w in sorted(weights.items()) if w > 0}
     if len(good) > period:
@@ -46,48 +51,66 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def schedule(slots: dict[str, int]) -> dict[str, list[int]]:
-    """Earliest deadline first over one period: for each source the slots of its blocks, in order."""
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """The positive weights as whole numbers in exactly the same proportions."""
+    exact = {s: Fraction(w) for s, w in sorted(weights.items()) if w > 0}
+    common = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * common) for s, x in exact.items()}
+
+
+def turns(slots: dict[str, int]) -> Iterator[tuple[str, int, int, int]]:
+    """(source, block, release, deadline) of slot 0, 1 and so on without an end: earliest deadline first."""
     period = sum(slots.values())
     waiting = [(0, s, 0) for s in sorted(slots)]
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in slots}
-    for t in range(period):
+    ready: list[tuple[int, str, int, int]] = []
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[s]), s, j))
-        due, s, j = heapq.heappop(ready)
+            release, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * period // slots[s]), s, j, release))
+        due, s, j, release = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("a deadline was missed")
+        yield s, j, release, due
+        heapq.heappush(waiting, ((j + 1) * period // slots[s], s, j + 1))
+        t += 1
+
+
+def schedule(slots: dict[str, int]) -> dict[str, list[int]]:
+    """Earliest deadline first over one period: for each source the slots of its blocks, in order."""
+    out: dict[str, list[int]] = {s: [] for s in slots}
+    for t, (s, *_) in zip(range(sum(slots.values())), turns(slots)):
         out[s].append(t)
-        if j + 1 < slots[s]:
-            heapq.heappush(waiting, ((j + 1) * period // slots[s], s, j + 1))
     return out
 
 
-def plan(counts: dict[str, int], weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> list[tuple[str, int, int, list[int]]]:
-    """(source, slots in a period, documents to place, slots of its blocks) until every document was placed once."""
+def plan(counts: dict[str, int], weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None) -> tuple[list[str], dict[str, np.ndarray]]:
+    """(sources, columns source (its index), block, slot, release, deadline) of every slot until each document was placed once."""
     counts = {s: n for s, n in counts.items() if n > 0}
-    if not counts:
-        return []
     given = {s: (weights or {}).get(s, 0.0) if weights else n**ALPHA for s, n in counts.items()}
-    slots = shares(given, period)
-    when = schedule(slots)
-    end = 0
-    for s, c in slots.items():
-        last = -(-counts[s] // block) - 1
-        end = max(end, last // c * period + when[s][last % c] + 1)
-    rounds, rest = divmod(end, period)
-    return [(s, c, block * (rounds * c + sum(t < rest for t in when[s])), when[s]) for s, c in slots.items()]
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    slots = whole(given) if period is None else shares(given, period) if counts else {}
+    names, out = sorted(slots), array("q")
+    index = {s: i for i, s in enumerate(names)}
+    left = {s: -(-counts[s] // block) for s in names}
+    open_ = len(names)
+    for s, j, release, due in turns(slots) if names else ():
+        out.extend((index[s], j, release, due))
+        open_ -= j + 1 == left[s]
+        if not open_:
+            break
+    columns = np.frombuffer(out, np.int64).reshape(-1, 4) if out else np.zeros((0, 4), np.int64)
+    return names, {"source": columns[:, 0], "block": columns[:, 1], "slot": np.arange(len(columns)), "release": columns[:, 2], "deadline": columns[:, 3]}
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int | None = None) -> DataFrame:
     """row (a document's columns as a struct), source_key, epoch, block, release, deadline, slot, position (unique, from 0).
 
     A source's documents are numbered in parts: by a salt of the hash, each part far smaller than a hot source, with the
     parts' sizes summed beforehand.
     """
+    import pyarrow as pa
+
     spark = docs.sparkSession
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("(null)")).alias("source_key"), F.xxhash64("doc_id", F.lit(17)).alias("__h"))
     counts = {r["source_key"]: r["n"] for r in keyed.groupBy("source_key").agg(F.count("*").alias("n")).collect()}
@@ -96,24 +119,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     parts = keyed.groupBy("source_key", "__salt").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("source_key").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(F.col("source_key").alias("__s"), F.col("__salt").alias("__t"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    rows = [(s, c, need, counts[s], when) for s, c, need, when in plan(counts, weights, block, period)]
-    entry = spark.createDataFrame(rows, "__s2 string, __c long, __need long, __all long, __when array<int>")
+    names, columns = plan(counts, weights, block, period)
+    placed_blocks = np.bincount(columns["source"], minlength=len(names))
+    rows = [(s, i, block * int(n), counts[s]) for i, (s, n) in enumerate(zip(names, placed_blocks))]
+    entry = spark.createDataFrame(rows, "__s2 string, __k long, __need long, __all long")
+    slots = spark.createDataFrame(pa.table({f"__{k}": v for k, v in columns.items()}))
     inside = Window.partitionBy("source_key", "__salt").orderBy("__h", "row.doc_id")
     ranked = keyed.withColumn("__r", F.row_number().over(inside) - 1)
     ranked = ranked.join(offsets, (F.col("source_key") == F.col("__s")) & (F.col("__salt") == F.col("__t"))).withColumn("__r", F.col("__r") + F.col("__before"))
-    # one entry for each source, PERIOD slots in all: small whatever the data
     planned = ranked.join(F.broadcast(entry), F.col("source_key") == F.col("__s2")).where(F.col("__r") < F.col("__need"))
     last = F.floor((F.col("__need") - 1 - F.col("__r")) / F.col("__all"))
     placed = planned.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     i = F.col("__r") + F.col("epoch") * F.col("__all")
     placed = placed.withColumn("__i", i.cast("bigint")).withColumn("block", F.expr(f"__i div {block}"))
-    placed = placed.withColumns(
-        {
-            "release": F.expr(f"(block * {period}L) div __c"),
-            "deadline": F.expr(f"((block + 1) * {period}L + __c - 1) div __c"),
-            "slot": F.expr(f"(block div __c) * {period}L") + F.element_at("__when", (F.col("block") % F.col("__c") + 1).cast("int")),
-        }
-    )
+    # one row of five numbers for every `block` documents
+    placed = placed.join(F.broadcast(slots), (F.col("__k") == F.col("__source")) & (F.col("block") == F.col("__block")))
+    placed = placed.withColumns({"release": F.col("__release"), "deadline": F.col("__deadline"), "slot": F.col("__slot")})
     placed = placed.withColumn("position", F.col("slot") * block + F.col("__i") % block)
     return placed.select("row", "source_key", "epoch", "block", "release", "deadline", "slot", "position")
 
