@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -94,6 +97,35 @@ def test_url_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_url_counts_are_exact(spark):
+    """Scores equal those from plain dictionaries, with more different n-grams than a table of fixed size has places."""
+    rng = np.random.default_rng(5)
+    urls = ["http://h.org/" + bytes(rng.integers(33, 127, 90, dtype=np.uint8)).decode() for _ in range(4_000)]
+    rows = [(u, "allow" if i % 2 else "block") for i, u in enumerate(urls)]
+    model = U.train(spark.createDataFrame(rows, "url string, verdict string").repartition(3))
+    assert len(model.keys) > 2 * U.SLOTS
+
+    def windows(u):
+        b = b"\x02" * U.ORDER + u.encode() + b"\x03"
+        return [[b[i - k : i + 1] for k in range(U.ORDER + 1)] for i in range(U.ORDER, len(b))]
+
+    grams, contexts = ({c: Counter() for c in ("allow", "block")} for _ in range(2))
+    for u, c in rows:
+        if zlib.crc32(u.encode()) % 5:
+            for w in windows(u):
+                grams[c].update(w)
+                contexts[c].update((len(g), g[:-1]) for g in w)
+    for u, got in zip(urls[:40], model.scores([u.encode() for u in urls[:40]])):
+        total = 0.0
+        for sign, c in ((1, "allow"), (-1, "block")):
+            for w in windows(u):
+                p = 1 / 257
+                for g in w:
+                    p = (grams[c][g] + U.STRENGTH * p) / (contexts[c][len(g), g[:-1]] + U.STRENGTH)
+                total += sign * np.log(p)
+        assert got == pytest.approx(total / (len(u) + 1))
+
+
 def test_url_edge_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "no scheme"), (3, "no scheme"), (4, "http://x.org/a"), (5, "http://x.com/de/a")], "page_id bigint, url string")
     rows = U.judge(df).collect()

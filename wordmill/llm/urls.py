@@ -2,8 +2,8 @@
 
 URLs that an allow rule fits are the accepted sample, those of a block rule the rejected one. For each class a
 variable-order Markov model (contexts of 0 to ORDER bytes) mixes every order with the next lower one (Dirichlet
-smoothing). Counts cover all rows; they live in hashed tables of a fixed size, so the model that goes to the executors
-is bounded (2 classes x (ORDER + 1) orders x 2 x SLOTS counts). One fifth of the URLs (by crc32) is kept out of the
+smoothing). Counts cover all rows and are exact: an n-gram of at most ORDER + 1 bytes is its own key, so none share a
+counter. The model that goes to the executors has one entry for each different n-gram and grows with them. One fifth of the URLs (by crc32) is kept out of the
 counts and calibrates the threshold on the length-normalised difference of log-likelihoods (least balanced error).
 
 Defined results: a null url, or one without ``://``, has empty host and path and no rule; null and empty urls are
@@ -24,7 +24,6 @@ from .common import mix, table
 
 ORDER, SLOTS, STRENGTH = 4, 1 << 17, 4.0
 _BINS, _SPAN = 800, 4.0
-_MULT = np.random.default_rng(11).integers(1, 2**63, ORDER + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @dataclass(frozen=True)
@@ -70,45 +69,55 @@ def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) ->
 # ------------------------------------------------------------------ the model
 
 
-def _grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots of the n-grams, slots of their contexts), each ORDER + 1 x symbols, and the first symbol of each url.
+def _grams(urls: list[bytes], slots: int | None = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, their contexts), each ORDER + 1 x symbols, and the first symbol of each url.
 
-    A url is preceded by ORDER start marks and followed by an end mark.
+    A url is preceded by ORDER start marks and followed by an end mark. Without `slots` n-grams and contexts are exact keys
+    (the order, then the bytes; a context is its n-grams' keys >> 8), else hashes below `slots`.
     """
-    raw = np.frombuffer(b"".join(b"\x02" * ORDER + u + b"\x03" for u in urls), np.uint8).astype(np.uint64)
+    raw = np.frombuffer(b"".join(b"\x02" * ORDER + u + b"\x03" for u in urls), np.uint8).astype(np.int64)
     sizes = np.array([len(u) + 1 for u in urls], np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     at = np.arange(sizes.sum()) + ORDER * (np.repeat(np.arange(len(urls)), sizes) + 1)
-    context = np.zeros(len(at), np.uint64)
-    grams, contexts = [], []
+    context = np.zeros(len(at), np.int64)
+    contexts = []
     for k in range(ORDER + 1):
         if k:
-            context = context + (raw[at - k] + np.uint64(1)) * _MULT[k]
-        contexts.append((mix(context) % np.uint64(SLOTS)).astype(np.int64))
-        grams.append((mix(context + (raw[at] + np.uint64(1)) * _MULT[0]) % np.uint64(SLOTS)).astype(np.int64))
-    return np.stack(grams), np.stack(contexts), first
+            context = context | raw[at - k] << 8 * (k - 1)
+        contexts.append(context | k << 8 * ORDER)
+    contexts = np.stack(contexts)
+    grams = contexts << 8 | raw[at]
+    if slots is not None:
+        grams, contexts = ((mix(x.astype(np.uint64)) % np.uint64(slots)).astype(np.int64) for x in (grams, contexts))
+    return grams, contexts, first
+
+
+def _at(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The counts (class x key) of the wanted keys; 0 where there is none. keys: sorted, not empty."""
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[i] == wanted, counts[:, i], 0)
 
 
-@dataclass
 class Ratio:
-    """counts: class (0 rejected, 1 accepted) x 2 (n-grams, contexts) x orders x slots."""
+    """keys: the different n-grams, sorted; counts: class (0 rejected, 1 accepted) x n-grams."""
 
-    counts: np.ndarray
-    threshold: float = 0.0
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, threshold: float = 0.0):
+        self.keys, self.counts, self.threshold = keys, counts, threshold
+        self.contexts, first = np.unique(keys >> 8, return_index=True)
+        self.totals = np.add.reduceat(counts, first, axis=1) if len(keys) else counts
 
     def scores(self, urls: list[bytes]) -> np.ndarray:
         """Log-likelihood under the accepted model minus that under the rejected one, for each symbol of a url."""
         if not urls:
             return np.zeros(0)
-        grams, contexts, first = _grams(urls)
-        logs = []
-        for counts in self.counts:
-            p = np.full(grams.shape[1], 1 / 257)
-            for k in range(ORDER + 1):
-                seen = counts[1, k, contexts[k]]
-                p = (np.minimum(counts[0, k, grams[k]], seen) + STRENGTH * p) / (seen + STRENGTH)
-            logs.append(np.log(p))
-        total = np.add.reduceat(logs[1] - logs[0], first)
+        grams, contexts, first = _grams(urls, None)
+        # a symbol's share depends on its longest n-gram only
+        _, some, back = np.unique(grams[ORDER], return_index=True, return_inverse=True)
+        p = np.full((2, len(some)), 1 / 257)
+        for k in range(ORDER + 1):
+            seen = _at(self.contexts, self.totals, contexts[k, some])
+            p = (_at(self.keys, self.counts, grams[k, some]) + STRENGTH * p) / (seen + STRENGTH)
+        total = np.add.reduceat((np.log(p[1]) - np.log(p[0]))[back], first)
         return total / np.diff(np.append(first, grams.shape[1]))
 
 
@@ -120,23 +129,19 @@ def train(urls: DataFrame) -> Ratio | str:
     def count(batches):
         import pyarrow as pa
 
-        local = np.zeros((2, 2, ORDER + 1, SLOTS), np.int64)
         for batch in batches:
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             for c in (0, 1):
                 if part := [u.encode() for u, good in rows if good == bool(c)]:
-                    grams, contexts, _ = _grams(part)
-                    for k in range(ORDER + 1):
-                        local[c, 0, k] += np.bincount(grams[k], minlength=SLOTS)
-                        local[c, 1, k] += np.bincount(contexts[k], minlength=SLOTS)
-        flat = local.ravel()
-        used = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(flat[used])], ["slot", "n"])
-
-    sums = known.where(~F.col("calibrate")).select("url", "good").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(2 * 2 * (ORDER + 1) * SLOTS, np.float32)
-    counts[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
-    model = Ratio(counts.reshape(2, 2, ORDER + 1, SLOTS))
+                    keys, n = np.unique(_grams(part, None)[0], return_counts=True)
+                    zero = np.zeros(len(n), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, zero if c else n, n if c else zero)], ["key", "bad", "good"])
+
+    counted = known.where(~F.col("calibrate")).select("url", "good").mapInArrow(count, "key bigint, bad bigint, good bigint")
+    sums = counted.groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    keys = sums.column("key").to_numpy()
+    order = np.argsort(keys)
+    model = Ratio(keys[order], np.stack([sums.column(c).to_numpy()[order] for c in ("bad", "good")]))
     if not model.counts[1].any():
         return "block"
     if not model.counts[0].any():
