@@ -315,7 +315,7 @@ def j6_null_safe_cards(s, d):
 @query
 def j7_overlaps(s, d):
     """Overlaps of rare words only, by the bounds that its SQL fixes; j7_overlaps_all has every pair and every word."""
-    return D.overlaps(_occurrences(s, d), T.decks(s, d), least=20, most_decks=20)
+    return D.overlaps(A.occurrence_counts(T.deck_texts(s, d).repartition("deck_id")), T.decks(s, d), least=20, most_decks=20)
 
 
 @query
