@@ -84,6 +84,37 @@ def test_components(spark, monkeypatch, tile, hot):
     assert got == brute(rows)
 
 
+def test_hot_groups(spark, monkeypatch):
+    """A third of all rows are copies of one text, a third near copies of another, and many texts share most of a passage."""
+    monkeypatch.setattr(J, "TILE_DOCS", 32)
+    monkeypatch.setattr(J, "HOT_DF", 6)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    copy, near, passage = (" ".join(r.choices(words, k=60)) for _ in range(3))
+    rows = [(i, copy) for i in range(20_000)]
+    for i in range(20_000, 20_600):
+        w = near.split()
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice(words)
+        rows.append((i, " ".join(w)))
+    for i in range(20_600, 20_800):
+        rows.append((i, passage + " " + " ".join(r.choices(words, k=r.randint(8, 30)))))
+    distinct = [(0, copy), *rows[20_000:]]
+    want = brute(distinct)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7, "doc_id")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in J.similar_documents(df).collect()}
+    assert len(got) == len(rows) and all(got[i] == want[0] for i in range(20_000))
+    assert {i: got[i] for i in want} == want
+    assert len({want[i][1] for i in range(20_600, 20_800)}) > 20  # many components share the passage's shingles
+
+
+def test_filters_grow():
+    small, mid, large = (J.Sizes.of(n) for n in (1_000, 30 << 30, 100 << 40))
+    assert small.repeated < mid.repeated <= large.repeated <= 30 and small.bucket < mid.bucket <= large.bucket
+    for s in (small, mid, large):
+        assert s.token - s.bucket <= 32 and s.repeated - s.bucket >= 3 and s.hot - s.bucket >= 2 and s.token >= s.repeated
+
+
 def test_query(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.op3_jaccard(spark, small).collect()}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,17 +15,24 @@ from pyspark.sql import functions as F
 
 # ------------------------------------------------------------------ tables and work folders
 
+_scopes: list[list[DataFrame]] = []
+_left: list[DataFrame] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it only a local session gets one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="wordmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = getattr(context, "_wordmill_dir", None)
+        if path is None:
+            path = context._wordmill_dir = "file://" + tempfile.mkdtemp(prefix="wordmill-")
     return path.rstrip("/")
 
 
@@ -30,23 +40,97 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder and reads it again. The path is kept in `.work_path`."""
+def _written(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.work_path = path
     return out
 
 
+def _keep(df: DataFrame) -> DataFrame:
+    """The table belongs to the scope that is open, else it lives as long as the driver program."""
+    if _scopes:
+        _scopes[-1].append(df)
+    else:
+        if not _left:
+            atexit.register(_at_exit)
+        _left.append(df)
+    return df
+
+
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        discard(*_left)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: writes df to the shared folder and reads it again. The path is kept in `.work_path`."""
+    return _keep(_written(df, name))
+
+
+def keep_path(spark: SparkSession, path: str) -> None:
+    """A folder of files that goes as the open scope's tables do."""
+    out = spark.range(0)
+    out.work_path = path
+    _keep(out)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Deletes what materialize() wrote, once no later plan reads it."""
     for df in frames:
-        if df is not None and getattr(df, "work_path", None):
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(df.work_path)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path, spark = getattr(df, "work_path", None), df.sparkSession if df is not None else None
+        if path and spark.sparkContext._jsc is not None:
+            jvm = spark._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            df.work_path = None
+
+
+def scratch(name: str):
+    """Decorator: the function's result is written as a table, and every other table it made is deleted, also if it fails."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(*args, **options):
+            _scopes.append([])
+            try:
+                out = _written(f(*args, **options), name)
+            finally:
+                discard(*_scopes.pop())
+            return _keep(out)
+
+        return run
+
+    return wrap
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, lengthened where they are taken (Spark's names differ in more than case)."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(names: Iterable[str]) -> list[str]:
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """many with few's columns on keys, of which few has one row each and many may have any share of its rows.
+
+    A key's rows are dealt by a salt from the columns `by`; few's row goes to the salts that occur, so no task holds a
+    key's rows. The salts' number follows the session's partitions.
+    """
+    salts = max(64, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = many.withColumn("__salt", F.pmod(F.xxhash64(*by, F.lit(29)), F.lit(salts)).cast("int"))
+    sent = salted.select(*keys, "__salt").distinct().join(few, keys)
+    return salted.join(sent, [*keys, "__salt"], how).drop("__salt")
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:
@@ -224,17 +308,17 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     """(node, comp) for all nodes of undirected edges (a, b: bigint); comp is the smallest node that is reachable.
 
     Each partition first reduces its edges to a forest. Then large-star and small-star steps alternate: each is one
-    pre-aggregated minimum for each node and one join, so a hub's neighbours never meet in one task. Lineage is cut in the
-    shared folder after each round.
+    pre-aggregated minimum for each node and one salted join, so a hub's neighbours never meet in one task. Lineage is cut
+    in the shared folder after each round.
     """
     now = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a bigint, b bigint").distinct(), name)
     before = None
     for _ in range(max_rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, both["a"] == low["u"]).where(F.col("b") > F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        joined = large.join(least, F.col("a") == F.col("u"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = spread_join(both, low, ["a"], ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        joined = spread_join(large, least, ["a"], ["b"])
         small = joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         small = materialize(small.where("a <> b").distinct(), name)
         state = tuple(small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum((F.xxhash64("b", "a") % 1000003))).first())
@@ -246,6 +330,4 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("comp"))
-    out = now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots)
-    out.work_path = now.work_path
-    return out
+    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots)

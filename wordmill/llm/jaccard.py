@@ -4,45 +4,67 @@ A document's set holds 64-bit hashes of its distinct 5-word shingles. All links
 the result is each document's connected component. The way there is exact (up to equal 64-bit hashes):
 
 1. One pass counts every shingle's documents in hashed counters, dealt by ranges of the hash. Shingles of two or more
-   documents are marked in a filter of 2**REPEATED_BITS bits, those of more than HOT_DF in one of 2**FILTER_BITS bits;
-   these sizes are fixed, so both can go to every executor. (A filter that fills up costs time, not links.) The same pass
-   returns each document's size and 128-bit digest; equal sets are one class.
+   documents are marked in one filter, those of more than HOT_DF in another; the counters, the ranges and both filters grow
+   with the bytes of text (`Sizes`) up to 128 MB and 16 MB, so both can go to every executor. (A filter that fills up costs
+   postings, not links.) The same pass returns each document's size and 128-bit digest; equal sets are one class.
 2. A second pass takes the prefix of each set under the order (marks, hash): n - ceil(3n/4) + 1 shingles, of which two
    linked sets always share one. Unmarked shingles stand in one document only and needn't be sent: a text of its own that
-   shares a passage with others sends nothing. The documents of a shingle are tied to the smallest of them; components of
-   these ties are *clusters*: every link lies inside one.
+   shares a passage with others sends nothing. The documents of a shingle are tied to the smallest of them, first inside
+   each map task, which sends one posting for each shingle and its ties as a forest; components of these ties are
+   *clusters*: every link lies inside one.
 3. A cluster is cut into tiles of bounded size by a hash. Each tile is joined with itself by a signature tree: leaves are
    documents with token bitmaps, inner nodes hold the OR of their bitmaps, the range of sizes and the most collisions of a
    bitmap; the dual traversal keeps a pair of nodes only if the common bits allow the overlap that the smallest sizes
    need. Surviving pairs are compared exactly, and a pair that is already connected is skipped: a group of copies costs
    about one comparison a document.
 4. Clusters of several tiles: representatives of the tiles' components are joined in further rounds. Then pairs of
-   different components that share a prefix shingle of at most HOT_DF documents are compared; documents that share a
-   hotter one are cut into tiles again, and every document outside its cluster's largest component meets all of them (by
-   tree). No pair of documents in different components is left out.
+   different components that share a prefix shingle of at most HOT_DF documents are compared. Documents that share a hotter
+   one take new prefixes under the exact order of frequency among themselves, and pairs are compared again. What still
+   shares a hot shingle across components is cut into tiles by size class, and every document outside its cluster's largest
+   component meets the tiles of the three classes that its size allows (by tree). No pair of documents in different
+   components is left out.
+
+Joins that bring a class, a cluster or a hub's values back to its documents are salted (`spread_join`).
 
 Defined results: null text, empty text and text of white space have an empty set, size 0 and their own id as component;
-equal sets are linked; repeated rows of one id count as one document and give a row each; a null id gets a null
-component and takes no part; other columns are ignored (and kept by deduplicate); an empty table gives an empty table.
+equal sets are linked; repeated rows of one id count as one document (of different texts under one id the smallest stands
+for it in comparisons) and give a row each; a null id gets a null component and takes no part; other columns are ignored
+(and kept by deduplicate); an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _forest, arrow_text, components, discard, materialize, mix, shingle_sets, table
+from .common import _forest, arrow_text, components, fresh, materialize, mix, quoted, scratch, shingle_sets, spread_join, table
 
 SHINGLE = 5
-HOT_DF, FILTER_BITS, REPEATED_BITS = 48, 26, 28
+HOT_DF = 48
 TILE_DOCS, TILE_SHINGLES = 512, 1 << 20
 FANOUT = 8
-_BUCKET_BITS = 8
-_FLUSH = 3 << 20
+_FLUSH, _POSTINGS, _LIST = 3 << 20, 1 << 20, 1 << 16
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bits of the counters' keys, of the ranges, and of the filters of repeated and of hot shingles."""
+
+    token: int
+    bucket: int
+    repeated: int
+    hot: int
+
+    @staticmethod
+    def of(text_bytes: int) -> Sizes:
+        """For so many bytes of text, at about six a shingle: a counter seldom holds two shingles, a range a few hundred thousand."""
+        lg = max(1, text_bytes // 6).bit_length()
+        return Sizes(*(int(np.clip(lg + x, lo, hi)) for x, lo, hi in ((6, 32, 48), (-18, 6, 16), (1, 20, 30), (-1, 18, 27))))
 
 
 def least_overlap(n: int | np.ndarray, m: int | np.ndarray):
@@ -203,140 +225,190 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
-def _count_side(batches) -> Iterator:
-    """Map side: for each range of the hash, the distinct upper halves of shingle hashes with counts; and packed document rows."""
-    import pyarrow as pa
+def _count_side(sizes: Sizes):
+    """Map side: for each range of the hash, the distinct shingles' hashes (cut to the counters' bits) with counts; and packed document rows."""
 
-    names = ["bucket", "a", "b"]
+    def run(batches) -> Iterator:
+        import pickle
 
-    def flush(held):
-        if held:
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(token, np.arange(0, (1 << _BUCKET_BITS) + 1, dtype=np.uint64) << np.uint64(32 - _BUCKET_BITS))
-            rows = [(i, _pack(np.diff(token[x:y], prepend=np.uint32(0))), _pack(np.minimum(count[x:y], 255).astype(np.uint8))) for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names)
+        import pyarrow as pa
 
-    held, size, salt = [], 0, 0
-    for batch in batches:
-        data, offsets = arrow_text(batch.column(1))
-        ids = batch.column(0).to_pylist()
-        docs = []
-        step = 512
-        for at in range(0, len(ids), step):
-            sets = shingle_sets(data, offsets[at : at + step + 1], SHINGLE)
-            for key, s in zip(ids[at : at + step], sets):
-                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                docs.append((key, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
-                if len(s):
-                    held.append((s >> np.uint64(32)).astype(np.uint32))
-                    size += len(s)
-            if size >= _FLUSH:
-                yield from flush(held)
-                held, size = [], 0
-        if docs:
-            import pickle
-
-            salt += 1
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - (hash((docs[0][0], salt)) & 0xFFFFF)], pa.int32()), pa.array([pickle.dumps(list(zip(*docs)))], pa.binary()), pa.array([b""], pa.binary())], names)
-    yield from flush(held)
-
-
-def _count_merge(batches) -> Iterator:
-    """Reduce side: marks of hot shingles for each range (a packed bitmap), and the document rows."""
-    import pickle
+        names = ["bucket", "a", "b"]
+        inner = sizes.token - sizes.bucket
 
-    import pyarrow as pa
+        def flush(held):
+            if held:
+                token, count = np.unique(np.concatenate(held), return_counts=True)
+                bucket = (token >> np.uint64(inner)).astype(np.int32)
+                low = (token & np.uint64((1 << inner) - 1)).astype(np.uint32)
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                rows = [(bucket[x], _pack(np.diff(low[x:y], prepend=np.uint32(0))), _pack(np.minimum(count[x:y], 255).astype(np.uint8))) for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(token)])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names)
 
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["bucket", "marks", "hot", "doc_id", "n", "d1", "d2"]
-    parts: dict[int, list] = {}
-    for batch in batches:
-        for bucket, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            if bucket < 0:
-                ids, n, d1, d2 = pickle.loads(a)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(ids), k) for k in kinds[:3]), *(pa.array(x, pa.int64()) for x in (ids, n, d1, d2))], names)
-            else:
-                parts.setdefault(bucket, []).append((a, b))
-    for bucket, pieces in parts.items():
-        token = np.concatenate([np.cumsum(_unpack(a, np.uint32), dtype=np.uint32) for a, _ in pieces])
-        count = np.concatenate([_unpack(b, np.uint8) for _, b in pieces]).astype(np.int64)
-        order = np.argsort(token, kind="stable")
-        token, count = token[order], count[order]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        total = np.add.reduceat(count, first)
-        filters = []
-        for bits, least in ((REPEATED_BITS, 2), (FILTER_BITS, HOT_DF + 1)):
-            marks = np.zeros(1 << bits - _BUCKET_BITS, bool)
-            marks[(token[first][total >= least] >> np.uint32(32 - bits)).astype(np.int64) & len(marks) - 1] = True
-            filters.append(np.packbits(marks).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], kinds[0]), *(pa.array([f], pa.binary()) for f in filters), *(pa.nulls(1, pa.int64()) for _ in range(4))], names)
-
-
-def _prefixes(shared):
-    """Map side: (shingle, doc) for the marked part of each set's prefix; copies inside the task are left to the classes."""
+        held, size, salt = [], 0, 0
+        for batch in batches:
+            data, offsets = arrow_text(batch.column(1))
+            ids = batch.column(0).to_pylist()
+            docs = []
+            step = 512
+            for at in range(0, len(ids), step):
+                sets = shingle_sets(data, offsets[at : at + step + 1], SHINGLE)
+                for key, s in zip(ids[at : at + step], sets):
+                    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    docs.append((key, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+                    if len(s):
+                        held.append(s >> np.uint64(64 - sizes.token))
+                        size += len(s)
+                if size >= _FLUSH:
+                    yield from flush(held)
+                    held, size = [], 0
+            if docs:
+                salt += 1
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - (hash((docs[0][0], salt)) & 0xFFFFF)], pa.int32()), pa.array([pickle.dumps(list(zip(*docs)))], pa.binary()), pa.array([b""], pa.binary())], names)
+        yield from flush(held)
+
+    return run
+
+
+def _count_merge(sizes: Sizes):
+    """Reduce side: marks of repeated and of hot shingles for each range (packed bitmaps), and the document rows."""
+
+    def run(batches) -> Iterator:
+        import pickle
+
+        import pyarrow as pa
+
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["bucket", "marks", "hot", "doc_id", "n", "d1", "d2"]
+        inner = sizes.token - sizes.bucket
+        parts: dict[int, list] = {}
+        for batch in batches:
+            for bucket, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket < 0:
+                    ids, n, d1, d2 = pickle.loads(a)
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(ids), k) for k in kinds[:3]), *(pa.array(x, pa.int64()) for x in (ids, n, d1, d2))], names)
+                else:
+                    parts.setdefault(bucket, []).append((a, b))
+        for bucket, pieces in parts.items():
+            marks = [(bits, least, np.zeros(1 << bits - sizes.bucket, bool)) for bits, least in ((sizes.repeated, 2), (sizes.hot, HOT_DF + 1))]
+            # a range is merged in slices of bounded size: packed pieces are some bytes a shingle, merged ones many
+            slices = 1 << max(0, (sum(len(b) for _, b in pieces) >> 22).bit_length())
+            for k in range(slices):
+                tokens, counts = [], []
+                for a, b in pieces:
+                    token = np.cumsum(_unpack(a, np.uint32), dtype=np.uint32)
+                    x, y = np.searchsorted(token, [(k << inner) // slices, ((k + 1) << inner) // slices])
+                    tokens.append(token[x:y])
+                    counts.append(_unpack(b, np.uint8)[x:y])
+                token, count = np.concatenate(tokens), np.concatenate(counts).astype(np.int64)
+                if not len(token):
+                    continue
+                order = np.argsort(token, kind="stable")
+                token, count = token[order], count[order]
+                first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+                total = np.add.reduceat(count, first)
+                for bits, least, bitmap in marks:
+                    bitmap[(token[first][total >= least] >> np.uint32(sizes.token - bits)).astype(np.int64)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], kinds[0]), *(pa.array([np.packbits(m).tobytes()], pa.binary()) for _, _, m in marks), *(pa.nulls(1, pa.int64()) for _ in range(4))], names)
+
+    return run
+
+
+def _prefixes(shared, sizes: Sizes, combine: bool = True):
+    """Map side: the marked part of each set's prefix, as rows (token, doc, root).
+
+    combine: of a shingle's documents in the task's hands only the smallest is sent, and the others are tied to it: rows
+    with a root, for which token only deals them. Else every (token, doc).
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        def sent(token, doc, root=None):
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(doc), pa.nulls(len(doc), pa.int64()) if root is None else pa.array(root)], ["token", "doc", "root"])
+
+        def flush():
+            token, doc = np.concatenate(tokens).view(np.int64), np.concatenate(owners)
+            if not combine:
+                yield sent(token, doc)
+                return
+            order = np.lexsort((doc, token))
+            token, doc = token[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            yield sent(token[first], doc[first])
+            least = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
+            ties = np.unique(np.stack([least, doc], 1)[least != doc], axis=0)
+            if len(ties):
+                for stars in _forest([pa.RecordBatch.from_arrays([pa.array(ties[:, 0].copy()), pa.array(ties[:, 1].copy())], ["a", "b"])]):
+                    node = stars.column(0).to_numpy()
+                    yield sent(mix(node.view(np.uint64)).view(np.int64), node, stars.column(1).to_numpy())
+
         repeated, hot = shared.value
         seen: set[bytes] = set()
+        tokens, owners, held = [], [], 0
         for batch in batches:
             data, offsets = arrow_text(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(ids), 512):
-                tokens, owners = [], []
                 for key, s in zip(ids[at : at + 512], shingle_sets(data, offsets[at : at + 513], SHINGLE)):
                     n = len(s)
-                    marked = s[_marked(repeated, (s >> np.uint64(64 - REPEATED_BITS)).astype(np.int64))]
+                    marked = s[_marked(repeated, (s >> np.uint64(64 - sizes.repeated)).astype(np.int64))]
                     length = n - -(-3 * n // 4) + 1 - (n - len(marked))
                     if length <= 0 or not n:
                         continue
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    if digest in seen:
+                    if digest in seen:  # copies inside the task are left to the classes
                         continue
                     seen.add(digest)
-                    late = _marked(hot, (marked >> np.uint64(64 - FILTER_BITS)).astype(np.int64))
+                    late = _marked(hot, (marked >> np.uint64(64 - sizes.hot)).astype(np.int64))
                     if late.any():
                         marked = np.concatenate([marked[~late], marked[late]])
                     tokens.append(marked[:length])
                     owners.append(np.full(len(tokens[-1]), key, np.int64))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))], ["token", "doc"])
+                    held += len(tokens[-1])
+                if held >= _POSTINGS:
+                    yield from flush()
+                    tokens, owners, held = [], [], 0
+        if held:
+            yield from flush()
 
     return run
 
 
-def _ties(batches) -> Iterator:
-    """Reduce side: the documents of a shingle are tied; a task's ties become trees, one row (root, other documents) each."""
+def _stars(ties: np.ndarray) -> Iterator:
+    """Edges (n x 2) as trees: rows (root, other documents), a long list in pieces."""
     import pyarrow as pa
 
-    tokens, docs = [], []
-    for batch in batches:
-        tokens.append(batch.column(0).to_numpy(zero_copy_only=False))
-        docs.append(batch.column(1).to_numpy(zero_copy_only=False))
-    if not tokens:
-        return
-    token, doc = np.concatenate(tokens), np.concatenate(docs)
-    del tokens, docs
-    order = np.argsort(token)
-    token, doc = token[order], doc[order]
-    first = np.concatenate([[True], token[1:] != token[:-1]])
-    again = ~first
-    again[:-1] |= ~first[1:]  # in groups of two or more
-    token, doc, first = token[again], doc[again], first[again]
-    if not len(token):
-        return
-    at = np.flatnonzero(first)
-    hub = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(doc))))
-    ties = np.unique(np.stack([hub, doc], 1)[hub != doc], axis=0)
     for stars in _forest([pa.RecordBatch.from_arrays([pa.array(ties[:, 0].copy()), pa.array(ties[:, 1].copy())], ["a", "b"])]):
         node, root = stars.column(0).to_numpy(), stars.column(1).to_numpy()
         order = np.argsort(root, kind="stable")
         node, root = node[order], root[order]
-        cuts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+        place = np.arange(len(root))
+        start = np.concatenate([[True], root[1:] != root[:-1]])
+        begin = np.maximum.accumulate(np.where(start, place, 0))
+        cuts = np.flatnonzero(start | ((place - begin) % _LIST == 0))
         yield pa.RecordBatch.from_arrays([pa.array(root[cuts]), pa.ListArray.from_arrays(pa.array(np.append(cuts, len(root)).astype(np.int32)), pa.array(node))], ["a", "b"])
 
 
+def _ties(batches) -> Iterator:
+    """Reduce side: the documents of a shingle are tied; a task's ties become trees."""
+    columns = [np.concatenate(c) for c in zip(*([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)] + [np.asarray(batch.column(2).fill_null(-1)), np.asarray(batch.column(2).is_valid())] for batch in batches))]
+    if not columns:
+        return
+    token, doc, root, tied = columns
+    ties = [np.stack([root[tied], doc[tied]], 1).astype(np.int64)]
+    token, doc = token[~tied], doc[~tied].astype(np.int64)
+    if len(token):
+        order = np.argsort(token)
+        token, doc = token[order], doc[order]
+        at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        hub = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(doc))))
+        ties.append(np.stack([hub, doc], 1)[hub != doc])
+    both = np.unique(np.concatenate(ties), axis=0)
+    if len(both):
+        yield from _stars(both)
+
+
 def _unpacked(batches) -> Iterator:
     """Trees (root, other nodes) of several tasks as one forest of edges."""
     import pyarrow as pa
@@ -393,11 +465,8 @@ def _tiles(batches) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names)
 
 
-def _mixed(batches) -> Iterator:
-    """Reduce side, rows (token, doc, label, n): pairs of different components that share a shingle and could link by size.
-
-    A shingle of more than HOT_DF documents gives its documents alone (b is null).
-    """
+def _cold_pairs(batches) -> Iterator:
+    """Rows (token, doc, label, n), a token's in one task and at most HOT_DF: pairs of different labels that could link by size."""
     import pyarrow as pa
 
     columns = [np.concatenate(c) for c in zip(*([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for batch in batches))]
@@ -406,38 +475,46 @@ def _mixed(batches) -> Iterator:
     order = np.argsort(columns[0], kind="stable")
     token, doc, label, n = (c[order] for c in columns)
     cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    ends = np.append(cuts[1:], len(token))
-    mixed = np.minimum.reduceat(label, cuts) != np.maximum.reduceat(label, cuts)
     pairs: set[tuple[int, int]] = set()
-    hot: set[int] = set()
-    for a, b in zip(cuts[mixed].tolist(), ends[mixed].tolist()):
-        if b - a > HOT_DF:
-            hot.update(doc[a:b].tolist())
-            continue
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(token)]):
         i, j = np.triu_indices(b - a, 1)
         i, j = i + a, j + a
         good = (label[i] != label[j]) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
         i, j = doc[i[good]], doc[j[good]]
         pairs.update(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
-    rows = [*pairs, *((x, None) for x in hot)]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b"])
+    if pairs:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
+
 
+def _every_shingle(batches) -> Iterator:
+    import pyarrow as pa
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A packed filter of 2**FILTER_BITS bits with each id's place marked; its size is fixed whatever the ids are."""
+    for batch in batches:
+        data, offsets = arrow_text(batch.column(1))
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for at in range(0, len(ids), 512):
+            sets = shingle_sets(data, offsets[at : at + 513], SHINGLE)
+            if total := sum(map(len, sets)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids[at : at + 512], [len(s) for s in sets]).astype(np.int64))], ["token", "doc"])
+
+
+# ------------------------------------------------------------------ filters
+
+
+def id_filter(ids: DataFrame, bits: int, bucket: int = 8) -> np.ndarray:
+    """A packed filter of 2**bits bits with each id's place marked."""
     width = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = 1 << FILTER_BITS - _BUCKET_BITS
+    slots = 1 << bits - bucket
 
     def segments(batches):
         import pyarrow as pa
 
         marks: dict[int, np.ndarray] = {}
         for batch in batches:
-            at = _slots(batch.column(0).to_numpy(zero_copy_only=False))
-            for bucket in np.unique(at >> FILTER_BITS - _BUCKET_BITS).tolist():
-                part = at[at >> FILTER_BITS - _BUCKET_BITS == bucket] & slots - 1
-                marks.setdefault(bucket, np.zeros(slots, bool))[part] = True
+            at = _slots(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            for b in np.unique(at >> bits - bucket).tolist():
+                part = at[at >> bits - bucket == b] & slots - 1
+                marks.setdefault(b, np.zeros(slots, bool))[part] = True
         if marks:
             yield pa.RecordBatch.from_arrays([pa.array(list(marks), pa.int32()), pa.array([np.packbits(m).tobytes() for m in marks.values()], pa.binary())], ["bucket", "marks"])
 
@@ -445,31 +522,31 @@ def id_filter(ids: DataFrame) -> np.ndarray:
         import pyarrow as pa
 
         for batch in batches:
-            at = _slots(batch.column(0).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((at >> FILTER_BITS - _BUCKET_BITS).astype(np.int32))], ["id", "bucket"])
+            at = _slots(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((at >> bits - bucket).astype(np.int32))], ["id", "bucket"])
 
     dealt = ids.toDF("id").mapInArrow(keyed, "id bigint, bucket int").repartition(width, "bucket").select("id")
-    return _gathered(dealt.mapInArrow(segments, "bucket int, marks binary"))
+    return _gathered(dealt.mapInArrow(segments, "bucket int, marks binary"), bits, bucket)
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _marked(marks: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (marks[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _gathered(rows: DataFrame, filter_bits: int = FILTER_BITS) -> np.ndarray:
+def _gathered(rows: DataFrame, bits: int, bucket: int) -> np.ndarray:
     """The segments (bucket, marks) of a filter as one array."""
-    out = np.zeros((1 << _BUCKET_BITS, 1 << filter_bits - _BUCKET_BITS - 3), np.uint8)
+    out = np.zeros((1 << bucket, 1 << bits - bucket - 3), np.uint8)
     found = rows.toArrow()
-    for bucket, bits in zip(found.column("bucket").to_pylist(), found.column("marks").to_pylist()):
-        out[bucket] |= np.frombuffer(bits, np.uint8)
+    for at, raw in zip(found.column("bucket").to_pylist(), found.column("marks").to_pylist()):
+        out[at] |= np.frombuffer(raw, np.uint8)
     return out.ravel()
 
 
-def _passing(shared):
+def _passing(shared, bits: int):
     """Documents whose id is marked."""
 
     def run(batches):
@@ -477,7 +554,7 @@ def _passing(shared):
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(_marked(shared.value, _slots(ids))))
+            yield batch.filter(pa.array(_marked(shared.value, _slots(ids, bits))))
 
     return run
 
@@ -495,60 +572,79 @@ def _joined(rows: DataFrame, name: str) -> DataFrame:
     return materialize(dealt.mapInArrow(_tiles, "a bigint, b bigint, tiles bigint"), name)
 
 
-def _tiled(members: DataFrame) -> DataFrame:
+def _tiled(members: DataFrame, keys: tuple[str, ...] = ("cluster",)) -> DataFrame:
     """doc, cluster, n -> with tiles (their number) and tile: bounded by documents and by shingles."""
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    return members.join(sizes, "cluster").withColumn("tile", F.pmod(F.xxhash64("doc", "tiles"), F.col("tiles")).cast("int"))
+    sizes = members.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    return spread_join(members, sizes, list(keys), ["doc"]).withColumn("tile", F.pmod(F.xxhash64("doc", "tiles"), F.col("tiles")).cast("int"))
+
 
+def _classes(sizes: DataFrame) -> DataFrame:
+    """doc_id, n, rep (the smallest id with an equal set; null for a null id). A set that many documents have is found and told by parts."""
+    parts = ["n", "d1", "d2"]
+    salts = max(64, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = sizes.where("doc_id is not null").withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    some = salted.where("n > 0").groupBy(*parts, "__part").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    some = materialize(some, "jaccard-parts")
+    heads = some.groupBy(*parts).agg(F.min("least").alias("rep"), F.max("most").alias("most")).where("rep < most").drop("most")
+    told = some.select(*parts, "__part").join(heads, parts)
+    found = salted.join(told, [*parts, "__part"], "left")
+    return found.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")).union(sizes.where("doc_id is null").select("doc_id", "n", "doc_id"))
 
+
+@scratch("jaccard-found")
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (columns doc_id and text are used)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    bits = Sizes.of(docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0)
 
-    counted = docs.mapInArrow(_count_side, "bucket int, a binary, b binary").repartition(width, "bucket").mapInArrow(_count_merge, "bucket int, marks binary, hot binary, doc_id bigint, n bigint, d1 bigint, d2 bigint")
+    counted = docs.mapInArrow(_count_side(bits), "bucket int, a binary, b binary").repartition(width, "bucket").mapInArrow(_count_merge(bits), "bucket int, marks binary, hot binary, doc_id bigint, n bigint, d1 bigint, d2 bigint")
     counted = materialize(counted, "jaccard-counts")
     segments = counted.where("bucket is not null")
-    shared = spark.sparkContext.broadcast((_gathered(segments.select("bucket", "marks"), REPEATED_BITS), _gathered(segments.select("bucket", F.col("hot").alias("marks")))))
-    sizes = counted.where("bucket is null").select("doc_id", "n", "d1", "d2")
-    classes = sizes.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classed = sizes.join(classes, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
-    classed = materialize(classed, "jaccard-classes")
+    shared = spark.sparkContext.broadcast((_gathered(segments.select("bucket", "marks"), bits.repeated, bits.bucket), _gathered(segments.select("bucket", F.col("hot").alias("marks")), bits.hot, bits.bucket)))
+    classed = materialize(_classes(counted.where("bucket is null").select("doc_id", "n", "d1", "d2")), "jaccard-classes")
 
-    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(shared), "token bigint, doc bigint")
+    postings = "token bigint, doc bigint, root bigint"
+    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(shared, bits), postings)
     trees = materialize(prefixes.repartition(width, "token").mapInArrow(_ties, "a bigint, b array<bigint>"), "jaccard-ties")
     ties = trees.mapInArrow(_unpacked, "a bigint, b bigint")
-    of = classed.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("d"), "rep", "n").distinct()
-    edges = ties.distinct().join(of.select(F.col("d").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("d").alias("b"), F.col("rep").alias("rb")), "b")
+    of = classed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("rep", "n")).alias("m")).select(F.col("doc_id").alias("d"), "m.rep", "m.n")
+    edges = spread_join(ties.distinct(), of.select(F.col("d").alias("a"), F.col("rep").alias("ra")), ["a"], ["b"])
+    edges = edges.join(of.select(F.col("d").alias("b"), F.col("rep").alias("rb")), "b")
     clusters = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b"), "jaccard-cc")
-    sized = of.where("d = rep").groupBy("rep").agg(F.max("n").alias("n"))
-    members = materialize(_tiled(clusters.withColumnRenamed("comp", "cluster").join(sized, F.col("node") == F.col("rep")).select(F.col("node").alias("doc"), "cluster", "n")), "jaccard-members")
-
-    # texts of the clusters' documents only: by the fixed filter first, so that the rest isn't shuffled
-    inside = spark.sparkContext.broadcast(id_filter(members.select("doc")))
-    few = docs.where("doc_id is not null").mapInArrow(_passing(inside), "doc_id bigint, text string").withColumnRenamed("doc_id", "doc")
-    texts = materialize(few.join(members.select(F.col("doc").alias("__m")), F.col("doc") == F.col("__m"), "left_semi").dropDuplicates(["doc"]), "jaccard-texts")
+    members = clusters.withColumnRenamed("comp", "cluster").join(of.where("d = rep"), F.col("node") == F.col("rep"))
+    members = materialize(_tiled(members.select(F.col("node").alias("doc"), "cluster", "n")), "jaccard-members")
+
+    # texts of the clusters' documents only: by a filter first, so that the rest isn't shuffled
+    inner = int(np.clip(members.count().bit_length() + 4, 16, 30))
+    inside = spark.sparkContext.broadcast(id_filter(members.select("doc"), inner))
+    few = docs.where("doc_id is not null").mapInArrow(_passing(inside, inner), "doc_id bigint, text string").withColumnRenamed("doc_id", "doc")
+    texts = few.join(members.select(F.col("doc").alias("__m")), F.col("doc") == F.col("__m"), "left_semi")
+    texts = materialize(texts.groupBy("doc").agg(F.min("text").alias("text")), "jaccard-texts")
     plain = members.select("doc", "cluster", "tile", F.col("doc").alias("label"), F.lit(None).cast("boolean").alias("probe"), "tiles")
     links = _joined(_with_text(texts, plain), "jaccard-links")
     comps = links.where("tiles = 1").select(F.col("a").alias("node"), F.col("b").alias("comp"))
     large = members.where("tiles > 1")
     if large.limit(1).count():
-        comps = comps.union(components(_across_tiles(texts, large, links.where("tiles > 1"), shared), "jaccard-final"))
-    out = classed.join(comps, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
-
-
-def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, shared) -> DataFrame:
-    """Completes the links of clusters with several tiles."""
+        posts = texts.mapInArrow(_prefixes(shared, bits, combine=False), postings).select("token", "doc")
+        comps = comps.union(components(_across_tiles(texts, large, links.where("tiles > 1"), posts), "jaccard-final"))
+    out = spread_join(classed.where("doc_id is not null"), comps.withColumnRenamed("node", "rep"), ["rep"], ["doc_id"], "left")
+    out = out.select("doc_id", "n", F.coalesce("comp", "rep").alias("comp")).union(classed.where("doc_id is null").select("doc_id", "n", "rep"))
+    result = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
+    shared.unpersist()
+    inside.unpersist()
+    return result
+
+
+def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, posts: DataFrame) -> DataFrame:
+    """Completes the links of clusters with several tiles. posts: token, doc of the prefixes under the filters' order."""
     links = links.select("a", "b")
 
     def labelled(links: DataFrame) -> DataFrame:
         comps = components(links, "jaccard-part")
         found = large.join(comps, F.col("doc") == F.col("node"), "left").select("doc", "cluster", "n", "tiles", "tile", F.coalesce("comp", "doc").alias("label"))
-        out = materialize(found, "jaccard-labels")
-        discard(comps)
-        return out
+        return materialize(found, "jaccard-labels")
 
     now = labelled(links)
     while True:  # representatives of components, until one tile holds those of each cluster or they stay as many
@@ -564,47 +660,77 @@ def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, shared)
                 now = labelled(links)
         if not merged or not several:
             break
-    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    inside = texts.join(now.select(F.col("doc").alias("__d")), F.col("doc") == F.col("__d"), "left_semi")
-    labels = now.select(F.col("doc").alias("__d"), "label", "n")
-    posts = inside.mapInArrow(_prefixes(shared), "token bigint, doc bigint").join(labels, F.col("doc") == F.col("__d")).select("token", "doc", "label", "n")
-    found = materialize(posts.repartition(width, "token").mapInArrow(_mixed, "a bigint, b bigint").distinct(), "jaccard-mixed")
-    pairs = found.where("b is not null")
-    if pairs.limit(1).count():
-        of = now.select(F.col("doc").alias("__d"), "label")
-        ones = pairs.select("a").distinct().select(F.col("a").alias("cluster"), F.col("a").alias("doc"), F.lit(True).alias("probe"))
-        rows = ones.union(pairs.select("a", "b", F.lit(False))).join(of, F.col("doc") == F.col("__d"))
-        more = _joined(_with_text(texts, rows.select("doc", "cluster", F.lit(0).alias("tile"), "label", "probe", F.lit(2).alias("tiles"))), "jaccard-links").select("a", "b")
-        if more.limit(1).count():
-            links = links.union(more)
-            now = labelled(links)
-    dense = now.join(found.where("b is null").select(F.col("a").alias("__d")), F.col("doc") == F.col("__d"), "left_semi")
-    dense = materialize(_tiled(dense.select("doc", "cluster", "n", "label")), "jaccard-dense")
-    counts = dense.groupBy("cluster", "label").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("parts"), F.sum("c").alias("all"))
-    pieces = F.ceil((F.col("all") - F.col("m.c")) / TILE_DOCS).cast("int")
-    several = largest.where("parts > 1").select("cluster", F.col("m.label").alias("top"), pieces.alias("pieces"))
-    # each document apart meets every tile of its cluster: groups of one tile and one piece of those apart
-    open_ = dense.join(several, "cluster")
-    piece = F.pmod(F.xxhash64("doc", "pieces", F.lit("piece")), F.col("pieces")).cast("int")
-    apart = open_.where("label <> top").withColumn("piece", piece).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    base = open_.withColumn("at", F.col("tile")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    both = [x.select("doc", "cluster", (F.col("at") * F.col("pieces") + F.col("piece")).cast("int").alias("tile"), "label", F.lit(p).alias("probe"), "tiles") for x, p in ((apart, True), (base, False))]
+
+    def compared(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(links, labels, postings of hot shingles that stand in several components) after the pairs of all others."""
+        nonlocal links, now
+        width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        posts = materialize(posts.join(now.select("doc", "label", "n"), "doc").select("token", "doc", "label", "n"), "jaccard-posts")
+        stats = posts.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token", "df")
+        found = materialize(spread_join(posts, stats, ["token"], ["doc"]), "jaccard-mixed")
+        cold = found.where(F.col("df") <= HOT_DF).select("token", "doc", "label", "n").repartition(width, "token")
+        pairs = materialize(cold.mapInArrow(_cold_pairs, "a bigint, b bigint").distinct(), "jaccard-pairs")
+        if pairs.limit(1).count():
+            counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE_DOCS).cast("int").alias("parts"))
+            dealt = spread_join(pairs, counts, ["a"], ["b"]).withColumn("tile", F.pmod(F.xxhash64("b", "parts"), F.col("parts")).cast("int"))
+            ones = counts.select(F.col("a").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("tile"), F.col("a").alias("doc"), F.lit(True).alias("probe"))
+            rows = ones.union(dealt.select("a", "tile", "b", F.lit(False))).join(now.select("doc", "label"), "doc")
+            more = _joined(_with_text(texts, rows.withColumn("tiles", F.lit(2))), "jaccard-links").select("a", "b")
+            if more.limit(1).count():
+                links = links.union(more)
+                now = labelled(links)
+        hot = found.where(F.col("df") > HOT_DF).select("token", "doc").join(now.select("doc", "label"), "doc")
+        still = hot.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
+        return materialize(spread_join(hot, still, ["token"], ["doc"]).select("doc").distinct(), "jaccard-dense")
+
+    dense = compared(posts)
+    if not dense.limit(1).count():
+        return links
+    # the same among the documents of hot shingles, with prefixes by their exact frequency there
+    every = materialize(texts.join(dense, "doc", "left_semi").select("doc", "text").mapInArrow(_every_shingle, "token bigint, doc bigint"), "jaccard-every")
+    counts = every.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = spread_join(every, counts, ["token"], ["doc"]).withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy("df", "token")))
+    prefix = ranked.join(now.select("doc", "n"), "doc").where("df > 1 and r <= n - ceil(3 * n / 4) + 1").select("token", "doc")
+    dense = compared(prefix)
+    if not dense.limit(1).count():
+        return links
+    rows = now.join(dense, "doc", "left_semi").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int"))
+    rows = materialize(_tiled(rows.select("doc", "cluster", "n", "label", "size"), ("cluster", "size")), "jaccard-sized")
+    counts = rows.groupBy("cluster", "label").agg(F.count("*").alias("c"))
+    largest = counts.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("cluster", F.col("m.label").alias("top"))
+    open_ = materialize(spread_join(rows, largest, ["cluster"], ["doc"]), "jaccard-open")
+    # each document apart meets the tiles of its own and the next size classes: groups of one tile and one piece of those apart
+    apart = open_.where("label <> top").select("doc", "cluster", "label", F.explode(F.array(*(F.col("size") + i for i in (-1, 0, 1)))).alias("size"))
+    pieces = apart.groupBy("cluster", "size").agg(F.ceil(F.count("*") / TILE_DOCS).cast("int").alias("pieces"))
+    tiles = rows.groupBy("cluster", "size").agg(F.max("tiles").alias("tiles"))
+    grid = pieces.join(tiles, ["cluster", "size"])
+    place = F.concat_ws("/", F.col("size").cast("string"), F.col("at").cast("string"), F.col("piece").cast("string")).alias("tile")
+    a = spread_join(apart, grid, ["cluster", "size"], ["doc"]).withColumn("piece", F.pmod(F.xxhash64("doc", "pieces", F.lit("piece")), F.col("pieces")).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    b = spread_join(open_.drop("tiles"), grid, ["cluster", "size"], ["doc"]).withColumn("at", F.col("tile")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    both = [x.select("doc", "cluster", place, "label", F.lit(p).alias("probe"), F.lit(2).alias("tiles")) for x, p in ((a, True), (b, False))]
     return links.union(_joined(_with_text(texts, both[0].union(both[1])), "jaccard-links").select("a", "b"))
 
 
+def _chosen(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Of the rows with one id in ids (column key) one, the same however the rows are dealt."""
+    mark, nth = fresh([*docs.columns, key], "mark", "nth")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    some = docs.join(ids, F.col("doc_id").cast("bigint") == F.col(key), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(mark, *quoted(["text"]))
+    return some.withColumn(mark, F.xxhash64(*quoted(plain))).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(mark, nth)
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component stays (the smallest id), with all columns; rows without id stay; of repeated rows, one."""
-    found = materialize(similar_documents(docs), "jaccard-found")
+    found = similar_documents(docs)
+    gone, twice = fresh(docs.columns, "gone", "twice")
     counts = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("times"))
-    gone = counts.where("c <> doc_id").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
-    again = counts.where("times > 1 and c = doc_id").select("doc_id")
+    kept = docs.join(counts.where("c <> doc_id").select(F.col("doc_id").alias(gone)), F.col("doc_id").cast("bigint") == F.col(gone), "left_anti")
+    again = counts.where("times > 1 and c = doc_id").select(F.col("doc_id").alias(twice))
     if again.limit(1).count():
-        twice = again.withColumnRenamed("doc_id", "__twice")
-        one = kept.join(twice, F.col("doc_id").cast("bigint") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(twice, F.col("doc_id").cast("bigint") == F.col("__twice"), "left_anti").unionByName(one)
-    return kept.select(*docs.columns)
+        one = _chosen(kept, again, twice)
+        kept = kept.join(again, F.col("doc_id").cast("bigint") == F.col(twice), "left_anti").unionByName(one)
+    return kept.select(*quoted(docs.columns))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
