@@ -5,7 +5,7 @@ the result is each document's connected component. The way there is exact (up to
 
 1. One pass counts every shingle's documents in hashed counters, dealt by ranges of the hash. Shingles of two or more
    documents are marked in one filter, those of more than HOT_DF in another; the counters, the ranges and both filters grow
-   with the bytes of text (`Sizes`) up to 128 MB and 16 MB, so both can go to every executor. (A filter that fills up costs
+   with the bytes of text (`Sizes`), the filters from 32 and 8 MB to 128 and 16 MB, so both can go to every executor. (A filter that fills up costs
    postings, not links.) The same pass returns each document's size and 128-bit digest; equal sets are one class.
 2. A second pass takes the prefix of each set under the order (marks, hash): n - ceil(3n/4) + 1 shingles, of which two
    linked sets always share one. Unmarked shingles stand in one document only and needn't be sent: a text of its own that
@@ -64,7 +64,7 @@ class Sizes:
     def of(text_bytes: int) -> Sizes:
         """For so many bytes of text, at about six a shingle: a counter seldom holds two shingles, a range a few hundred thousand."""
         lg = max(1, text_bytes // 6).bit_length()
-        return Sizes(*(int(np.clip(lg + x, lo, hi)) for x, lo, hi in ((6, 32, 48), (-18, 6, 16), (1, 20, 30), (-1, 18, 27))))
+        return Sizes(*(int(np.clip(lg + x, lo, hi)) for x, lo, hi in ((6, 32, 48), (-18, 8, 16), (1, 28, 30), (-1, 26, 27))))
 
 
 def least_overlap(n: int | np.ndarray, m: int | np.ndarray):
@@ -610,8 +610,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     trees = materialize(prefixes.repartition(width, "token").mapInArrow(_ties, "a bigint, b array<bigint>"), "jaccard-ties")
     ties = trees.mapInArrow(_unpacked, "a bigint, b bigint")
     of = classed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("rep", "n")).alias("m")).select(F.col("doc_id").alias("d"), "m.rep", "m.n")
-    edges = spread_join(ties.distinct(), of.select(F.col("d").alias("a"), F.col("rep").alias("ra")), ["a"], ["b"])
-    edges = edges.join(of.select(F.col("d").alias("b"), F.col("rep").alias("rb")), "b")
+    edges = ties.distinct().join(of.select(F.col("d").alias("a"), F.col("rep").alias("ra")), "a")
+    edges = spread_join(edges, of.select(F.col("d").alias("b"), F.col("rep").alias("rb")), ["b"], ["a"])
     clusters = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b"), "jaccard-cc")
     members = clusters.withColumnRenamed("comp", "cluster").join(of.where("d = rep"), F.col("node") == F.col("rep"))
     members = materialize(_tiled(members.select(F.col("node").alias("doc"), "cluster", "n")), "jaccard-members")
