@@ -121,6 +121,16 @@ def quoted(names: Iterable[str]) -> list[str]:
     return ["`" + n.replace("`", "``") + "`" for n in names]
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The number of a column, found as Spark does, without regard to case."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1 and so on: mapInArrow can't take names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
     """many with few's columns on keys, of which few has one row each and many may have any share of its rows.
 
