@@ -6,11 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wordmill.llm import language as L
 from wordmill.llm import quality as Q
 from wordmill.llm import urls as U
+from wordmill.llm.common import arrow_text
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -42,6 +44,38 @@ def test_network_batches_equal_singles():
         assert s == pytest.approx(want, abs=1e-4)
 
 
+def test_quality_model_depends_on_rows_only(spark):
+    """Ids with both labels, repeated rows and different texts under one id; whole texts; two partitionings give one model."""
+    words = np.array(["good", "fine", "text", "words", "http", "click", "buy", "###"])
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join(rng.choice(words[4:] if i % 2 else words[:4], 40))) for i in range(80)]
+    docs += [(0, "other text"), (1, docs[1][1]), (200, "long " * 5_000), (None, "x"), (3, None)]
+    labels = [(i, 1 - i % 2, 0) for i in range(80)] + [(4, 0, 0), (200, 1, 1), (None, 1, 0), (7, None, 0), (8, 5, 0)]
+    a = Q.train(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    b = Q.train(spark.createDataFrame(docs[::-1], "doc_id bigint, text string").repartition(5), spark.createDataFrame(labels[::-1], "doc_id bigint, quality int, toxic int").repartition(3))
+    assert all((x == y).all() for x, y in zip((a.kernel, a.bias, a.head), (b.kernel, b.bias, b.head))) and a.offset == b.offset
+    s = a.scores(*arrow_text(pa.array([t for _, t in docs[:80]])))
+    assert s[::2].min() > s[1::2].max()
+
+
+def test_gradient_step_lowers_loss():
+    """The whole text counts: only the last tile of long texts tells the labels apart."""
+    texts = [b"same words " * 300 + (b"GOOD ending" if i % 2 else b"zzz ending!") for i in range(40)]
+    y = np.arange(40) % 2 * 1.0
+    net = Q.fit(texts, y, np.ones(40), epochs=30)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    s = net.scores(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    assert s[1::2].min() > s[::2].max()
+
+
+def test_quality_rows(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (2, None, "y"), (None, "", "z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "1 AS c0", "2 AS score", "3 AS __text", "4 AS `a.b`")
+    out = Q.with_scores(df, 0.25, df.columns, "other")
+    assert out.columns == [*df.columns, "other"] and [r["other"] for r in out.collect()] == [0.25] * 4
+    assert Q.with_scores(df.limit(0), 0.25, ["doc_id"]).count() == 0
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "x"), (2, None)], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")

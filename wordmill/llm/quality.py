@@ -5,12 +5,13 @@ overlapping chunks (CHUNK bytes, half of it shared with the next chunk) that cov
 over the chunks feed one logistic unit. A filter's weights for a byte are its embedding times the kernel, kept as one
 table, so scoring is gathers and sums.
 
-Fitting uses a bounded sample of labelled rows: at most SAMPLE documents of each label (lowest hash of the id first) and
-at most TRAIN_CHUNKS evenly spread chunks of each; scoring always reads whole texts. Labels, language, source and id are
-never inputs.
+Fitting uses a bounded sample of labelled rows: at most SAMPLE documents of each label (lowest hash of the id first), each
+with its whole text, like scoring. Labels, language, source and id are never inputs. The sample and so the network depend
+on the rows only, not on their order or partitions.
 
-Defined results: null and empty texts are scored as one chunk of padding; repeated rows and copies get equal scores; an
-empty table gives an empty table; without labels of both kinds every score is the share of label 1 (0.5 if there is none).
+Defined results: null and empty texts are scored as one chunk of padding; repeated rows and copies get equal scores; an id
+with both labels is an example of each; of different texts under one id the smallest is the example; an empty table gives
+an empty table; without labels of both kinds every score is the share of label 1 (0.5 if there is none).
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_text, crc_fold, table
+from .common import arrow_text, crc_fold, numbered_columns, quoted, table
 
 WIDTH, FILTERS, CHUNK = 8, 16, 512
-SAMPLE, TRAIN_CHUNKS, EPOCHS = 1500, 8, 10
+SAMPLE, EPOCHS = 1500, 8
 _TILE = CHUNK // 2
 _PIECE = 1 << 18
 
@@ -85,6 +86,18 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
+def _tile_maxima(net: Network, blocks: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rectified maxima of each tile, tiles x filters, and their places."""
+    act = np.take(net.kernel[0], blocks[:, :_TILE], axis=0)
+    for j in range(1, WIDTH):
+        act += np.take(net.kernel[j], blocks[:, j : j + _TILE], axis=0)
+    act += net.bias
+    for i in np.flatnonzero(valid < _TILE):
+        act[i, valid[i] :] = -1e9
+    where = act.argmax(1)
+    return np.maximum(np.take_along_axis(act, where[:, None], 1)[:, 0], 0), where
+
+
 def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
     """Adam on the weighted logistic loss; gradients flow through the places that won each maximum."""
     rng = np.random.default_rng(seed)
@@ -92,16 +105,11 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int
     params = [net.kernel, net.bias, net.head, np.zeros(1, np.float32)]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
-    views = []
+    views = []  # of each text its tiles (half chunks) with the bytes that the last windows reach into, and their sizes
     for t in texts:
-        raw = np.frombuffer(t, np.uint8)
-        starts = np.arange(0, max(1, len(raw) - _TILE), _TILE)
-        starts = starts[np.unique(np.linspace(0, len(starts) - 1, TRAIN_CHUNKS).astype(int))]
-        block = np.zeros((len(starts), CHUNK + WIDTH - 1), np.uint8)
-        for r, s in enumerate(starts):
-            piece = raw[s : s + CHUNK + WIDTH - 1]
-            block[r, : len(piece)] = piece
-        views.append((block, np.clip(len(raw) - starts, 1, CHUNK)))
+        n = -(-max(1, len(t)) // _TILE)
+        raw = np.frombuffer(t + bytes(n * _TILE + WIDTH - 1 - len(t)), np.uint8)
+        views.append((np.lib.stride_tricks.sliding_window_view(raw, _TILE + WIDTH - 1)[::_TILE], np.clip(max(1, len(t)) - np.arange(n) * _TILE, 1, _TILE)))
     step, batch = 0, 32
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
@@ -110,15 +118,17 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int
             rows = order[k : k + batch]
             blocks = np.concatenate([views[i][0] for i in rows])
             valid = np.concatenate([views[i][1] for i in rows])
-            sizes = np.array([len(views[i][1]) for i in rows])
+            best_at = [_tile_maxima(net, blocks[a : a + 256], valid[a : a + 256]) for a in range(0, len(blocks), 256)]
+            tops, where = (np.concatenate(x) for x in zip(*best_at))
+            # a chunk is a tile and the next one of the same text, or the only one
+            tiles = np.array([len(views[i][1]) for i in rows])
+            ends = np.cumsum(tiles)
+            left = np.setdiff1d(np.arange(len(blocks)), (ends - 1)[tiles > 1])
+            right = np.where(np.isin(left, (ends - 1)[tiles == 1]), left, left + 1)
+            sizes = np.maximum(tiles - 1, 1)
             begin = np.concatenate([[0], np.cumsum(sizes)])
-            act = np.take(net.kernel[0], blocks[:, :CHUNK], axis=0)
-            for j in range(1, WIDTH):
-                act += np.take(net.kernel[j], blocks[:, j : j + CHUNK], axis=0)
-            act += net.bias
-            act[np.arange(CHUNK)[None, :] >= valid[:, None]] = -1e9
-            where = act.argmax(1)
-            top = np.maximum(np.take_along_axis(act, where[:, None], 1)[:, 0], 0)
+            top = np.maximum(tops[left], tops[right])
+            won = np.where(tops[left] >= tops[right], left[:, None], right[:, None])
             mean = np.add.reduceat(top, begin[:-1]) / sizes[:, None]
             best = np.maximum.reduceat(top, begin[:-1])
             feats = np.concatenate([mean, best], 1)
@@ -128,10 +138,9 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int
             back = g[owner, None] * net.head[None, :FILTERS] / sizes[owner, None]
             back = back + g[owner, None] * net.head[None, FILTERS:] * (top == best[owner])
             back = np.where(top > 0, back, 0).astype(np.float32)
-            grad_kernel = np.zeros_like(net.kernel)
             r, f = np.nonzero(back)
-            for j in range(WIDTH):
-                np.add.at(grad_kernel[j], (blocks[r, where[r, f] + j], f), back[r, f])
+            tile = won[r, f]
+            grad_kernel = np.stack([np.bincount(blocks[tile, where[tile, f] + j].astype(np.int64) * FILTERS + f, back[r, f], 256 * FILTERS).reshape(256, FILTERS) for j in range(WIDTH)]).astype(np.float32)
             grads = [grad_kernel, back.sum(0), (g @ feats).astype(np.float32) + 1e-4 * net.head, np.array([g.sum()], np.float32)]
             step += 1
             for p_, m, v, gr in zip(params, first, second, grads):
@@ -157,10 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     spark = docs.sparkSession
     few = spark.createDataFrame([(r["doc_id"], r["quality"]) for r in picked], "k bigint, y int")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("k"), "text").join(F.broadcast(few), "k")
-    # evenly spread pieces of very long texts keep the driver's share bounded: the network sees no more of them in fitting
-    size, part = 2 * CHUNK, 24
-    cut = F.when(F.length("text") <= size * part, F.col("text")).otherwise(F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(part - 1)), lambda i: F.substring("text", (i * (F.length("text") - size) / (part - 1)).cast("int") + 1, F.lit(size)))))
-    got = rows.select("k", "y", F.coalesce(cut, F.lit("")).alias("text")).dropDuplicates(["k"]).toArrow().sort_by("k")
+    got = rows.groupBy("k", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).toArrow().sort_by([("k", "ascending"), ("y", "ascending")])
     if got.num_rows == 0:
         return count[1] / (count[0] + count[1])
     y = got.column("y").to_numpy().astype(float)
@@ -171,7 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
 
 def with_scores(docs: DataFrame, model: Network | float, keep: list[str], name: str = "score") -> DataFrame:
     """The columns `keep` of docs and the score, in one narrow pass over whole texts."""
-    frame = docs.select(F.coalesce("text", F.lit("")).alias("__text"), *keep)
+    frame = docs.select(F.coalesce("text", F.lit("")), *quoted(keep))
+    plain = numbered_columns(frame)
+    out = ["score", *plain.columns[1:]]
 
     def run(batches):
         import pyarrow as pa
@@ -179,10 +187,10 @@ def with_scores(docs: DataFrame, model: Network | float, keep: list[str], name:
         for batch in batches:
             data, offsets = arrow_text(batch.column(0))
             score = model.scores(data, offsets) if isinstance(model, Network) else np.full(batch.num_rows, model)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], [*keep, name])
+            yield pa.RecordBatch.from_arrays([pa.array(score, pa.float64()), *batch.columns[1:]], out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:])
-    return frame.mapInArrow(run, f"{schema}, `{name}` double")
+    schema = ", ".join(["score double", *(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[1:])])
+    return plain.mapInArrow(run, schema).toDF(name, *keep).select(*quoted([*keep, name]))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
