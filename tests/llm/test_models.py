@@ -168,33 +168,64 @@ def test_url_edge_rows(spark):
     assert U.judge(df.limit(0)).count() == 0
 
 
-def brute_word(word: bytes, prob: dict[bytes, float]) -> float:
-    """The sum over all segmentations by recursion."""
-    alpha = [1.0] + [0.0] * len(word)
+def brute_word(word: bytes, prob: dict[bytes, float], longest: int) -> float:
+    """The logarithm of the sum over all segmentations, scaled at each place."""
+    alpha, total = [1.0] + [0.0] * len(word), 0.0
     for p in range(1, len(word) + 1):
-        for q in range(max(0, p - L.MAX_PIECE), p):
+        for q in range(max(0, p - longest), p):
             alpha[p] += alpha[q] * prob.get(word[q:p], 0.0)
-    return alpha[-1]
-
-
-def test_forward_sums_all_segmentations():
-    texts = ["the cat sat on the mat", "die Katze saß auf der Matte", "internationalisation überall"]
-    model = L.fit(texts, ["en", "de", "de"])
+        if p % 4 == 0:
+            total += np.log(alpha[p])
+            low = max(0, p - longest)
+            alpha[low : p + 1] = [x / alpha[p] for x in alpha[low : p + 1]]
+    return total + float(np.log(alpha[-1]))
+
+
+@pytest.mark.parametrize("few", [1, 24])
+def test_forward_sums_all_segmentations(monkeypatch, few):
+    """Words of any length, alone and in groups, also with pieces of many bytes and without spaces."""
+    monkeypatch.setattr(L, "FEW", few)
+    monkeypatch.setattr(L, "WINDOW", 70)
+    texts = ["the cat sat on the mat", "die Katze saß auf der Matte", "internationalisation überall " + "Donaudampfschifffahrt" * 10, "х" * 120 + " " + "администрация" * 9, "".join(f"{i}abc" for i in range(60)), "z" * 1000 + " " + "y" * 990]
+    model = L.fit(texts, ["en", "de", "de", "ru", "en", "en"])
     listed = L.vocabulary()
+    assert model.pieces.longest > 16
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     got = model.log_likelihoods(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    for c in range(2):
+    for c in range(3):
         prob = dict(zip(listed, model.prob[:, c]))
         for i, t in enumerate(texts):
-            want = 0.0
-            for w in t.encode().split():
-                parts = [w[k : k + L.LONGEST] for k in range(0, len(w), L.LONGEST)]
-                want += sum(np.log(brute_word((b" " if k == 0 else b"") + p, prob)) for k, p in enumerate(parts))
-            assert got[i, c] == pytest.approx(want)
+            assert got[i, c] == pytest.approx(sum(brute_word(b" " + w, prob, model.pieces.longest) for w in t.encode().split())), (i, c)
     assert model.prob.sum(0) == pytest.approx(1)
 
 
+def test_expected_uses_of_short_and_long_words_agree(monkeypatch):
+    texts = ["internationalisation of the organisations", "Donaudampfschifffahrtsgesellschaft und Kapitän"]
+    plain = L.fit(texts, ["en", "de"]).prob
+    monkeypatch.setattr(L, "SHORT", 4)
+    assert L.fit(texts, ["en", "de"]).prob == pytest.approx(plain, rel=1e-6)
+
+
+def test_many_languages_need_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abcdefghij") + [chr(97 + k % 26)] * 4, rng.integers(2, 9))) for _ in range(3000)) for k in range(60)]
+    names = [f"l{k:02d}" for k in range(60)]
+    tracemalloc.start()
+    model = L.fit(texts, names, rounds=1)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    logs = model.log_likelihoods(np.frombuffer("".join(texts).encode(), np.uint8), offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20 and (logs.argmax(1) == np.arange(60)).mean() > 0.9
+
+
+def test_letters():
+    assert [L.has_letter(t) for t in ("½", "²", "12½", "_", "", None, "a", "é", "ß", "ª", "字", "ʰ")] == [False] * 6 + [True] * 6
+
+
 def test_language_held_out(spark):
     got = L.op8_language(spark, MEDIUM).toPandas()
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "lang").toPandas()
