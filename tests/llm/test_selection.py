@@ -145,17 +145,22 @@ def test_packing_query(spark, small):
 
 def brute_nearest(rows, wanted, top=10):
     good = {i: np.array(v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    scale = 2.0 ** -np.frexp(max(np.abs(v).max() for v in good.values()))[1]
     out = {}
     for q in (i for i in good if wanted(i)):
-        near = sorted((float(np.sqrt(((good[q] - v) ** 2).sum())), i) for i, v in good.items() if i != q)[:top]
+        near = sorted((float(np.sqrt((((good[q] - v) * scale) ** 2).sum()) / scale), i) for i, v in good.items() if i != q)[:top]
         out[q] = near
     return out
 
 
-def test_neighbours_recall(spark):
+@pytest.mark.parametrize("move", [lambda v: v, lambda v: [1e8 + x for x in v], lambda v: [1e39 * x for x in v], lambda v: [1e200 * x for x in v], lambda v: [(1e9 if v[0] > 0 else 0) + x for x in v]])
+def test_neighbours_recall(spark, move):
+    """Also far from the origin, beyond single precision, beyond the squares of a double, and in clusters far apart."""
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=16).tolist()) for i in range(1500)]
     same = rng.normal(size=16).tolist()
+    rows = [(i, move(v)) for i, v in rows]
+    same = move(same)
     rows += [(2000 + i, same) for i in range(400)]
     rows += [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] + [1.0] * 15), (5300, [None] + [1.0] * 15), (5400, []), (None, same), (2000, same)]
     df = spark.createDataFrame(rows, "vec_id bigint, vec array<double>").selectExpr("*", "1 AS u", "2 AS q", "3 AS rep", "4 AS score")
@@ -168,10 +173,30 @@ def test_neighbours_recall(spark):
     assert hit / (10 * len(want)) >= 0.9
     for q in (2000, 2100, 2200, 2300):
         assert [got[q][k] for k in range(1, 11)] == want[q]
+    exact = {q: dict((i, s) for s, i in brute_nearest(rows, lambda i, q=q: i == q, len(rows))[q]) for q in list(want)[:3]}
+    assert all(s == pytest.approx(exact[q][i], rel=1e-12) for q in exact for s, i in got[q].values())
     for q, near in got.items():
         assert sorted(near) == list(range(1, 11)) and [near[k] for k in range(1, 11)] == sorted(near.values())
 
 
+def test_neighbours_query(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got: dict = {}
+    for r in N.op9_neighbours(spark, folder).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = brute_nearest(rows, lambda i: i % 100 == 0)
+    assert set(got) == set(want) and all(len(x) == 10 for x in got.values())
+    assert sum(len({v for _, v, _ in got[q]} & {v for _, v in want[q]}) for q in want) >= 9 * len(want)
+
+
+def test_neighbours_of_several_lengths(spark):
+    """Shorter vectors count as filled up with zeros; nothing falls away."""
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0]), (2, [0.0, 2.0, 0.0]), (3, [1.0, 0.0, 0.5])], "vec_id bigint, vec array<double>")
+    got = [(r["vec_id"], r["score"]) for r in N.nearest(df, "vec_id = 0").orderBy("rank").collect()]
+    assert got == [(1, 0.0), (3, 0.5), (2, pytest.approx(5**0.5))]
+
+
 def test_neighbours_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, vec array<double>")
     assert [(r["rank"], r["vec_id"]) for r in N.nearest(df, "vec_id = 0").orderBy("rank").collect()] == [(1, 2), (2, 1)]

@@ -2,33 +2,39 @@
 
 Equal vectors form one class (its smallest id, and the smallest ids that a result can need); the graph is over classes.
 
-* Start: random hyperplanes deal the vectors into blocks, split by a hash to a bounded size; each vector takes the nearest
-  of its block.
-* NN-descent: each round joins neighbours of neighbours. Every vector is sent to the vectors it neighbours in either
-  direction (of a hub's reverse neighbours the nearest, found by salted windows); there all pairs that meet are compared
-  and offered to each other where they beat the farthest neighbour held. Offers are cut to the K best before the shuffle.
+* Start: random hyperplanes through the mean deal the vectors into blocks, split by a hash to a bounded size; each vector
+  takes the nearest of its block, over STARTS dealings.
+* NN-descent: each round joins neighbours of neighbours. A vector's neighbours in either direction (of a hub's reverse
+  neighbours the nearest, cut in each map task first) meet, and pairs of which one is new to it are compared and offered to
+  each other where they beat the farthest neighbour held. Offers are cut to the K best before the shuffle. Rounds go on
+  until at most CHANGE of the neighbours changed.
 * Search: each query keeps a beam of the BEAM nearest classes seen. In a round the nearest EXPAND of them that weren't
-  expanded are joined with the graph (both directions), the neighbours' distances are taken, and the beam is merged;
-  it ends when every member of every beam is expanded or after ROUNDS.
-* Distances of the result are Euclidean in double precision on the original vectors; classes become ids again, ties going
-  to the smaller id.
-
-Defined results: vectors that are null, empty, zero, hold null or non-finite components, or have another length than the
-most frequent one take no part; repeated rows of one id count once if their vectors are equal; with fewer candidates than
+  expanded are joined with the graph (both directions), the neighbours' distances are taken, and the beam is merged. It
+  ends when every member of every beam is expanded.
+* Lists of ids meet the vectors by hashed parts of bounded size; a part gets each vector it needs once.
+* All distances are sums of squared differences in double precision, so the beam is ranked exactly whatever the vectors'
+  offset or size is; vectors of extreme size are scaled by a power of two for that. (Products of matrices only tell which
+  pairs are worth a difference.) Classes become ids again, ties going to the smaller id.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; shorter vectors
+count as filled up with zeros; repeated rows of one id count once if their vectors are equal; with fewer candidates than
 asked, all are returned; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, materialize, scratch, spread_join, table
 
-TOP, NEIGHBOURS, DESCENT, STARTS = 10, 24, 3, 2
-BLOCK = 256
-BEAM, EXPAND, ROUNDS, ENTRIES = 640, 320, 5, 32
+TOP, NEIGHBOURS, STARTS, BLOCK, CHANGE = 10, 24, 3, 512, 0.02
+BEAM, EXPAND, ENTRIES = 64, 32, 32
+PART = 8_000  # vectors of a part, about
+_MOST = 500  # rounds; more mean a fault
 
 
 def _numbers(column) -> np.ndarray:
@@ -37,49 +43,104 @@ def _numbers(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _lists(values: np.ndarray, first: np.ndarray, kind):
+def _lists(values: np.ndarray, ends: np.ndarray, kind):
     """An Arrow list column from flat values and the first place of each list (one more at the end)."""
     import pyarrow as pa
 
-    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, kind))
+
 
+def _starts(owner: np.ndarray) -> np.ndarray:
+    """The first place of each run of equal values, and the end."""
+    return np.append(np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])), len(owner)) if len(owner) else np.zeros(1, np.int64)
 
-def _best(owner: np.ndarray, other: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each owner its k nearest different others: rows sorted by owner and distance."""
-    order = np.lexsort((dist, other, owner))
-    owner, other, dist = owner[order], other[order], dist[order]
+
+def _best(owner: np.ndarray, other: np.ndarray, dist: np.ndarray, new: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """For each owner its k nearest different others, as known ones where they are: rows sorted by owner and distance."""
+    order = np.lexsort((new, other, owner))
+    owner, other, dist, new = owner[order], other[order], dist[order], new[order]
     keep = np.ones(len(owner), bool)
     keep[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
-    owner, other, dist = owner[keep], other[keep], dist[keep]
+    owner, other, dist, new = owner[keep], other[keep], dist[keep], new[keep]
     order = np.lexsort((other, dist, owner))
-    owner, other, dist = owner[order], other[order], dist[order]
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    rank = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
-    keep = rank < k
-    return owner[keep], other[keep], dist[keep]
+    owner, other, dist, new = owner[order], other[order], dist[order], new[order]
+    ends = _starts(owner)
+    keep = np.arange(len(owner)) - np.repeat(ends[:-1], np.diff(ends)) < k
+    return owner[keep], other[keep], dist[keep], new[keep]
+
+
+_GRAPH = "u bigint, ids array<bigint>, dist array<double>, new array<boolean>"
 
 
-def _packed(owner, other, dist):
-    """A batch of (u, ids, dist) from rows sorted by owner."""
+def _packed(owner, other, dist, new):
+    """A batch of graph rows from rows sorted by owner."""
     import pyarrow as pa
 
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    ends = np.append(first, len(owner))
-    return pa.RecordBatch.from_arrays([pa.array(owner[first]), _lists(other, ends, pa.int64()), _lists(dist.astype(np.float32), ends, pa.float32())], ["u", "ids", "dist"])
+    ends = _starts(owner)
+    return pa.RecordBatch.from_arrays([pa.array(owner[ends[:-1]]), _lists(other, ends, pa.int64()), _lists(dist, ends, pa.float64()), _lists(new, ends, pa.bool_())], ["u", "ids", "dist", "new"])
+
+
+def _nearest_of_each(k: int):
+    """Graph rows, several for an owner, to one with the k nearest of all."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                sizes = batch.column(1).value_lengths().to_numpy()
+                held.append((np.repeat(batch.column(0).to_numpy(), sizes), *(batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3))))
+                size += len(held[-1][0])
+            if size > 2_000_000:
+                held = [_best(*(np.concatenate(c) for c in zip(*held)), k)]
+                size = len(held[0][0])
+        if size:
+            yield _packed(*_best(*(np.concatenate(c) for c in zip(*held)), k))
+
+    return run
 
 
-_GRAPH = "u bigint, ids array<bigint>, dist array<float>"
+def _merged(rows: DataFrame, k: int, width: int) -> DataFrame:
+    """The k nearest of each u over several rows of lists, cut before the shuffle and after it."""
+    cut = _nearest_of_each(k)
+    return rows.mapInArrow(cut, _GRAPH).repartition(width, "u").mapInArrow(cut, _GRAPH)
+
+
+def _differences(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows a of x and b of y, from their differences."""
+    out = np.empty(len(a))
+    step = max(1, (1 << 21) // max(1, x.shape[1]))
+    for i in range(0, len(a), step):
+        d = x[a[i : i + step]] - y[b[i : i + step]]
+        out[i : i + step] = np.einsum("ij,ij->i", d, d)
+    return out
+
+
+def _products(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """All squared distances by products, around the rows' mean, and a bound of their error."""
+    x = x - x.mean(0)
+    norm = np.einsum("ij,ij->i", x, x)
+    d = norm[:, None] + norm[None] - 2 * x @ x.T
+    np.fill_diagonal(d, np.inf)
+    return d, float(norm.max()) * 1e-14 * x.shape[1]
 
 
 # ------------------------------------------------------------------ classes of equal vectors
 
 
-def classes(vectors: DataFrame, keep: int = TOP + 1) -> DataFrame:
-    """rep, ids (the `keep` smallest of the class, sorted), vec (array<double>): vectors (vec_id, vec) without the unfit ones."""
+def _usable(vectors: DataFrame) -> DataFrame:
+    """vec_id, vec of the vectors that take part."""
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    good = vectors.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)).where(sound)
-    size = good.groupBy(F.size("vec").alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").first()
-    good = good.where(F.size("vec") == (size["s"] if size else 0)).select(F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec"), F.array("vec_id").alias("ids"))
+    return vectors.select("vec_id", "vec").where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(sound)
+
+
+def _filled(size: int) -> Column:
+    """All of one length, and no negative zeros."""
+    return F.concat(F.transform("vec", lambda x: x + F.lit(0.0)), F.array_repeat(F.lit(0.0), F.lit(size) - F.size("vec")))
+
+
+def classes(good: DataFrame, size: int, keep: int = TOP + 1) -> DataFrame:
+    """rep, ids (the `keep` smallest of the class, sorted), vec (of `size` doubles) from usable vectors."""
+    good = good.select(_filled(size).alias("vec"), F.array("vec_id").alias("ids"))
 
     def merge(batches):
         """The smallest ids of each different vector in the task."""
@@ -94,35 +155,52 @@ def classes(vectors: DataFrame, keep: int = TOP + 1) -> DataFrame:
         for at in range(0, len(keys), 2000):
             some = keys[at : at + 2000]
             matrix = np.frombuffer(b"".join(some), np.float64).reshape(len(some), -1)
-            ends = np.arange(len(some) + 1) * matrix.shape[1]
-            yield pa.RecordBatch.from_arrays([_lists(matrix.ravel(), ends, pa.float64()), pa.array([held[k] for k in some], pa.list_(pa.int64()))], ["vec", "ids"])
+            yield pa.RecordBatch.from_arrays([_lists(matrix.ravel(), np.arange(len(some) + 1) * matrix.shape[1], pa.float64()), pa.array([held[k] for k in some], pa.list_(pa.int64()))], ["vec", "ids"])
 
-    width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = int(good.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = "vec array<double>, ids array<bigint>"
     merged = good.mapInArrow(merge, kind).repartition(width, "vec").mapInArrow(merge, kind)
     return merged.select(F.element_at("ids", 1).alias("rep"), "ids", "vec")
 
 
+def _mean(points: DataFrame, size: int) -> np.ndarray:
+    """The mean vector; each task gives one row."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        n, total = 0, np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                n += batch.num_rows
+                total += _numbers(batch.column(0)).sum(0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), _lists(total, np.array([0, size]), pa.float64())], ["n", "total"])
+
+    rows = points.select("x").mapInArrow(run, "n bigint, total array<double>").collect()
+    return np.sum([r["total"] for r in rows], axis=0) / max(1, sum(r["n"] for r in rows)) if rows else np.zeros(size)
+
+
 # ------------------------------------------------------------------ the graph
 
 
-def _start(points: DataFrame, count: int, size: int, k: int, seed: int) -> DataFrame:
+def _start(points: DataFrame, count: int, mean: np.ndarray, k: int, seed: int) -> DataFrame:
     """Each point's nearest in a block of points on the same sides of random hyperplanes."""
     width = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(0, (count // BLOCK).bit_length() - 1)
-    planes = np.random.default_rng(seed).normal(size=(bits, size)).astype(np.float32)
+    bits = min(60, max(0, (count // BLOCK).bit_length() - 1))
+    planes = np.random.default_rng(seed).normal(size=(bits, len(mean)))
 
     def side(batches):
         import pyarrow as pa
 
         for batch in batches:
             x = _numbers(batch.column(1))
-            code = ((x @ planes.T > 0) @ (1 << np.arange(bits, dtype=np.int64))) if bits else np.zeros(len(x), np.int64)
+            code = (((x - mean) @ planes.T > 0) @ (1 << np.arange(bits, dtype=np.int64))) if bits and len(x) else np.zeros(len(x), np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int64))], ["u", "x", "code"])
 
-    coded = points.mapInArrow(side, "u bigint, x array<float>, code bigint")
-    parts = coded.groupBy("code").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts")).withColumnRenamed("code", "__c")
-    blocks = coded.join(parts, F.col("code") == F.col("__c")).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
+    coded = points.mapInArrow(side, "u bigint, x array<double>, code bigint")
+    parts = coded.groupBy("code").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts"))
+    blocks = spread_join(coded, parts, ["code"], ["u"]).withColumn("part", F.pmod(F.xxhash64("u", F.lit(seed)), F.col("parts")).cast("int"))
     dealt = blocks.select("code", "part", "u", "x").repartition(width, "code", "part").sortWithinPartitions("code", "part")
 
     def nearest(batches):
@@ -131,22 +209,20 @@ def _start(points: DataFrame, count: int, size: int, k: int, seed: int) -> DataF
             n = len(ids)
             if n < 2:
                 return None
-            d = (x * x).sum(1)
-            d = np.maximum(d[:, None] + d[None] - 2 * x @ x.T, 0)
-            np.fill_diagonal(d, np.inf)
-            m = min(k, n - 1)
-            at = np.argpartition(d, m - 1, 1)[:, :m]
-            return _packed(*_best(np.repeat(ids, m), ids[at].ravel(), np.take_along_axis(d, at, 1).ravel(), k))
+            d, _ = _products(x)
+            m = min(k + 8, n - 1)
+            a, b = np.repeat(np.arange(n), m), np.argpartition(d, m - 1, 1)[:, :m].ravel()
+            return _packed(*_best(ids[a], ids[b], _differences(x, a, x, b), np.ones(len(a), bool), k))
 
         now, ids, x = None, [], []
         for batch in batches:
-            rows = _numbers(batch.column(3))
+            rows, names = _numbers(batch.column(3)), batch.column(2).to_pylist()
             for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if key != now:
                     if ids and (out := near(ids, x)) is not None:
                         yield out
                     now, ids, x = key, [], []
-                ids.append(batch.column(2)[i].as_py())
+                ids.append(names[i])
                 x.append(rows[i])
         if ids and (out := near(ids, x)) is not None:
             yield out
@@ -154,195 +230,235 @@ def _start(points: DataFrame, count: int, size: int, k: int, seed: int) -> DataF
     return dealt.mapInArrow(nearest, _GRAPH)
 
 
-def _merged(rows: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each u over several rows of lists."""
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _both_ways(graph: DataFrame, most: int, width: int) -> DataFrame:
+    """u, ids, new: neighbours in both directions; of the reverse ones the `most` nearest."""
+    edges = graph.select("u", F.explode(F.arrays_zip("ids", "dist", "new")).alias("e"))
+    turned = edges.select(F.col("e.ids").alias("u"), F.array("u").alias("ids"), F.array("e.dist").alias("dist"), F.array("e.new").alias("new"))
+    back = _merged(turned, most, width).select("u", F.col("ids").alias("ids2"), F.col("new").alias("new2"))
+    both = graph.select("u", "ids", "new").join(back, "u", "full")
+    none, no = F.array().cast("array<bigint>"), F.array().cast("array<boolean>")
+    return both.select("u", F.concat(F.coalesce("ids", none), F.coalesce("ids2", none)).alias("ids"), F.concat(F.coalesce("new", no), F.coalesce("new2", no)).alias("new"))
+
+
+def _part(column: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(5)), F.lit(parts)).cast("int")
+
+
+_MAIL = "part int, kind int, a bigint, ids array<bigint>, new array<boolean>, far double, x array<double>"
+
+
+def _mail(kind: int, part: Column, a: Column, ids=None, new=None, far=None, x=None) -> list[Column]:
+    types = ("array<bigint>", "array<boolean>", "double", "array<double>")
+    rest = [(F.lit(None) if c is None else c).cast(t).alias(n) for c, t, n in zip((ids, new, far, x), types, ("ids", "new", "far", "x"))]
+    return [part.cast("int").alias("part"), F.lit(kind).alias("kind"), a.alias("a"), *rest]
 
-    def run(batches):
-        owners, others, dists = [], [], []
-        for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            owners.append(np.repeat(batch.column(0).to_numpy(), sizes))
-            others.append(batch.column(1).flatten().to_numpy())
-            dists.append(batch.column(2).flatten().to_numpy())
-        if owners and sum(map(len, owners)):
-            yield _packed(*_best(np.concatenate(owners), np.concatenate(others), np.concatenate(dists), k))
 
-    return rows.repartition(width, "u").mapInArrow(run, _GRAPH)
+def _by_part(batches):
+    """Of each part in the task: its rows by kind, as (a, ids' sizes, flat ids, flat new, far, matrix)."""
+    held: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        part, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        key = part.astype(np.int64) * 4 + kind
+        for k in np.unique(key).tolist():
+            held.setdefault(divmod(k, 4), []).append(batch.take(_positions(key == k)))
+    for part in sorted({p for p, _ in held}):
+        yield {kind: held.pop((part, kind)) for kind in range(4) if (part, kind) in held}
 
 
-def _both_ways(graph: DataFrame, most: int) -> DataFrame:
-    """src, dst: every edge in both directions; of the reverse ones the `most` nearest for each dst."""
-    edges = graph.select("u", F.explode(F.arrays_zip("ids", "dist")).alias("e")).select("u", F.col("e.ids").alias("v"), F.col("e.dist").alias("d"))
-    some = Window.partitionBy("v", "__salt").orderBy("d", "u")
-    rest = Window.partitionBy("v").orderBy("d", "u")
-    back = edges.withColumn("__salt", F.pmod(F.xxhash64("u"), F.lit(16))).withColumn("__r", F.row_number().over(some)).where(F.col("__r") <= most)
-    back = back.withColumn("__r", F.row_number().over(rest)).where(F.col("__r") <= most).select(F.col("u").alias("src"), F.col("v").alias("dst"))
-    return edges.select(F.col("v").alias("src"), F.col("u").alias("dst")).union(back).distinct()
+def _positions(mask: np.ndarray):
+    import pyarrow as pa
+
+    return pa.array(np.flatnonzero(mask))
+
 
+def _vectors(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, far, matrix) sorted by id."""
+    ids = np.concatenate([b.column(2).to_numpy() for b in batches])
+    far = np.concatenate([b.column(5).to_numpy(zero_copy_only=False) for b in batches])
+    x = np.concatenate([_numbers(b.column(6)) for b in batches])
+    order = np.argsort(ids, kind="stable")
+    return ids[order], far[order], x[order]
 
-def _descend(points: DataFrame, graph: DataFrame, k: int) -> DataFrame:
+
+def _descend(points: DataFrame, graph: DataFrame, k: int, parts: int, width: int) -> DataFrame:
     """One round of NN-descent."""
-    width = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    farthest = graph.select(F.col("u").alias("__u"), F.when(F.size("ids") < k, F.lit(float("inf"))).otherwise(F.element_at("dist", -1)).cast("float").alias("far"))
-    known = points.join(farthest, F.col("u") == F.col("__u"), "left").select("u", "x", F.coalesce("far", F.lit(float("inf")).cast("float")).alias("far"))
-    sent = _both_ways(graph, k).union(points.select(F.col("u").alias("src"), F.col("u").alias("dst")))
-    mail = sent.join(known, F.col("src") == F.col("u")).select("dst", "src", "far", "x").repartition(width, "dst").sortWithinPartitions("dst")
+    infinite = F.lit(float("inf"))
+    farthest = graph.select("u", F.when(F.size("ids") < k, infinite).otherwise(F.element_at("dist", -1)).alias("far"))
+    lists = materialize(_both_ways(graph, k, width).where(F.exists("new", lambda n: n)), "nn-lists")
+    place = _part(F.col("u"), parts)
+    need = lists.select(place.alias("p"), F.explode(F.array_union("ids", F.array("u"))).alias("u")).distinct()
+    known = points.join(farthest, "u", "left").select("u", "x", F.coalesce("far", infinite).alias("far"))
+    vectors = need.join(known, "u").select(*_mail(0, F.col("p"), F.col("u"), far=F.col("far"), x=F.col("x")))
+    mail = lists.select(*_mail(1, place, F.col("u"), ids=F.col("ids"), new=F.col("new"))).union(vectors).repartition(parts, "part")
 
     def meet(batches):
-        owners, others, dists, held = [], [], [], 0
-
-        def flush():
-            nonlocal owners, others, dists, held
-            if held:
-                yield _packed(*_best(np.concatenate(owners), np.concatenate(others), np.concatenate(dists), k))
-            owners, others, dists, held = [], [], [], 0
-
-        def pairs(ids, far, x):
-            nonlocal held
-            d = (x * x).sum(1)
-            d = np.maximum(d[:, None] + d[None] - 2 * x @ x.T, 0)
-            np.fill_diagonal(d, np.inf)
-            a, b = np.nonzero(d < far[:, None])
-            if len(a):
-                owners.append(ids[a])
-                others.append(ids[b])
-                dists.append(d[a, b])
-                held += len(a)
-
-        rest = None
-        for batch in batches:
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _numbers(batch.column(3))]
-            if rest is not None:
-                now = [np.concatenate([r, c]) for r, c in zip(rest, now)]
-            cuts = np.flatnonzero(np.concatenate([[True], now[0][1:] != now[0][:-1]]))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                pairs(now[1][a:b], now[2][a:b], now[3][a:b])
-            rest = [c[cuts[-1] :].copy() for c in now]
-            if held > 1_000_000:
-                yield from flush()
-        if rest is not None:
-            pairs(*rest[1:])
-        yield from flush()
-
-    return _merged(mail.mapInArrow(meet, _GRAPH).union(graph.select("u", "ids", "dist")), k)
-
-
-def build_graph(points: DataFrame, count: int, size: int, k: int = NEIGHBOURS, rounds: int = DESCENT, starts: int = STARTS) -> DataFrame:
-    """u, ids, dist (squared): points (u, x array<float>) with their nearest found."""
-    first = _start(points, count, size, k, 1)
+        for rows in _by_part(batches):
+            if 1 not in rows:
+                continue
+            ids, far, x = _vectors(rows[0])
+            found, size = [], 0
+            for batch in rows[1]:
+                ends = np.concatenate([[0], np.cumsum(batch.column(3).value_lengths().to_numpy())])
+                others = batch.column(3).flatten().to_numpy()
+                new = batch.column(4).flatten().to_numpy(zero_copy_only=False).astype(bool)
+                for i, u in enumerate(batch.column(2).to_pylist()):
+                    a, b = ends[i], ends[i + 1]
+                    members, first = np.unique(np.append(others[a:b], u), return_index=True)
+                    fresh = np.append(new[a:b], False)[first]
+                    at = np.searchsorted(ids, members)
+                    d, slack = _products(x[at])
+                    one, two = np.nonzero((d - slack < far[at][:, None]) & (fresh[:, None] | fresh[None]) & np.isfinite(d))
+                    if len(one):
+                        exact = _differences(x, at[one], x, at[two])
+                        good = exact < far[at[one]]
+                        found.append((members[one[good]], members[two[good]], exact[good], np.ones(int(good.sum()), bool)))
+                        size += len(found[-1][0])
+                    if size > 1_000_000:
+                        yield _packed(*_best(*(np.concatenate(c) for c in zip(*found)), k))
+                        found, size = [], 0
+            if size:
+                yield _packed(*_best(*(np.concatenate(c) for c in zip(*found)), k))
+
+    old = graph.select("u", "ids", "dist", F.transform("new", lambda _: F.lit(False)).alias("new"))
+    return _merged(mail.mapInArrow(meet, _GRAPH).union(old), k, width)
+
+
+def build_graph(points: DataFrame, count: int, size: int, k: int = NEIGHBOURS, starts: int = STARTS, change: float = CHANGE) -> DataFrame:
+    """u, ids, dist (squared), new: points (u, x array<double>) with their nearest found."""
+    width, parts = _widths(points, count)
+    mean = _mean(points, size)
+    first = _start(points, count, mean, k, 1)
     for seed in range(2, starts + 1):
-        first = first.union(_start(points, count, size, k, seed))
-    graph = materialize(_merged(first, k), "nn-graph")
-    for _ in range(rounds):
-        new = materialize(_descend(points, graph, k), "nn-graph")
-        discard(graph)
-        graph = new
-    return graph
+        first = first.union(_start(points, count, mean, k, seed))
+    graph = materialize(_merged(first, k, width), "nn-graph")
+    for _ in range(_MOST):
+        graph, before = materialize(_descend(points, graph, k, parts, width), "nn-graph"), graph
+        discard(before)
+        changed = graph.agg(F.sum(F.size(F.filter("new", lambda n: n))), F.sum(F.size("new"))).first()
+        if (changed[0] or 0) <= change * (changed[1] or 0):
+            return graph
+    raise RuntimeError("NN-descent did not settle")
+
+
+def _widths(points: DataFrame, count: int) -> tuple[int, int]:
+    """(partitions of exchanges keyed by id, parts of vectors)."""
+    width = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(width, count // 50_000), max(width, count // PART)
 
 
 # ------------------------------------------------------------------ search
 
-_STATE = "q bigint, ids array<bigint>, dist array<float>, done array<boolean>"
-_MARKED = _STATE + ", go array<bigint>"
+_STATE = "q bigint, ids array<bigint>, dist array<double>, done array<boolean>"
+_MARKED = _STATE + ", go array<bigint>, seen bigint"
 
 
-def search(points: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND, rounds: int = ROUNDS) -> DataFrame:
-    """q, ids, dist: the beam of each query (q, a point of the graph), nearest first, itself left out."""
-    spark = points.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    around = materialize(_both_ways(graph, 2 * NEIGHBOURS).groupBy("dst").agg(F.collect_list("src").alias("near")), "nn-around")
-    target = queries.join(points, F.col("q") == F.col("u")).select("q", F.col("x").alias("y"))
-    target = materialize(target, "nn-queries")
+def search(points: DataFrame, graph: DataFrame, queries: DataFrame, count: int, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+    """q, ids, dist, seen: the beam of each query (q, a point of the graph), nearest first, itself left out; seen counts distances."""
+    width, parts = _widths(points, count)
+    around = materialize(_both_ways(graph, 2 * NEIGHBOURS, width).select("u", F.array_distinct("ids").alias("near")), "nn-around")
+    target = materialize(queries.join(points, F.col("q") == F.col("u")).select("q", F.col("x").alias("y")), "nn-queries")
     # a few points taken by their hash are where every search begins, besides the query's own neighbours
     gates = [r["u"] for r in points.select("u").orderBy(F.xxhash64("u", F.lit(3)), "u").limit(ENTRIES).collect()]
     entry = target.select("q", F.explode(F.array(*map(F.lit, gates)) if gates else F.array().cast("array<bigint>")).alias("v"))
-    wanted = entry.union(target.select("q", F.col("q").alias("v")).join(around, F.col("v") == F.col("dst")).select("q", F.explode("near").alias("v")))
+    wanted = entry.union(target.select("q").join(around, F.col("q") == F.col("u")).select("q", F.explode("near").alias("v")))
+    held = points.select(*_mail(0, _part(F.col("u"), parts), F.col("u"), x=F.col("x")))
+    infinite = F.lit(float("inf"))
     state = None
 
     def measure(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            x, y, far = _numbers(batch.column(2)), _numbers(batch.column(3)), batch.column(4).to_numpy()
-            d = ((x.astype(np.float32) - y) ** 2).sum(1).astype(np.float32) if len(x) else np.zeros(0, np.float32)
-            keep = d < far
-            q, v, d = batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep], d[keep]
-            if len(q):
-                order = np.lexsort((d, q))
-                q, v, d = q[order], v[order], d[order]
-                first = np.append(np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])), len(q))
-                yield pa.RecordBatch.from_arrays([pa.array(q[first[:-1]]), _lists(v, first, pa.int64()), _lists(d, first, pa.float32()), _lists(np.zeros(len(q), bool), first, pa.bool_())], ["q", "ids", "dist", "done"])
+        for rows in _by_part(batches):
+            if 1 not in rows:
+                continue
+            ids, _, x = _vectors(rows[0])
+            asked, far, y = _vectors(rows[2])
+            q = np.concatenate([np.repeat(b.column(2).to_numpy(), b.column(3).value_lengths().to_numpy()) for b in rows[1]])
+            v = np.concatenate([b.column(3).flatten().to_numpy() for b in rows[1]])
+            a, b = np.searchsorted(asked, q), np.searchsorted(ids, v)
+            d = _differences(y, a, x, b)
+            order = np.lexsort((v, d, q))
+            q, v, d, a = q[order], v[order], d[order], a[order]
+            ends = _starts(q)
+            # every query keeps a row, for the count of its distances
+            keep = (d < far[a]) & (np.arange(len(q)) - np.repeat(ends[:-1], np.diff(ends)) < beam)
+            sums = np.concatenate([[0], np.cumsum(keep)])[ends]
+            yield pa.RecordBatch.from_arrays([pa.array(q[ends[:-1]]), _lists(v[keep], sums, pa.int64()), _lists(d[keep], sums, pa.float64()), _lists(np.zeros(int(keep.sum()), bool), sums, pa.bool_()), pa.array(np.diff(ends))], ["q", "ids", "dist", "done", "seen"])
 
     def merge(batches):
         """Beams of the task's queries, with the members to expand next marked as done."""
         import pyarrow as pa
 
-        parts: dict[int, list] = {}
+        lists: dict[int, list] = {}
         for batch in batches:
             ends = [batch.column(i).offsets.to_numpy() for i in (1, 2, 3)]
-            flat = [batch.column(1).values.to_numpy(), batch.column(2).values.to_numpy(), batch.column(3).values.to_numpy(zero_copy_only=False)]
-            for i, q in enumerate(batch.column(0).to_pylist()):
-                parts.setdefault(q, []).append([f[e[i] : e[i + 1]] for f, e in zip(flat, ends)])
+            flat = [batch.column(i).values.to_numpy(zero_copy_only=False) for i in (1, 2, 3)]
+            for i, (q, seen) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist())):
+                lists.setdefault(q, []).append(([f[e[i] : e[i + 1]] for f, e in zip(flat, ends)], seen))
         rows = []
-        for q, lists in parts.items():
-            ids, d, done = (np.concatenate([x[i] for x in lists]) for i in range(3))
-            order = np.lexsort((~done, ids))  # of equal ids the one that was expanded
-            ids, d, done = ids[order], d[order], done[order]
-            keep = np.concatenate([[True], ids[1:] != ids[:-1]]) & (ids != q)
+        for q, some in lists.items():
+            ids, d, done = (np.concatenate([x[0][i] for x in some]) for i in range(3))
+            order = np.lexsort((~done.astype(bool), ids))  # of equal ids the one that was expanded
+            ids, d, done = ids[order], d[order], done[order].astype(bool)
+            keep = np.ones(len(ids), bool)
+            keep[1:] = ids[1:] != ids[:-1]
+            keep &= ids != q
             ids, d, done = ids[keep], d[keep], done[keep]
             order = np.lexsort((ids, d))[:beam]
-            ids, d, done = ids[order], d[order], done[order].astype(bool)
+            ids, d, done = ids[order], d[order], done[order]
             front = np.flatnonzero(~done)[:expand]
             done[front] = True
-            rows.append((q, ids, d, done, ids[front]))
+            rows.append((q, ids, d, done, ids[front], sum(x[1] for x in some)))
         if rows:
-            kinds = (pa.int64(), pa.float32(), pa.bool_(), pa.int64())
-            lists = [_lists(np.concatenate([r[i] for r in rows]), np.concatenate([[0], np.cumsum([len(r[i]) for r in rows])]), t) for i, t in enumerate(kinds, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *lists], ["q", "ids", "dist", "done", "go"])
-
-    for number in range(rounds + 1):
-        asked = wanted.where("q <> v").distinct().join(points, F.col("v") == F.col("u")).select("q", "v", "x")
-        limits = target if state is None else target.join(state.select(F.col("q").alias("__q"), F.when(F.size("ids") < beam, F.lit(float("inf"))).otherwise(F.element_at("dist", -1)).cast("float").alias("far")), F.col("q") == F.col("__q"), "left")
-        far = F.lit(float("inf")).cast("float") if state is None else F.coalesce("far", F.lit(float("inf")).cast("float"))
-        limits = limits.select(F.col("q").alias("__p"), "y", far.alias("far"))
-        measured = asked.join(limits, F.col("q") == F.col("__p")).select("q", "v", "x", "y", "far").mapInArrow(measure, _STATE)
-        together = measured if state is None else measured.union(state.select("q", "ids", "dist", "done"))
-        new = materialize(together.repartition(width, "q").mapInArrow(merge, _MARKED), "nn-state")
-        discard(state)
-        state = new
+            kinds = (pa.int64(), pa.float64(), pa.bool_(), pa.int64())
+            columns = [_lists(np.concatenate([r[i] for r in rows]), np.concatenate([[0], np.cumsum([len(r[i]) for r in rows])]), t) for i, t in enumerate(kinds, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *columns, pa.array([r[5] for r in rows], pa.int64())], ["q", "ids", "dist", "done", "go", "seen"])
+
+    for _ in range(_MOST):
+        pairs = wanted.where("q <> v").groupBy(_part(F.col("v"), parts).alias("p"), "q").agg(F.collect_set("v").alias("ids"))
+        limits = target if state is None else target.join(state.select("q", F.when(F.size("ids") < beam, infinite).otherwise(F.element_at("dist", -1)).alias("far")), "q", "left")
+        limits = limits.withColumn("far", infinite) if state is None else limits
+        asked = pairs.join(limits, "q")
+        lists = asked.select(*_mail(1, F.col("p"), F.col("q"), ids=F.col("ids")))
+        ys = asked.select(*_mail(2, F.col("p"), F.col("q"), far=F.coalesce("far", infinite), x=F.col("y")))
+        measured = held.union(lists).union(ys).repartition(parts, "part").mapInArrow(measure, _STATE + ", seen bigint")
+        together = measured if state is None else measured.union(state.select("q", "ids", "dist", "done", "seen"))
+        state, before = materialize(together.repartition(width, "q").mapInArrow(merge, _MARKED), "nn-state"), state
+        discard(before)
         front = state.select("q", F.explode("go").alias("v"))
-        if number == rounds or not front.limit(1).count():
-            break
-        wanted = front.join(around, F.col("v") == F.col("dst")).select("q", F.explode("near").alias("v"))
-    return state.select("q", "ids", "dist")
+        if not front.limit(1).count():
+            return state.select("q", "ids", "dist", "seen")
+        wanted = front.join(around, F.col("v") == F.col("u")).select("q", F.explode("near").alias("v"))
+    raise RuntimeError("the search did not settle")
 
 
+@scratch("nn-result")
 def nearest(vectors: DataFrame, wanted, top: int = TOP) -> DataFrame:
-    """query_id, rank, vec_id, score. vectors: vec_id, vec; wanted: a condition on vec_id that picks the queries."""
-    known = materialize(classes(vectors, top + 1), "nn-classes")
+    """query_id, rank, vec_id, score, measured. vectors: vec_id, vec; wanted: a condition on vec_id that picks the queries."""
+    good = _usable(vectors)
+    extent = good.agg(F.max(F.size("vec")).alias("size"), F.max(F.array_max(F.transform("vec", F.abs))).alias("most")).first()
+    size, most = extent["size"] or 0, extent["most"] or 1.0
+    # squares of extreme components would leave the range of a double; a power of two changes no digit
+    scale = math.ldexp(1.0, -math.frexp(most)[1]) if not 1e-100 < most < 1e100 else 1.0
+    known = materialize(classes(good, size, top + 1), "nn-classes")
     count = known.count()
-    one = known.select(F.size("vec").alias("s")).first()
-    points = materialize(known.select(F.col("rep").alias("u"), F.col("vec").cast("array<float>").alias("x")), "nn-points")
-    sound = vectors.where(wanted).where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull())
-    asked = sound.select(F.col("vec_id").alias("query_id"), F.transform("vec", lambda x: x + F.lit(0.0)).alias("__v")).distinct()
-    owned = asked.join(known.select(F.col("vec").alias("__w"), "rep", F.col("ids").alias("own"), "vec"), F.col("__v") == F.col("__w")).select("query_id", "rep", "own", "vec")
-    owned = materialize(owned, "nn-owned")
-    graph = build_graph(points, count, one["s"] if one else 0)
-    beams = search(points, graph, owned.select(F.col("rep").alias("q")).distinct())
-    # exact distances for the nearest of the beam; float32 may swap near ties, so more than `top` are measured again
-    close = beams.select("q", F.explode(F.slice("ids", 1, 4 * top)).alias("c"))
-    pairs = close.join(known.select(F.col("rep").alias("__r"), F.col("vec").alias("b"), F.col("ids").alias("members")), F.col("c") == F.col("__r"))
-    pairs = pairs.join(known.select(F.col("rep").alias("__q"), F.col("vec").alias("a")), F.col("q") == F.col("__q"))
-    squares = F.aggregate(F.zip_with("a", "b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    measured = pairs.select("q", "members", F.sqrt(squares).alias("score"))
-    rank = Window.partitionBy("q").orderBy("score", F.element_at("members", 1))
-    best = measured.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= top)
-    found = owned.join(best.select("q", "members", "score"), F.col("rep") == F.col("q")).select("query_id", F.explode("members").alias("vec_id"), "score")
-    same = owned.select("query_id", F.explode("own").alias("vec_id"), F.lit(0.0).alias("score")).where("vec_id <> query_id")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = found.union(same).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    points = materialize(known.select(F.col("rep").alias("u"), F.transform("vec", lambda x: x * F.lit(scale)).alias("x")), "nn-points")
+    asked = good.where(wanted).select(F.col("vec_id").alias("query_id"), _filled(size).alias("vec")).distinct()
+    owned = materialize(spread_join(asked, known.select("vec", "rep", F.col("ids").alias("own")), ["vec"], ["query_id"]).select("query_id", "rep", "own"), "nn-owned")
+    graph = build_graph(points, count, size)
+    beams = search(points, graph, owned.select(F.col("rep").alias("q")).distinct(), count, max(BEAM, 2 * top))
+    close = beams.select("q", "seen", F.explode(F.slice(F.arrays_zip("ids", "dist"), 1, top)).alias("c"))
+    members = known.select(F.col("rep").alias("__r"), F.col("ids").alias("members"))
+    close = spread_join(close.select("q", "seen", F.col("c.ids").alias("__r"), (F.sqrt("c.dist") / F.lit(scale)).alias("score")), members, ["__r"], ["q"])
+    # a class of queries may be large, so its few results go to its queries, not the other way
+    best = close.groupBy(F.col("q").alias("rep")).agg(F.collect_list(F.struct("score", "members")).alias("near"), F.max("seen").alias("measured"))
+    told = spread_join(owned, best, ["rep"], ["query_id"], "left")
+    found = F.flatten(F.transform("near", lambda n: F.transform(n["members"], lambda m: F.struct(n["score"].alias("score"), m.alias("vec_id")))))
+    same = F.transform(F.filter("own", lambda i: i != F.col("query_id")), lambda i: F.struct(F.lit(0.0).alias("score"), i.alias("vec_id")))
+    kind = "array<struct<score:double,vec_id:bigint>>"
+    ranked = F.slice(F.array_sort(F.concat(same.cast(kind), F.coalesce(found.cast(kind), F.array().cast(kind)))), 1, top)
+    out = told.select("query_id", F.coalesce("measured", F.lit(0)).alias("measured"), F.posexplode(ranked).alias("rank", "r"))
+    return out.select("query_id", (F.col("rank") + 1).alias("rank"), "r.vec_id", "r.score", "measured")
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
