@@ -3,11 +3,11 @@
 Equal vectors form one class (its smallest id, and the smallest ids that a result can need); the graph is over classes.
 
 * Start: random hyperplanes through the mean deal the vectors into blocks, split by a hash to a bounded size; each vector
-  takes the nearest of its block, over STARTS dealings.
+  takes the nearest of its block. The number of dealings grows with the logarithm of the vectors' number.
 * NN-descent: each round joins neighbours of neighbours. A vector's neighbours in either direction (of a hub's reverse
-  neighbours the nearest, cut in each map task first) meet, and pairs of which one is new to it are compared and offered to
-  each other where they beat the farthest neighbour held. Offers are cut to the K best before the shuffle. Rounds go on
-  until at most CHANGE of the neighbours changed.
+  neighbours some, new ones first, cut in each map task) meet, and pairs of which one is new to it are compared; each takes
+  the OFFERS nearest there that beat the farthest neighbour it holds. Offers are cut to the K best before the shuffle.
+  Rounds go on until at most CHANGE of the neighbours changed.
 * Search: each query keeps a beam of the BEAM nearest classes seen. In a round the nearest EXPAND of them that weren't
   expanded are joined with the graph (both directions), the neighbours' distances are taken, and the beam is merged. It
   ends when every member of every beam is expanded.
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, scratch, spread_join, table
 
-TOP, NEIGHBOURS, STARTS, BLOCK, CHANGE = 10, 24, 3, 512, 0.02
-BEAM, EXPAND, ENTRIES = 64, 32, 32
+TOP, NEIGHBOURS, BLOCK, CHANGE, OFFERS = 10, 32, 512, 0.12, 8
+BEAM, EXPAND, ENTRIES = 128, 64, 32
 PART = 8_000  # vectors of a part, about
 _MOST = 500  # rounds; more mean a fault
 
@@ -230,10 +230,11 @@ def _start(points: DataFrame, count: int, mean: np.ndarray, k: int, seed: int) -
     return dealt.mapInArrow(nearest, _GRAPH)
 
 
-def _both_ways(graph: DataFrame, most: int, width: int) -> DataFrame:
-    """u, ids, new: neighbours in both directions; of the reverse ones the `most` nearest."""
+def _both_ways(graph: DataFrame, most: int, width: int, nearest: bool) -> DataFrame:
+    """u, ids, new: neighbours in both directions; of the reverse ones the `most` nearest, or new ones first and then any."""
     edges = graph.select("u", F.explode(F.arrays_zip("ids", "dist", "new")).alias("e"))
-    turned = edges.select(F.col("e.ids").alias("u"), F.array("u").alias("ids"), F.array("e.dist").alias("dist"), F.array("e.new").alias("new"))
+    drawn = F.when(F.col("e.new"), 0.0).otherwise(1.0) + F.pmod(F.xxhash64("u", "e.ids"), F.lit(1 << 20)) / float(1 << 20)
+    turned = edges.select(F.col("e.ids").alias("u"), F.array("u").alias("ids"), F.array(F.col("e.dist") if nearest else drawn).alias("dist"), F.array("e.new").alias("new"))
     back = _merged(turned, most, width).select("u", F.col("ids").alias("ids2"), F.col("new").alias("new2"))
     both = graph.select("u", "ids", "new").join(back, "u", "full")
     none, no = F.array().cast("array<bigint>"), F.array().cast("array<boolean>")
@@ -284,7 +285,7 @@ def _descend(points: DataFrame, graph: DataFrame, k: int, parts: int, width: int
     """One round of NN-descent."""
     infinite = F.lit(float("inf"))
     farthest = graph.select("u", F.when(F.size("ids") < k, infinite).otherwise(F.element_at("dist", -1)).alias("far"))
-    lists = materialize(_both_ways(graph, k, width).where(F.exists("new", lambda n: n)), "nn-lists")
+    lists = materialize(_both_ways(graph, k, width, False).where(F.exists("new", lambda n: n)), "nn-lists")
     place = _part(F.col("u"), parts)
     need = lists.select(place.alias("p"), F.explode(F.array_union("ids", F.array("u"))).alias("u")).distinct()
     known = points.join(farthest, "u", "left").select("u", "x", F.coalesce("far", infinite).alias("far"))
@@ -307,12 +308,16 @@ def _descend(points: DataFrame, graph: DataFrame, k: int, parts: int, width: int
                     fresh = np.append(new[a:b], False)[first]
                     at = np.searchsorted(ids, members)
                     d, slack = _products(x[at])
-                    one, two = np.nonzero((d - slack < far[at][:, None]) & (fresh[:, None] | fresh[None]) & np.isfinite(d))
+                    if slack > 1e-6 * d.min():  # far from the mean of those that meet, or equal but for little: differences
+                        one, two = (z.ravel() for z in np.indices(d.shape))
+                        d = np.where(np.eye(len(members), dtype=bool), np.inf, _differences(x, at[one], x, at[two]).reshape(d.shape))
+                    d[(d >= far[at][:, None]) | ~(fresh[:, None] | fresh[None])] = np.inf
+                    if len(members) > OFFERS:
+                        d[d > np.partition(d, OFFERS - 1, 1)[:, OFFERS - 1 : OFFERS]] = np.inf
+                    one, two = np.nonzero(np.isfinite(d))
                     if len(one):
-                        exact = _differences(x, at[one], x, at[two])
-                        good = exact < far[at[one]]
-                        found.append((members[one[good]], members[two[good]], exact[good], np.ones(int(good.sum()), bool)))
-                        size += len(found[-1][0])
+                        found.append((members[one], members[two], d[one, two], np.ones(len(one), bool)))
+                        size += len(one)
                     if size > 1_000_000:
                         yield _packed(*_best(*(np.concatenate(c) for c in zip(*found)), k))
                         found, size = [], 0
@@ -323,12 +328,12 @@ def _descend(points: DataFrame, graph: DataFrame, k: int, parts: int, width: int
     return _merged(mail.mapInArrow(meet, _GRAPH).union(old), k, width)
 
 
-def build_graph(points: DataFrame, count: int, size: int, k: int = NEIGHBOURS, starts: int = STARTS, change: float = CHANGE) -> DataFrame:
+def build_graph(points: DataFrame, count: int, size: int, k: int = NEIGHBOURS, change: float = CHANGE) -> DataFrame:
     """u, ids, dist (squared), new: points (u, x array<double>) with their nearest found."""
     width, parts = _widths(points, count)
     mean = _mean(points, size)
     first = _start(points, count, mean, k, 1)
-    for seed in range(2, starts + 1):
+    for seed in range(2, 3 + max(1, (count // BLOCK).bit_length())):
         first = first.union(_start(points, count, mean, k, seed))
     graph = materialize(_merged(first, k, width), "nn-graph")
     for _ in range(_MOST):
@@ -355,7 +360,7 @@ _MARKED = _STATE + ", go array<bigint>, seen bigint"
 def search(points: DataFrame, graph: DataFrame, queries: DataFrame, count: int, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """q, ids, dist, seen: the beam of each query (q, a point of the graph), nearest first, itself left out; seen counts distances."""
     width, parts = _widths(points, count)
-    around = materialize(_both_ways(graph, 2 * NEIGHBOURS, width).select("u", F.array_distinct("ids").alias("near")), "nn-around")
+    around = materialize(_both_ways(graph, 2 * NEIGHBOURS, width, True).select("u", F.array_distinct("ids").alias("near")), "nn-around")
     target = materialize(queries.join(points, F.col("q") == F.col("u")).select("q", F.col("x").alias("y")), "nn-queries")
     # a few points taken by their hash are where every search begins, besides the query's own neighbours
     gates = [r["u"] for r in points.select("u").orderBy(F.xxhash64("u", F.lit(3)), "u").limit(ENTRIES).collect()]
