@@ -26,7 +26,7 @@ FRAME, LACED, BLOCKS = 256, 16, 16  # bytes of a frame, frames of a block, block
 
 # Matroska element identifiers.
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1
-CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_PLACE, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 TIME_SCALE, DURATION, MUXER, WRITER = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 NUMBER, UID, KIND, CODEC, LACING, FRAME_TIME = 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0x23E383
@@ -168,12 +168,13 @@ def parse(data: bytes) -> Media:
     media, segment = Media(), 0
     now = {"cluster": 0}
 
-    def add(at: int, end: int, group: bool) -> None:
+    def add(at: int, end: int, key: bool | None = None) -> None:
+        """key: whether a group's block is a keyframe; a simple block tells by its flags."""
         track, time, flags, lacing, ranges = _frames(data, at, end)
         step = media.tracks.get(track, {}).get("frame_ns") or 0
         ns = (now["cluster"] + time) * media.scale
         for i, (place, size) in enumerate(ranges):
-            media.packets.append((track, ns + i * step, place, size, group or bool(flags & 0x80), lacing))
+            media.packets.append((track, ns + i * step, place, size, bool(flags & 0x80) if key is None else key, lacing))
 
     def walk(at: int, end: int, inside: int, target) -> int:
         nonlocal segment
@@ -202,13 +203,22 @@ def parse(data: bytes) -> Media:
                 elif key == CUE_PLACE:
                     inner = {}
                     target["places"].append(inner)
+                elif key == BLOCK_GROUP:
+                    inner = {"blocks": [], "key": True}
                 stop = walk(at, stop, key, inner) if unknown else (walk(at, stop, key, inner), stop)[1]
-                if key == TRACK:
+                if key == BLOCK_GROUP:  # a block that refers to another isn't a keyframe
+                    for place in inner["blocks"]:
+                        add(*place, inner["key"])
+                elif key == TRACK:
                     media.tracks[inner.get("number", 0)] = inner
                 elif key == CUE_POINT:
                     media.cues += [(inner["time"], p.get("track", 0), segment + p.get("cluster", 0)) for p in inner["places"]]
-            elif key == SIMPLE_BLOCK or key == BLOCK:
-                add(at, stop, key == BLOCK)
+            elif key == SIMPLE_BLOCK:
+                add(at, stop)
+            elif key == BLOCK:
+                target["blocks"].append((at, stop))
+            elif key == REFERENCE and inside == BLOCK_GROUP:
+                target["key"] = False
             elif key == CLUSTER_TIME:
                 now["cluster"] = int.from_bytes(data[at:stop], "big")
             elif key == TIME_SCALE:
@@ -229,12 +239,17 @@ def parse(data: bytes) -> Media:
         if key != EBML:
             raise ValueError("no EBML header")
         size, at, _ = _number(data, at)
-        mark = data.find(DOC_TYPE.to_bytes(2, "big"), at, at + size)
-        if mark >= 0:
-            n, begin, _ = _number(data, mark + 2)
-            media.doc_type = data[begin : begin + n].decode()
-        walk(at + size, len(data), 0, None)
-    except (IndexError, struct.error, UnicodeDecodeError, TypeError) as e:
+        head = at + size
+        while at < head:
+            key, at, _ = _number(data, at, keep_marker=True)
+            n, at, _ = _number(data, at)
+            if at + n > head:
+                raise ValueError("element is longer than its parent")
+            if key == DOC_TYPE:
+                media.doc_type = data[at : at + n].rstrip(b"\0").decode()
+            at += n
+        walk(head, len(data), 0, None)
+    except (IndexError, KeyError, struct.error, UnicodeDecodeError, TypeError) as e:
         raise ValueError(f"broken file: {e}") from e
     return media
 
