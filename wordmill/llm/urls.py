@@ -6,8 +6,8 @@ smoothing). Counts cover all rows and are exact: an n-gram of at most ORDER + 1
 counter. The model that goes to the executors has one entry for each different n-gram and grows with them. One fifth of the URLs (by crc32) is kept out of the
 counts and calibrates the threshold on the length-normalised difference of log-likelihoods (least balanced error).
 
-Defined results: a null url, or one without ``://``, has empty host and path and no rule; null and empty urls are
-blocked; repeated urls get equal verdicts; without accepted URLs everything that no rule fits is blocked, without rejected
+Defined results: a null url, or one without ``://``, has empty host and path and no rule; a null url is judged as an empty
+one, by the model; repeated urls get equal verdicts; without accepted URLs everything that no rule fits is blocked, without rejected
 ones it is allowed; an empty table gives an empty table.
 """
 
@@ -163,6 +163,7 @@ def train(urls: DataFrame) -> Ratio | str:
     for r in known.where("calibrate").select("url", "good").mapInArrow(histogram, "c int, b int, n bigint").groupBy("c", "b").agg(F.sum("n").alias("n")).collect():
         bins[r["c"], r["b"]] = r["n"]
     model.threshold = calibrated(bins)
+    shared.unpersist()
     return model
 
 
@@ -199,7 +200,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id
             else:
                 score = model.scores([u.encode() for u in urls])
                 other = ["allow" if s > model.threshold else "block" for s in score]
-            said = [v or ("block" if not u else o) for v, u, o in zip(batch.column(5).to_pylist(), urls, other)]
+            said = [v or o for v, o in zip(batch.column(5).to_pylist(), other)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(said, pa.string()), pa.array(score, pa.float64())], [key, "url", "host", "path", "rule", "verdict", "score"])
 
     return ruled.mapInArrow(run, f"`{key}` {kind}, url string, host string, path string, rule string, verdict string, score double")
