@@ -11,7 +11,8 @@ The mix goes on until every document has had its turn at least once; a source th
 (`epoch`). No document is dropped. Default weights are the sources' shares raised to ALPHA and normalised, which lifts
 small sources and lowers a hot one.
 
-Defined results: a null source is the source `(null)`; repeated rows are documents of their own; null and empty texts are
+Defined results: a null source is the source `(null)`, or a longer name where a source has that one; repeated rows are
+documents of their own, and rows of one id are told apart by their other columns; null and empty texts are
 documents like others; with one source the mix is that source once; an empty table gives an empty table; other columns
 stay. A weight of 0 leaves a source out, on request only.
 """
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, quoted, table
 
 BLOCK, ALPHA = 16, 0.8
 SALT_ROWS, SALTS = 4_000, 512
@@ -112,8 +113,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     import pyarrow as pa
 
     spark = docs.sparkSession
-    keyed = docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit("(null)")).alias("source_key"), F.xxhash64("doc_id", F.lit(17)).alias("__h"))
-    counts = {r["source_key"]: r["n"] for r in keyed.groupBy("source_key").agg(F.count("*").alias("n")).collect()}
+    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n")).collect()}
+    (none,) = fresh((s for s in counts if s is not None), "(null)")
+    counts = {none if s is None else s: n for s, n in counts.items()}
+    plain = quoted(f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString())
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce("source", F.lit(none)).alias("source_key"), F.xxhash64("doc_id", F.lit(17)).alias("__h"), F.xxhash64(*plain).alias("__all_columns"))
     salts = max(SALTS, 1 << (max([1, *counts.values()]) // SALT_ROWS).bit_length())
     keyed = keyed.withColumn("__salt", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(salts)).cast("int"))
     parts = keyed.groupBy("source_key", "__salt").agg(F.count("*").alias("__n"))
@@ -124,7 +128,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     rows = [(s, i, block * int(n), counts[s]) for i, (s, n) in enumerate(zip(names, placed_blocks))]
     entry = spark.createDataFrame(rows, "__s2 string, __k long, __need long, __all long")
     slots = spark.createDataFrame(pa.table({f"__{k}": v for k, v in columns.items()}))
-    inside = Window.partitionBy("source_key", "__salt").orderBy("__h", "row.doc_id")
+    inside = Window.partitionBy("source_key", "__salt").orderBy("__h", "row.doc_id", "__all_columns")
     ranked = keyed.withColumn("__r", F.row_number().over(inside) - 1)
     ranked = ranked.join(offsets, (F.col("source_key") == F.col("__s")) & (F.col("__salt") == F.col("__t"))).withColumn("__r", F.col("__r") + F.col("__before"))
     planned = ranked.join(F.broadcast(entry), F.col("source_key") == F.col("__s2")).where(F.col("__r") < F.col("__need"))
