@@ -24,13 +24,15 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table, work_path
+from .common import discard, keep_path, materialize, table, work_path
 
 MIN_REVISIT, ROLL, LEVEL, STRETCH, SHARD = 1000, 32 << 20, 3, 4 << 20, 16 << 20
-MOST_SHARDS, SAMPLED = 4096, 100
+MOST_SHARDS, SAMPLED = 65_536, 16
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed value: the profile of a revisit by digest in the WARC 1.1 standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -215,14 +217,15 @@ def revisits(pages: DataFrame) -> DataFrame:
 def shard_bounds(ids: DataFrame, size: int) -> tuple[list[int], int]:
     """(first ids of the second and later shards, number of shards) for shards of about `size` payload bytes.
 
-    At most MOST_SHARDS; about SAMPLED ids for each shard come to the driver.
+    About SAMPLED ids for each shard come to the driver, and at most MOST_SHARDS shards are cut (from 1 TB on they grow;
+    their rows are streamed, and files roll as ever).
     """
     total = ids.agg(F.sum("size").alias("s"), F.count("*").alias("n")).first()
     parts = max(1, min(MOST_SHARDS, -(-(total["s"] or 0) // size)))
     if parts == 1:
         return [], 1
     share = min(1.0, SAMPLED * parts / total["n"])
-    some = ids.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)).select("page_id", "size").collect()
+    some = ids.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)).groupBy("page_id").agg(F.sum("size").alias("size")).collect()
     some = sorted((r["page_id"], r["size"]) for r in some)
     step, done, bounds = sum(n for _, n in some) / parts, 0, []
     for page, n in some:
@@ -241,9 +244,14 @@ def write_archive(pages: DataFrame, root: str, roll: int = ROLL, level: int = LE
     decided = revisits(ids).select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"))
     rows = base.select("page_id", F.sha1("html").alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("refers_to"), "url", "html")
     bounds, parts = shard_bounds(ids, shard)
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b <= F.col("page_id")))
+    edges = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def place(page: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, page.fillna(0).to_numpy(np.int64), "right"))
+
     # rows without id are dealt by their digest, after all others
-    number = F.when(F.col("page_id").isNull(), parts + F.pmod(F.crc32(F.col("digest").cast("binary")), F.lit(parts))).otherwise(place).cast("int")
+    number = F.when(F.col("page_id").isNull(), parts + F.pmod(F.crc32(F.col("digest").cast("binary")), F.lit(parts))).otherwise(place(F.coalesce("page_id", F.lit(0)))).cast("int")
     both = decided.union(rows).select(number.alias("shard"), "*")
     dealt = both.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     written = dealt.mapInArrow(_writer(root, roll, level), MANIFEST)
@@ -298,6 +306,7 @@ def read_archive(spark: SparkSession, root: str, with_payload: bool = False) ->
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to an archive in the shared folder, and read back from it."""
     root = work_path(spark, "warc")
+    keep_path(spark, root)
     write_archive(table(spark, sf_dir, "pages"), root)
     return read_archive(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
