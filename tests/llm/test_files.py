@@ -44,6 +44,16 @@ def test_lacing_and_unknown_sizes(lacing):
     assert [p[1] for p in media.packets[:n]] == [47_000_000 + i * 1_000_000 for i in range(n)]
 
 
+def test_keyframes_and_document_type():
+    """A block that refers to another is no keyframe; the type is an element, not a run of bytes that looks like one."""
+    group = lambda *more: M._element(M.BLOCK_GROUP, M._element(M.BLOCK, M.block([b"abc"], 1, 0)) + b"".join(more))
+    cluster = M._element(M.CLUSTER, M._uint(M.CLUSTER_TIME, 0) + group() + group(M._element(M.REFERENCE, b"\xff")) + M._element(M.SIMPLE_BLOCK, M.block([b"abc"], 1, 0)))
+    odd = M._element(0x4283, b"\x42\x82\x84fake")
+    data = M._element(M.EBML, odd + M._element(M.DOC_TYPE, b"webm")) + M._element(M.SEGMENT, cluster)
+    media = M.parse(data)
+    assert media.doc_type == "webm" and [p[4] for p in media.packets] == [True, False, True]
+
+
 @given(st.binary(max_size=300))
 def test_broken_media(raw):
     good = M.write_samples(M.pad(b"hello"))

@@ -76,6 +76,36 @@ def test_mix_order(spark):
     assert out.columns == df.columns and out.count() == len(rows) and {r["position"] for r in out.collect()} == {5}
 
 
+def test_mixing_query(spark, small):
+    """Against a plain walk over the slots: who runs in each, and which of the source's documents, block by block."""
+    rows = X.op6_mixing(spark, small).orderBy("position").collect()
+    docs = [r["source"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    counts = Counter(docs)
+    weights = X.whole({s: n**X.ALPHA for s, n in counts.items()})
+    total, done, need, slot, at = sum(weights.values()), Counter(), {s: -(-n // X.BLOCK) for s, n in counts.items()}, 0, 0
+    while any(done[s] < need[s] for s in counts):
+        able = [s for s in counts if done[s] * total // weights[s] <= slot]
+        s = min(able, key=lambda s: (-(-(done[s] + 1) * total // weights[s]), s))
+        for r in rows[at : at + X.BLOCK]:
+            assert (r["source"], r["block"], r["slot"]) == (s, done[s], slot)
+        done[s], slot, at = done[s] + 1, slot + 1, at + X.BLOCK
+    assert at == len(rows) and [r["position"] for r in rows] == list(range(at))
+    for s, n in counts.items():
+        times = Counter(r["doc_id"] for r in rows if r["source"] == s)
+        assert len(times) == n and max(times.values()) - min(times.values()) <= 1
+
+
+def test_mix_keeps_sources_apart(spark):
+    """A null source and one named like its stand-in, rows of one id, and columns named like the operator's own."""
+    rows = [(1, None, "a"), (1, None, "b"), (1, "(null)", "c"), (2, "(null)", "c"), (2, "(null)", "c"), (None, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string").selectExpr("*", "1 AS source_key", "2 AS slot", "3 AS __h", "4 AS `row`")
+    out = X.mix(df, block=1).collect()
+    assert {(r["row"]["source"], r["source_key"]) for r in out} == {(None, "(null)_"), ("(null)", "(null)"), ("x", "x")}
+    assert X.mixed_documents(df).columns == df.columns
+    one, two = (X.mix(d, block=1).select("row.text", "position").orderBy("position").collect() for d in (df, df.repartition(4)))
+    assert one == two
+
+
 def test_mix_weights_and_empty(spark):
     df, rows = mixed(spark, {"a": 64, "b": 64}, weights={"a": 3, "b": 1}, block=2, period=16)
     share = Counter(r["source_key"] for r in rows)
