@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import materialize, table
+from wordmill.llm.common import discard, fresh, quoted, scratch, table
 from wordmill.llm.jaccard import deduplicate
 from wordmill.llm.mixing import mixed_documents
 from wordmill.llm.packing import pack_documents
@@ -16,8 +16,8 @@ from wordmill.llm.secrets import redact_secrets
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more stay; the network learns from `labels` outside the held-out fold."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    return with_scores(docs, model, names, "__score").where(F.col("__score") >= 0.5).select(*names)
+    (score,) = fresh(docs.columns, "score")
+    return with_scores(docs, model, docs.columns, score).where(F.col(score) >= 0.5).select(*quoted(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; every stage but the last is written to the shared folder and read again."""
+    """All stages over `documents`; every stage but the last is written to the shared folder and read again.
+
+    A stage's table goes when the next one's is written; the last one's input stays until the program ends.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, scratch(f"pipeline-{name}")(stage)(spark, docs, sf_dir)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
