@@ -280,3 +280,23 @@ def test_pipeline(spark, small):
 def test_pipeline_run(spark, small):
     assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "packing"]
     assert P.run(spark, small).count() > 0
+
+
+ODD = ["1 AS cluster", "2 AS tile", "3 AS gone", "4 AS twice", "5 AS score", "6 AS __text", "7 AS __salt", "8 AS label", "9 AS `a.b`", "10 AS position", "11 AS rep", "12 AS c0", "13 AS __n", "14 AS piece", "15 AS mark"]
+
+
+def test_stages_with_odd_rows_and_names(spark, small):
+    """Columns named like the stages' own, nulls in every column, empty texts, repeated rows, and an empty table."""
+    base = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60")
+    extra = spark.createDataFrame([(None, None, None, None, None), (1000, "", "en", None, 0), (1001, None, None, "s", None), (1002, "same words here " * 20, "en", "s", 320), (1002, "same words here " * 20, "en", "s", 320), (1003, "same words here " * 20, "en", "s", 320)], base.schema)
+    docs = base.union(extra).selectExpr("*", *ODD)
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, small)
+        rows = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        assert 0 < len(rows), name
+        assert stage(spark, docs.limit(0), small).count() == 0, name
+        if name == "near_duplicates":
+            assert sorted(r["doc_id"] for r in rows if r["doc_id"] in (1002, 1003)) == [1002]
+            assert {r["doc_id"] for r in rows} >= {None, 1000, 1001}
