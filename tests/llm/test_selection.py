@@ -129,7 +129,7 @@ def test_packing_is_sound(sizes):
         assert final[b] in lengths and n <= final[b] and not any(n <= c < final[b] for c in lengths)
     total = sum(K.cost(c, lengths) for c in final)
     assert total + 1e-6 >= K.lower_bound(sizes, lengths)
-    for least in lengths:
+    for least in (None, *lengths):
         _, _, full = K.best_fit(sizes, lengths, least)
         assert total <= sum(K.cost(c, lengths) for c in K.downsized(full, lengths)) + 1e-9
 

@@ -3,9 +3,9 @@
 Lengths are code points plus one separator. A document longer than the largest bin is cut into pieces of that length.
 Pieces are dealt by a hash into shards of about SHARD code points (and SHARD_ROWS rows); each shard is packed on its own,
 so no shard grows with the data. Within a shard pieces go in order of decreasing length into the open bin with the least
-sufficient room (best fit). If none has room, a bin is opened: the cheapest of the permitted lengths that hold the piece
-and are at least the policy's. Every policy (one for each permitted length) is tried over the whole shard, every bin is
-finally downsized to the smallest permitted length that holds its contents, and the policy of least total cost wins. The
+sufficient room (best fit). If none has room, a bin is opened, by one of several policies: the length of least cost for
+each code point that can still come into it (short bins pay for their overhead, long ones for the square), or the cheapest
+that holds the piece and is at least the policy's. Every policy is tried over the whole shard, every bin is finally downsized to the smallest permitted length that holds its contents, and the policy of least total cost wins. The
 cost of a length c is c + OVERHEAD + QUADRATIC * c * c / largest.
 
 Defined results: null and empty texts take one place (the separator); equal lengths go by id, then by piece; repeated
@@ -31,8 +31,13 @@ def cost(length: int, lengths: tuple[int, ...] = LENGTHS) -> float:
     return length + OVERHEAD + QUADRATIC * length * length / lengths[-1]
 
 
-def best_fit(sizes: list[int], lengths: tuple[int, ...], least: int) -> tuple[list[int], list[int], list[int]]:
-    """(bin of each piece, its offset, contents of each bin) for pieces in decreasing order; bins open with at least `least`."""
+def best_fit(sizes: list[int], lengths: tuple[int, ...], least: int | None) -> tuple[list[int], list[int], list[int]]:
+    """(bin of each piece, its offset, contents of each bin) for pieces in decreasing order.
+
+    Bins open with at least `least`, as cheap as possible; with None by the least cost for each code point that can still
+    come into the bin.
+    """
+    left = sum(sizes)
     rooms: list[int] = []  # different rooms of open bins, sorted
     bins_with: dict[int, list[int]] = {}
     capacity: list[int] = []
@@ -47,11 +52,12 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...], least: int) -> tuple[li
             if not stack:
                 del bins_with[room], rooms[at]
         else:
-            able = [c for c in lengths if c >= max(size, least)] or [lengths[-1]]
+            able = [c for c in lengths if c >= max(size, least or 0)] or [lengths[-1]]
             b = len(capacity)
-            capacity.append(min(able, key=lambda c: (cost(c, lengths), c)))
+            capacity.append(min(able, key=lambda c: (cost(c, lengths) / (min(c, left) if least is None else 1), c)))
             filled.append(0)
             room = capacity[b]
+        left -= size
         where.append(b)
         offset.append(filled[b])
         filled[b] += size
@@ -71,7 +77,7 @@ def downsized(filled: list[int], lengths: tuple[int, ...]) -> list[int]:
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
     """(bin, offset, final length of each bin) by the policy of least total cost."""
     best = None
-    for least in lengths:
+    for least in (None, *lengths):
         where, offset, filled = best_fit(sizes, lengths, least)
         final = downsized(filled, lengths)
         total = sum(cost(c, lengths) for c in final)
@@ -85,7 +91,7 @@ def _pack_shards(with_text: bool, lengths: tuple[int, ...]):
         import pyarrow as pa
 
         def packed(shard, rows):
-            rows.sort(key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
+            rows.sort(key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1], r[4] if with_text else ""))
             where, offset, final = pack([r[3] for r in rows], lengths)
             columns = [
                 pa.array([r[0] for r in rows], pa.int64()),
@@ -116,6 +122,23 @@ def _pack_shards(with_text: bool, lengths: tuple[int, ...]):
     return run
 
 
+def _cutter(step: int):
+    """Documents into pieces of at most `step` code points; slices of a Python text don't start from its first character."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = text or ""
+                rows += [(key, i, a, min(step, len(text) - a) + 1, text[a : a + step]) for i, a in enumerate(range(0, max(1, len(text)), step))]
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], ["doc_id", "piece", "start", "length", "text"])
+
+    return run
+
+
 def pack_documents(docs: DataFrame, with_text: bool = False, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     """doc_id, piece, start, length, bin_id, capacity, bin_offset (and the piece's text): one row for each piece."""
     spark = docs.sparkSession
@@ -126,11 +149,14 @@ def pack_documents(docs: DataFrame, with_text: bool = False, lengths: tuple[int,
     shards = max(1, -(-(total["s"] or 0) // SHARD), -(-total["n"] // SHARD_ROWS))
     # a piece of a cut document fills its bin to the last place but one, which is the separator's
     step = largest - 1
-    piece = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("__n") - 1) / step)).cast("int")))
-    cut = base.withColumn("piece", piece).withColumn("start", F.col("piece").cast("bigint") * step)
-    cut = cut.withColumn("length", F.least(F.col("__n") - F.col("start"), F.lit(step)) + 1)
+    if with_text:
+        cut = base.select("doc_id", "text").mapInArrow(_cutter(step), "doc_id bigint, piece int, start bigint, length bigint, text string")
+    else:
+        piece = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("__n") - 1) / step)).cast("int")))
+        cut = base.withColumn("piece", piece).withColumn("start", F.col("piece").cast("bigint") * step)
+        cut = cut.withColumn("length", F.least(F.col("__n") - F.col("start"), F.lit(step)) + 1)
     shard = F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)).cast("bigint")
-    rows = cut.select(shard.alias("shard"), "doc_id", "piece", "start", "length", *([F.expr("substring(text, cast(start + 1 as int), cast(length - 1 as int))").alias("text")] if with_text else []))
+    rows = cut.select(shard.alias("shard"), "doc_id", "piece", "start", "length", *(["text"] if with_text else []))
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
     dealt = rows.repartition(width, "shard").sortWithinPartitions("shard")
     schema = "doc_id bigint, piece int, start bigint, length bigint, bin_id bigint, capacity bigint, bin_offset bigint" + (", text string" if with_text else "")
