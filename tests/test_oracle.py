@@ -48,7 +48,7 @@ def test_same_rows(spark, duck, name):
 
 def test_names():
     assert set(oracle.SQL) <= set(queries.QUERIES)
-    assert set(queries.QUERIES) - set(oracle.SQL) == {"t13_viterbi", "f16_front_mode"}
+    assert set(queries.QUERIES) - set(oracle.SQL) == {"t13_viterbi"}
     assert set(queries.QUERIES) <= set(entry.queries())
 
 

@@ -74,7 +74,7 @@ def test_display(spark):
     assert df.select(X.deck_count_string(counts)).first()[0] == "1× Deck A, 2× Deck B"
     assert [r[0] for r in spark.createDataFrame([("word",), ("generated",), ("x",), (None,)], "m string").select(X.badge(F.col("m"))).collect()] == ["WORD", "GENERATED", "NEW", "NEW"]
     assert [r[0] for r in spark.createDataFrame([("7",), ("0",), ("x",), (None,)], "c string").select(X.cookie_user(F.col("c"))).collect()] == [7, 1, 1, 1]
-    assert [r[0] for r in spark.createDataFrame([("talokin,",), ("talo",), ("Onkopa!",)], "c string").select(X.enclitic(F.col("c"))).collect()] == ["kin", "", "pa"]
+    assert [r[0] for r in spark.createDataFrame([("talokin,", "FI"), ("talo", "FI"), ("Onkopa!", "FI"), ("napkin", "en"), ("pumpkin", None)], "c string, l string").select(X.enclitic(F.col("c"), F.col("l"))).collect()] == ["kin", "", "pa", "", ""]
 
 
 def test_phrases(spark):

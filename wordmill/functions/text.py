@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 VERB_ENDINGS = ("aa", "ää", "oi", "ui", "in", "en")
 NOUN_ENDINGS = ("nen", "ssa", "ssä", "lla", "llä", "iin")
 ADJECTIVE_ENDINGS = ("inen",)
-ENCLITICS = ("kin", "kaan", "pa", "pä")
+ENCLITICS = {"FI": ("kin", "kaan", "pa", "pä")}
 
 _EDGE = r"(?U)^\s+|\s+$"
 
@@ -67,9 +67,12 @@ def bare(form: Column) -> Column:
     return F.regexp_replace(form, r"^[\p{Punct}]+|[\p{Punct}]+$", "")
 
 
-def enclitic(form: Column) -> Column:
-    """The enclitic that ends the form, or an empty string."""
-    return F.regexp_extract(F.lower(bare(form)), f"({'|'.join(ENCLITICS)})$", 1)
+def enclitic(form: Column, lang: Column) -> Column:
+    """The enclitic that ends the form in its language, or an empty string; languages without enclitics have none."""
+    out = F.lit("")
+    for language, endings in ENCLITICS.items():
+        out = F.when(lang == language, F.regexp_extract(F.lower(bare(form)), f"({'|'.join(endings)})$", 1)).otherwise(out)
+    return out
 
 
 def token(form: Column, strip_punct: bool = False, pos_mode: str = "reference") -> Column:
@@ -121,8 +124,8 @@ def deck_line(lang: Column, known: Column, unique: Column, due: Column) -> Colum
 
 
 def front_mode(card: Column, seed: int, weights: tuple[int, int, int] = (40, 40, 20)) -> Column:
-    """word, sentence or generated, by a hash of card and seed against weights in hundredths."""
-    x = F.pmod(F.xxhash64(card, F.lit(seed)), F.lit(100))
+    """word, sentence or generated, by a digest of card and seed against weights in hundredths."""
+    x = F.conv(F.substring(F.md5(F.concat_ws(":", card.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint") % 100
     return F.when(x < weights[0], "word").when(x < weights[0] + weights[1], "sentence").otherwise("generated")
 
 

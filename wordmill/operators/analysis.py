@@ -34,6 +34,21 @@ def sentence_texts(texts: DataFrame) -> DataFrame:
     return sentences(texts).select("deck_id", "lang", "sentence_ix", F.array_join(X.tokens(F.col("text")), " ").alias("text"))
 
 
+def bigrams(texts: DataFrame) -> DataFrame:
+    """a, b: neighbouring lemmas inside sentences, made from each sentence's array, so without a shuffle."""
+    words = sentences(texts).select(F.transform(X.tokens(F.col("text")), X.lemma).alias("w"))
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return words.where(F.size("w") > 1).select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("b is not null")
+
+
+def observed(frame: DataFrame, name: str):
+    """(the frame, its observation): rows and distinct decks are counted while the frame is used, for dashboards of the parser."""
+    from pyspark.sql import Observation
+
+    watch = Observation(name)
+    return frame.observe(watch, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("deck_id").alias("decks")), watch
+
+
 def occurrence_counts(texts: DataFrame) -> DataFrame:
     """deck_id, lemma, pos, n. Counts are made before the shuffle."""
     return tokens(texts).groupBy("deck_id", "lemma", "pos").agg(F.count("*").alias("n"))
@@ -54,7 +69,9 @@ def reject_reason(title: str = "title", lang: str = "lang", text: str = "text",
 
 
 def health(tokens_: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """lang, tokens, unknown, guesser_used: how many tokens the lexicon knows."""
-    known = F.broadcast(lexicon.select(F.col("form").alias("__f")).distinct())
-    found = tokens_.join(known, F.lower("form") == F.col("__f"), "left")
-    return found.groupBy("lang").agg(F.count("*").alias("tokens"), F.sum(F.col("__f").isNull().cast("bigint")).alias("unknown"))
+    """lang, tokens, unknown (forms the lexicon doesn't have as they stand), guesser_used (nor without punctuation)."""
+    known = lexicon.select(F.col("form").alias("__f")).distinct()
+    found = tokens_.join(known, F.lower("form") == F.col("__f"), "left").withColumn("__w", F.lower(X.bare(F.col("form"))))
+    found = found.join(known.select(F.col("__f").alias("__g")), F.col("__w") == F.col("__g"), "left")
+    missing = {"unknown": "__f", "guesser_used": "__g"}
+    return found.groupBy("lang").agg(F.count("*").alias("tokens"), *(F.sum(F.col(c).isNull().cast("bigint")).alias(n) for n, c in missing.items()))

@@ -117,56 +117,84 @@ def generate(sentences: DataFrame, lexicon: DataFrame, changes: dict[str, str],
     new = inflect(moved.select("old", F.col("__lemma").alias("lemma"), F.col("__pos").alias("pos"), "feats"), lexicon).where("form is not null and form <> old")
     words = sentences.withColumn("words", X.tokens(F.col("text"))).where(F.size("words") <= max_words)
     each = words.select("deck_id", "sentence_ix", "words", F.posexplode("words").alias("at", "word"))
-    made = each.join(F.broadcast(new), F.lower(X.bare(F.col("word"))) == F.col("old"))
+    made = each.join(new, F.lower(X.bare(F.col("word"))) == F.col("old"))
     swapped = F.transform("words", lambda w, i: F.when(i == F.col("at"), F.replace(F.lower(w), F.col("old"), F.col("form"))).otherwise(w))
     made = made.withColumn("generated", F.array_join(swapped, " "))
     again = lexicon.select(F.col("form").alias("__form"), F.col("feats").alias("__f2"), F.col("lemma").alias("__l2"))
     word = F.lower(X.bare(F.element_at(X.tokens(F.col("generated")), F.col("at") + 1)))
-    checked = made.join(F.broadcast(again), (word == F.col("__form")) & (F.col("feats") == F.col("__f2")) & (F.col("lemma") == F.col("__l2")), "left_semi")
+    checked = made.join(again, (word == F.col("__form")) & (F.col("feats") == F.col("__f2")) & (F.col("lemma") == F.col("__l2")), "left_semi")
     return checked.select("deck_id", "sentence_ix", F.col("at").alias("token_ix"), "lemma", "feats", "generated")
 
 
 # ------------------------------------------------------------------ set phrases
 
 
-def phrase_matches(sentences: DataFrame, phrases: tuple) -> DataFrame:
-    """deck_id, sentence_ix, start, size, mwe_id: left to right, the longest phrase at each place, no overlaps.
+def segment(words: list[str], tree: dict) -> list[tuple[int, int, int]]:
+    """(start, size, mwe_id) of the phrases in one sentence: dynamic programming from left to right over the places.
 
-    sentences: deck_id, sentence_ix, words (bare, lower case). One pass over each sentence's array; no shuffle.
+    The segmentation that covers most words wins; of equal ones the one with fewer phrases, then with the earlier ones.
+    tree: by first word, (size, id, pattern) with the longest first.
     """
-    longest = sorted(phrases, key=lambda p: (-len(p[2]), p[0]))
-    here = None
-    for key, _, pattern in longest:
-        fits = F.lit(True)
-        for i, word in enumerate(pattern):
-            at = F.try_element_at("words", F.col("__i") + F.lit(i + 1))
-            fits = fits & (at == word if word is not None else at.isNotNull())
-        hit = F.struct(F.lit(key).cast("bigint").alias("mwe_id"), F.lit(len(pattern)).alias("size"))
-        here = F.when(fits, hit) if here is None else here.when(fits, hit)
-    firsts = sorted({p[2][0] for p in phrases})
-    each = sentences.where(F.arrays_overlap("words", F.array(*map(F.lit, firsts)))).select("deck_id", "sentence_ix", "words", F.posexplode("words").alias("__i", "__w"))
-    hits = each.where(F.col("__w").isin(*firsts)).withColumn("__hit", here).where("__hit is not null")
-    found = hits.groupBy("deck_id", "sentence_ix").agg(F.array_sort(F.collect_list(F.struct(F.col("__i").alias("start"), F.col("__hit.size").alias("size"), F.col("__hit.mwe_id").alias("mwe_id")))).alias("hits"))
-    one = "struct<start:int,size:int,mwe_id:bigint>"
-    empty = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{one}>").alias("taken"))
-    greedy = F.aggregate(
-        "hits",
-        empty,
-        lambda acc, h: F.when(h["start"] >= acc["end"], F.struct((h["start"] + h["size"]).alias("end"), F.concat(acc["taken"], F.array(h.cast(one))).alias("taken"))).otherwise(acc),
-        lambda acc: acc["taken"],
-    )
-    return found.select("deck_id", "sentence_ix", F.explode(greedy).alias("m")).select("deck_id", "sentence_ix", "m.start", "m.size", "m.mwe_id")
-
-
-def associations(tokens: DataFrame, least: int = 5) -> DataFrame:
-    """a, b, n_ab, n_a, n_b, pmi, llr of neighbouring lemmas in sentences that occur together `least` times."""
-    w = Window.partitionBy("deck_id", "sentence_ix").orderBy("token_ix")
-    pairs = tokens.select("deck_id", "sentence_ix", "token_ix", F.col("lemma").alias("a"), F.lead("lemma").over(w).alias("b")).where("b is not null")
+    best: list[tuple[int, int, tuple | None]] = [(0, 0, None)]  # by place: words covered, minus phrases, last phrase
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for i, word in enumerate(words):
+        for size, key, pattern in tree.get(word, ()):
+            if i + size <= len(words) and all(p is None or (words[i + j] == p if isinstance(p, str) else words[i + j] in p) for j, p in enumerate(pattern)):
+                ends.setdefault(i + size, []).append((size, key))
+    if not ends:
+        return []
+    for p in range(1, len(words) + 1):
+        top = best[p - 1][:2] + (None,)
+        for size, key in ends.get(p, ()):
+            covered, count, _ = best[p - size]
+            if (covered + size, count - 1) > top[:2]:
+                top = (covered + size, count - 1, (p - size, size, key))
+        best.append(top)
+    out, p = [], len(words)
+    while p > 0:
+        if (last := best[p][2]) is None:
+            p -= 1
+        else:
+            out.append(last)
+            p = last[0]
+    return out[::-1]
+
+
+def phrase_tree(phrases) -> dict:
+    """By first word the patterns, longest first. A pattern's later elements are words, sets of words (a slot), or None (any word)."""
+    tree: dict[str, list] = {}
+    for key, _, pattern in sorted(phrases, key=lambda p: (-len(p[2]), p[0])):
+        tree.setdefault(pattern[0], []).append((len(pattern), key, tuple(p if p is None or isinstance(p, str) else frozenset(p) for p in pattern)))
+    return tree
+
+
+def phrase_matches(sentences: DataFrame, phrases) -> DataFrame:
+    """deck_id, sentence_ix, start, size, mwe_id. sentences: deck_id, sentence_ix, words (bare, lower case).
+
+    One narrow pass; the phrase table is a dimension that goes to the tasks, and a sentence costs its words, not the phrases.
+    """
+    tree = phrase_tree(phrases)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        for batch in batches:
+            rows = [(deck, ix, *m) for deck, ix, words in zip(*(c.to_pylist() for c in batch.columns)) for m in segment(words, tree)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["deck_id", "sentence_ix", "start", "size", "mwe_id"])
+
+    schema = "deck_id bigint, sentence_ix int, start int, size int, mwe_id bigint"
+    return sentences.select(F.col("deck_id").cast("bigint"), "sentence_ix", "words").mapInArrow(run, schema)
+
+
+def associations(pairs: DataFrame, least: int = 5) -> DataFrame:
+    """a, b, n_ab, n_a, n_b, pmi, llr of neighbouring lemmas (a, b) that occur together `least` times."""
     both = pairs.groupBy("a", "b").agg(F.count("*").alias("n_ab"))
     left = both.groupBy("a").agg(F.sum("n_ab").alias("n_a"))
     right = both.groupBy("b").agg(F.sum("n_ab").alias("n_b"))
-    total = both.agg(F.coalesce(F.sum("n_ab"), F.lit(0))).first()[0]
-    rows = both.where(F.col("n_ab") >= least).join(left, "a").join(right, "b").withColumn("n", F.lit(total))
+    total = both.agg(F.sum("n_ab").alias("n"))
+    rows = both.where(F.col("n_ab") >= least).join(left, "a").join(right, "b").join(total)  # one row
 
     def part(k, expected):
         return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)

@@ -105,7 +105,7 @@ _QUEUE = f"""{DUE}, {_ALL_CARDS}, {_capacity("2024-02-01")},
 lined AS (SELECT user_id, k, 'review' AS kind, 0 AS o, next_due AS t FROM states ANTI JOIN ignored USING (user_id, k) WHERE next_due <= TIMESTAMP '2024-01-20'
   UNION ALL SELECT user_id, k, 'new', 1, NULL FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) AS r FROM fresh) JOIN capacity USING (user_id) WHERE r <= capacity),
 queue AS (SELECT user_id, k, kind, CAST(row_number() OVER (PARTITION BY user_id ORDER BY o, t, k) AS INT) AS place FROM lined)"""
-_COUNTS = "by_title AS (SELECT lemma, pos, title AS deck, sum(n) AS count FROM occurrences JOIN decks ON deck_id = id GROUP BY ALL)"
+_COUNTS = "by_deck AS (SELECT lemma, pos, title AS deck, deck_id, n AS count FROM occurrences JOIN decks ON deck_id = id)"
 _KEYS = "CASE WHEN k % 3 = 0 THEN CAST(k AS BIGINT) END AS mwe_id"
 _LANGS = ", ".join(f"'{x}'" for x in LANGUAGES)
 
@@ -117,7 +117,7 @@ SQL: dict[str, str] = {
     "s8_sentence_rows": _with(TOKENS, "SELECT row_number() OVER (ORDER BY deck_id, sentence_ix) AS id, deck_id, sentence_ix, md5(array_to_string(ws, ' ')) AS text_md5, lang FROM pieces"),
     "s9_user_decks": _with(DECKS, "SELECT id, user_id, title, lang, created_at FROM decks WHERE user_id = 7 ORDER BY created_at DESC, id DESC"),
     "s11_json_rows": _with(DECKS, """SELECT id, '{"id":' || id || ',"title":"' || title || '","lang":"' || lang || '"}' AS json FROM decks"""),
-    "p1_deck_projection": _with(DECKS, 'SELECT id, title, lang, CAST(0 AS BIGINT) AS known, CAST(0 AS BIGINT) AS "unique", CAST(0 AS BIGINT) AS due FROM decks'),
+    "p1_deck_projection": _with(_DECK_NUMBERS, 'SELECT id, title, lang, known, "unique", due FROM decks JOIN numbers ON id = deck_id'),
     "p2_p5_validate": f"SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'title' WHEN doc_id % 13 = 5 THEN 'lang' WHEN doc_id % 17 <> 2 AND octet_length(encode(text)) > 16000 THEN 'size' WHEN doc_id % 17 = 2 OR regexp_replace(text, '{WS}', '', 'g') = '' THEN 'blank' ELSE 'ok' END AS reason FROM documents",
     "p7_current_user": "SELECT event_id, CASE WHEN event_id % 5 < 3 OR user_id = 0 THEN 1 ELSE user_id END AS user_id FROM events",
     "p9_due": _with(DUE, "SELECT user_id, k, next_due FROM due"),
@@ -133,7 +133,7 @@ SQL: dict[str, str] = {
 SELECT d.doc_id AS deck_id, md5('{"sentences":[' || coalesce(string_agg(j, ',' ORDER BY sentence_ix), '') || ']}') AS json_md5, count(j) AS sentences FROM documents d LEFT JOIN js ON js.deck_id = d.doc_id GROUP BY d.doc_id""",
     ),
     "t10_sentence_texts": _with(TOKENS, "SELECT deck_id, sentence_ix, array_to_string(ws, ' ') AS text FROM pieces"),
-    "t11_enclitics": _with(TOKENS, f"SELECT lang, e AS enclitic, count(*) AS n FROM (SELECT lang, regexp_extract(lower({_bare('form')}), '(kin|kaan|pa|pä)$', 1) AS e FROM tokens) WHERE e <> '' GROUP BY ALL"),
+    "t11_enclitics": _with(TOKENS, f"SELECT 'FI' AS lang, e AS enclitic, count(*) AS n FROM (SELECT regexp_extract(lower({_bare('form')}), '(kin|kaan|pa|pä)$', 1) AS e FROM tokens WHERE deck_id % 2 = 0) WHERE e <> '' GROUP BY ALL"),
     "t12_candidates": _with(CANDIDATES, "SELECT lang, b.form IS NULL AS guessed, count(*) AS tokens, CAST(sum(coalesce(many, 1)) AS BIGINT) AS candidates FROM bare t LEFT JOIN best b ON t.w = b.form AND nth = 1 GROUP BY ALL"),
     "t13_best_analysis": _with(ANALYSED, "SELECT lemma, pos, feats, count(*) AS n FROM analysed GROUP BY ALL"),
     "t14_compounds": _with(
@@ -159,25 +159,19 @@ SELECT deck_id, sentence_ix, CAST(i - 1 AS INT) AS token_ix, 'be' AS lemma, 'Moo
     "j1_deck_words": _with(OCCURRENCES + ", " + DECKS, "SELECT user_id, CAST(sum(n) AS BIGINT) AS tokens, count(DISTINCT (lemma, pos)) AS words FROM occurrences JOIN decks ON deck_id = id GROUP BY user_id"),
     "j2_not_ignored": _with(STATES, "SELECT user_id, count(*) AS cards FROM states ANTI JOIN ignored USING (user_id, k) GROUP BY user_id"),
     "j3_known_in_deck": _with(_DECK_NUMBERS, "SELECT deck_id, known FROM numbers WHERE known > 0"),
-    "j4_gloss": _with(WORDS + ", " + LEX, "SELECT k, lemma, pos, gloss FROM card_words LEFT JOIN (SELECT lemma, pos, min(gloss) AS gloss FROM lexicon GROUP BY ALL) USING (lemma, pos)"),
-    "j4_gloss_all": _with(OCCURRENCES + ", " + LEX, "SELECT lemma, pos, gloss FROM (SELECT DISTINCT lemma, pos FROM occurrences) LEFT JOIN (SELECT lemma, pos, min(gloss) AS gloss FROM lexicon GROUP BY ALL) USING (lemma, pos)"),
+    "j4_gloss": _with(OCCURRENCES + ", " + LEX, "SELECT lemma, pos, gloss FROM (SELECT DISTINCT lemma, pos FROM occurrences) LEFT JOIN (SELECT lemma, pos, min(gloss) AS gloss FROM lexicon GROUP BY ALL) USING (lemma, pos)"),
     "j6_null_safe_cards": _with(LOG + ", " + MARKS, f"SELECT user_id, lemma, pos, coalesce(mwe_id, -1) AS mwe_id FROM (SELECT DISTINCT user_id, 'w' || k AS lemma, 'NOUN' AS pos, {_KEYS} FROM log) c WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.user_id = c.user_id AND 'w' || m.k = c.lemma)"),
-    "j7_overlaps": _with(OCCURRENCES + ", " + DECKS, ", owned AS (SELECT user_id, deck_id, lemma, pos FROM occurrences JOIN decks ON deck_id = id), kept AS (SELECT *, count(*) OVER (PARTITION BY user_id, lemma, pos) AS d FROM owned) SELECT a.user_id, a.deck_id AS deck_a, b.deck_id AS deck_b, count(*) AS shared FROM kept a JOIN kept b ON a.user_id = b.user_id AND a.lemma = b.lemma AND a.pos = b.pos AND a.deck_id < b.deck_id WHERE a.d <= 20 GROUP BY ALL HAVING count(*) >= 20"),
-    "j7_overlaps_all": _with(OCCURRENCES + ", " + DECKS, ", owned AS (SELECT user_id, deck_id, lemma, pos FROM occurrences JOIN decks ON deck_id = id) SELECT a.user_id, a.deck_id AS deck_a, b.deck_id AS deck_b, count(*) AS shared FROM owned a JOIN owned b ON a.user_id = b.user_id AND a.lemma = b.lemma AND a.pos = b.pos AND a.deck_id < b.deck_id GROUP BY ALL"),
+    "j7_overlaps": _with(OCCURRENCES + ", " + DECKS, ", owned AS (SELECT user_id, deck_id, lemma, pos FROM occurrences JOIN decks ON deck_id = id) SELECT a.user_id, a.deck_id AS deck_a, b.deck_id AS deck_b, count(*) AS shared FROM owned a JOIN owned b ON a.user_id = b.user_id AND a.lemma = b.lemma AND a.pos = b.pos AND a.deck_id < b.deck_id GROUP BY ALL"),
     "a1_words_known": _with(KNOWN, "SELECT user_id, count(*) AS known FROM known GROUP BY user_id"),
     "a2_words_due": _with(DUE, "SELECT user_id, count(*) AS due FROM due GROUP BY user_id"),
     "a3_new_capacity": _with(STATES + ", " + _ALL_CARDS + ", " + _capacity("2024-01-05"), "SELECT user_id, learned_today, capacity, coalesce(b, 0) AS backlog FROM capacity LEFT JOIN (SELECT user_id, count(*) AS b FROM fresh GROUP BY user_id) USING (user_id)"),
     "a4_a6_deck_numbers": _with(_DECK_NUMBERS, 'SELECT deck_id, "unique", known, due FROM numbers'),
-    "a7_deck_summary": _with(_DECK_NUMBERS + ", " + _phrases(), 'SELECT deck_id, coalesce(t, 0) AS tokens, "unique" AS unique_lemmas, known AS known_lemmas, coalesce(m, 0) AS mwes, "unique" - known AS new_lemmas FROM numbers LEFT JOIN (SELECT deck_id, CAST(sum(n) AS BIGINT) AS t FROM occurrences GROUP BY deck_id) USING (deck_id) LEFT JOIN (SELECT deck_id, count(*) AS m FROM phrases GROUP BY deck_id) USING (deck_id)'),
-    "a8_occurrence_counts": _with(OCCURRENCES + ", " + DECKS + ", " + _COUNTS, "SELECT lemma, pos, string_agg(count || '× ' || deck, ', ' ORDER BY deck) AS counts FROM by_title GROUP BY ALL"),
+    "a7_deck_summary": _with(_DECK_NUMBERS + ", " + _phrases() + ", owned AS (SELECT user_id, deck_id, lemma, pos FROM occurrences JOIN decks ON deck_id = id), both_ways AS (SELECT DISTINCT a.deck_id, b.deck_id AS other FROM owned a JOIN owned b USING (user_id, lemma, pos) WHERE a.deck_id <> b.deck_id), met AS (SELECT deck_id, count(*) AS o FROM both_ways GROUP BY deck_id)", 'SELECT deck_id, coalesce(t, 0) AS tokens, "unique" AS unique_lemmas, known AS known_lemmas, coalesce(m, 0) AS mwes, "unique" - known AS new_lemmas, coalesce(o, 0) AS overlaps FROM numbers LEFT JOIN met USING (deck_id) LEFT JOIN (SELECT deck_id, CAST(sum(n) AS BIGINT) AS t FROM occurrences GROUP BY deck_id) USING (deck_id) LEFT JOIN (SELECT deck_id, count(*) AS m FROM phrases GROUP BY deck_id) USING (deck_id)'),
+    "a8_occurrence_counts": _with(OCCURRENCES + ", " + DECKS + ", " + _COUNTS, "SELECT lemma, pos, string_agg(count || '× ' || deck, ', ' ORDER BY deck, deck_id) AS counts FROM by_deck GROUP BY ALL"),
     "a9_lemma_frequency": _with(TOKENS, "SELECT lemma, pos, count(*) AS n FROM tokens GROUP BY ALL"),
-    "a10_parser_health": _with(TOKENS + ", " + LEX, "SELECT lang, count(*) AS tokens, count(*) FILTER (WHERE lower(form) NOT IN (SELECT form FROM lexicon)) AS unknown FROM tokens GROUP BY lang"),
+    "a10_parser_health": _with(CANDIDATES, "SELECT lang, count(*) AS tokens, count(*) FILTER (WHERE lower(form) NOT IN (SELECT form FROM lexicon)) AS unknown, count(*) FILTER (WHERE w NOT IN (SELECT form FROM lexicon)) AS guesser_used FROM bare GROUP BY lang"),
     "a11_bigrams": _with(TOKENS, "SELECT a, b, count(*) AS n FROM (SELECT lemma AS a, lead(lemma) OVER (PARTITION BY deck_id, sentence_ix ORDER BY token_ix) AS b FROM tokens) WHERE b IS NOT NULL GROUP BY ALL"),
     "w1_examples": _with(
-        WORDS + ", " + _phrases(),
-        ", places AS (SELECT DISTINCT t.lemma, t.pos, t.deck_id, t.sentence_ix, p.deck_id IS NOT NULL AS m FROM tokens t JOIN card_words USING (lemma, pos) LEFT JOIN (SELECT DISTINCT deck_id, sentence_ix FROM phrases) p ON p.deck_id = t.deck_id AND p.sentence_ix = t.sentence_ix), best AS (SELECT lemma, pos, deck_id, sentence_ix, CAST(row_number() OVER (PARTITION BY lemma, pos ORDER BY CASE WHEN deck_id = 5 THEN 0 ELSE 1 END, CASE WHEN m THEN 0 ELSE 1 END, deck_id, sentence_ix) AS INT) AS rank FROM places) SELECT lemma, pos, rank, deck_id, sentence_ix, array_to_string(ws, ' ') AS text FROM best JOIN pieces USING (deck_id, sentence_ix) WHERE rank <= 3",
-    ),
-    "w1_examples_all": _with(
         TOKENS + ", " + _phrases(),
         ", places AS (SELECT DISTINCT t.lemma, t.pos, t.deck_id, t.sentence_ix, p.deck_id IS NOT NULL AS m FROM tokens t LEFT JOIN (SELECT DISTINCT deck_id, sentence_ix FROM phrases) p ON p.deck_id = t.deck_id AND p.sentence_ix = t.sentence_ix), best AS (SELECT lemma, pos, deck_id, sentence_ix, CAST(row_number() OVER (PARTITION BY lemma, pos ORDER BY CASE WHEN deck_id = 5 THEN 0 ELSE 1 END, CASE WHEN m THEN 0 ELSE 1 END, deck_id, sentence_ix) AS INT) AS rank FROM places) SELECT lemma, pos, rank, deck_id, sentence_ix, array_to_string(ws, ' ') AS text FROM best JOIN pieces USING (deck_id, sentence_ix) WHERE rank <= 3",
     ),
@@ -185,16 +179,15 @@ SELECT deck_id, sentence_ix, CAST(i - 1 AS INT) AS token_ix, 'be' AS lemma, 'Moo
     "w3_new_under_cap": _with(STATES + ", " + _ALL_CARDS, "SELECT user_id, k, CAST(row_number() OVER (PARTITION BY user_id ORDER BY k) AS INT) AS nth FROM fresh QUALIFY nth <= 20"),
     "w6_user_ids": _with(_EMAILS, "SELECT row_number() OVER (ORDER BY email) AS id, email FROM emails"),
     "l1_recent_decks": _with(DECKS, "SELECT id, title, created_at FROM decks ORDER BY created_at DESC, id DESC LIMIT 25"),
-    "l4_first_tokens": _with(TOKENS, "SELECT deck_id, string_agg(form, ' ' ORDER BY token_ix) AS text FROM tokens WHERE sentence_ix = 0 GROUP BY deck_id"),
-    "l4_all_sentences": _with(SENTENCES, f"SELECT deck_id, sentence_ix, array_to_string(list_filter(string_split_regex(text, '{WS}+'), lambda x: x <> ''), ' ') AS text FROM sentences"),
+    "l4_sentence_order": _with(SENTENCES, f"SELECT deck_id, sentence_ix, array_to_string(list_filter(string_split_regex(text, '{WS}+'), lambda x: x <> ''), ' ') AS text FROM sentences"),
     "o1_set_operations": _with(DUE, "SELECT 'either' AS what, count(*) AS n FROM (SELECT user_id, k FROM known UNION SELECT user_id, k FROM due) UNION ALL SELECT 'both', count(*) FROM known SEMI JOIN due USING (user_id, k) UNION ALL SELECT 'due_only', count(*) FROM due ANTI JOIN known USING (user_id, k)"),
-    "f11_f12_highlight": _with(TOKENS, """SELECT deck_id, regexp_replace(replace(replace(replace(array_to_string(ws, ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)the', '<span class="highlight">\\0</span>', 'g') AS html FROM pieces WHERE sentence_ix = 0"""),
-    "f11_f12_highlight_all": _with(TOKENS, """SELECT deck_id, sentence_ix, regexp_replace(replace(replace(replace(array_to_string(ws, ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)the', '<span class="highlight">\\0</span>', 'g') AS html FROM pieces"""),
+    "f11_f12_highlight": _with(TOKENS, """SELECT deck_id, sentence_ix, regexp_replace(replace(replace(replace(array_to_string(ws, ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)the', '<span class="highlight">\\0</span>', 'g') AS html FROM pieces"""),
+    "f16_front_mode": _with(STATES, "SELECT card_id, CASE WHEN x < 40 THEN 'word' WHEN x < 80 THEN 'sentence' ELSE 'generated' END AS mode FROM (SELECT card_id, CAST('0x' || md5(card_id || ':7')[1:8] AS BIGINT) % 100 AS x FROM states)"),
     "f13_badges": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'WORD' WHEN 1 THEN 'GENERATED' ELSE 'NEW' END AS badge FROM events",
     "f15_deck_lines": _with(_DECK_NUMBERS, """SELECT id, lang || ' • ' || known || '/' || "unique" || ' known • ' || due || ' due' AS line FROM decks JOIN numbers ON id = deck_id"""),
     "r1_next_card": _with(
         WORDS + ", " + DECKS + ", " + _COUNTS + ", " + _QUEUE,
-        ", counts AS (SELECT lemma, pos, min(deck) AS first_deck, count(*) AS n_decks FROM by_title GROUP BY ALL) SELECT user_id, k, kind, lemma, pos, first_deck, n_decks FROM queue JOIN card_words USING (k) LEFT JOIN counts USING (lemma, pos) WHERE place = 1",
+        ", counts AS (SELECT lemma, pos, arg_min(deck_id, (deck, deck_id)) AS first_deck, count(*) AS n_decks FROM by_deck GROUP BY ALL) SELECT user_id, k, kind, lemma, pos, first_deck, n_decks FROM queue JOIN card_words USING (k) LEFT JOIN counts USING (lemma, pos) WHERE place = 1",
     ),
     "r2_answers": _with(LOG, "SELECT event_id, card_id, ts, quality FROM log"),
     "r3_ignore": _with(LOG + ", " + MARKS, "SELECT user_id, k FROM ignored UNION SELECT user_id, k FROM log WHERE quality = 0"),

@@ -23,15 +23,18 @@ def append(spark: SparkSession, database: str, name: str, rows: DataFrame) -> No
     rows.select(*spark.table(f"{database}.{name}").columns).write.mode("append").format("parquet").saveAsTable(f"{database}.{name}")
 
 
-def numbered(rows: DataFrame, order: list[str], first: int = 1, parts: int = 64, name: str = "id") -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], first: int = 1, parts: int | None = None, name: str = "id") -> DataFrame:
     """Consecutive ids in the order of columns, from `first`, without one task that sorts all rows.
 
     Rows are range-partitioned by the order's columns; the partitions' sizes give each its first id. The partitions are
-    kept by a checkpoint, as a range's bounds come from a sample that differs when it is taken again.
+    kept by a checkpoint (and follow the session's setting in number), as a range's bounds come from a sample that differs when it is taken again.
     """
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:  # on a cluster spark.checkpoint.dir sets it
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wordmill-"))
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="wordmill-"))
+    parts = parts or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()).checkpoint()
     sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
