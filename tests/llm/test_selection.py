@@ -76,16 +76,12 @@ def test_mix_order(spark):
     assert out.columns == df.columns and out.count() == len(rows) and {r["position"] for r in out.collect()} == {5}
 
 
-def test_mix_without_broadcast(spark):
-    """Slots too many to broadcast meet the documents by a shuffle, with the same mix."""
+def test_mix_without_broadcast(spark, monkeypatch):
+    """Slots beyond the bound of a broadcast meet the documents by a shuffle, with the same mix."""
     counts = {"a": 400, "b": 60, None: 7}
     _, small = mixed(spark, counts, block=4)
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        _, large = mixed(spark, counts, block=4)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    monkeypatch.setattr(X, "BROADCAST", 0)
+    _, large = mixed(spark, counts, block=4)
     assert small == large
 
 

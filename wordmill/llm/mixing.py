@@ -33,6 +33,7 @@ from .common import fresh, quoted, table
 
 BLOCK, ALPHA = 16, 0.8
 SALT_ROWS, SALTS = 4_000, 512
+BROADCAST = 64 << 20  # bytes of slots that may go to every executor
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -136,9 +137,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     placed = planned.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     i = F.col("__r") + F.col("epoch") * F.col("__all")
     placed = placed.withColumn("__i", i.cast("bigint")).withColumn("block", F.expr(f"__i div {block}"))
-    # one row of five numbers for every `block` documents grows with them, so Spark broadcasts it only while it is small;
-    # a hot source is no hot key, as blocks are part of it
-    placed = placed.join(slots, (F.col("__k") == F.col("__source")) & (F.col("block") == F.col("__block")))
+    # one row of five numbers for every `block` documents: beyond a bound they are joined by a shuffle, in which a hot source
+    # is no hot key, as blocks are part of it
+    small = sum(v.nbytes for v in columns.values()) <= BROADCAST
+    placed = placed.join(F.broadcast(slots) if small else slots, (F.col("__k") == F.col("__source")) & (F.col("block") == F.col("__block")))
     placed = placed.withColumns({"release": F.col("__release"), "deadline": F.col("__deadline"), "slot": F.col("__slot")})
     placed = placed.withColumn("position", F.col("slot") * block + F.col("__i") % block)
     return placed.select("row", "source_key", "epoch", "block", "release", "deadline", "slot", "position")
