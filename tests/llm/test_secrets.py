@@ -4,7 +4,9 @@ import base64
 import bz2
 import gzip
 import hashlib
+import io
 import lzma
+import random
 import re
 import zlib
 from urllib.parse import quote
@@ -119,6 +121,26 @@ def test_streams_are_whole(pack):
         assert [f for f in spans(text) if f[0] == "assign" and 5 <= f[1] < f[2] <= len(text) - 4], text
 
 
+def test_quoted_streams_that_begin_slowly():
+    """Escaped streams whose first 4,096 bytes give nothing yet: long blocks, a long name in the header; and one after a large one."""
+    noise = random.Random(5).randbytes(20_000)
+    named = io.BytesIO()
+    with gzip.GzipFile("n" * 9_000, "wb", fileobj=named, mtime=0) as f:
+        f.write(SECRET.encode())
+    plain = b"".join(random.Random(7).choices([b"alpha ", b"beta ", b"gamma ", b"delta "], k=60_000)) + SECRET.encode()
+    streams = [bz2.compress(noise + SECRET.encode()), bz2.compress(plain), named.getvalue()]
+    for raw in streams:
+        for escaped in ("".join(f"%{b:02X}" for b in raw), quote(raw, safe="/!*'()")):
+            text = f"text {escaped} end"
+            found, complete = S.find_secrets(text)
+            assert complete and [f for f in found if f[0] == "assign" and 5 <= f[1] < f[2] <= len(text) - 4]
+            assert "[SECRET]" in S.cleaned(text)
+    large = zlib.compress(b"lorem ipsum " * (S.MAX_LAYER // 12 + 1), 9)
+    text = "text " + "".join(f"%{b:02X}" for b in large + b", then " + zlib.compress(SECRET.encode())) + " end"
+    found, complete = S.find_secrets(text)
+    assert not complete and [f for f in found if f[0] == "assign" and f[1] > 5 + 3 * len(large) and f[2] <= len(text) - 4]
+
+
 def test_what_begins_like_a_stream():
     """Text that begins with a stream's first bytes, alone or in a stream, and text after a stream."""
     for raw in (b"x^2 + " + SECRET.encode(), zlib.compress(b"x^2 + " + SECRET.encode()), zlib.compress(b"x") + b" " + SECRET.encode()):
@@ -193,6 +215,8 @@ def test_streams_that_ask_for_memory_are_removed():
     text = f"a {base64.b64encode(big).decode()} z"
     found, complete = S.find_secrets(text)
     assert not complete and S.cleaned(text) == "a [SECRET] z"
+    escaped = "a " + "".join(f"%{b:02X}" for b in big) + " z"
+    assert not S.find_secrets(escaped)[1] and S.cleaned(escaped) == "a [SECRET] z"
 
 
 def test_secret_rows(spark):

@@ -200,12 +200,12 @@ def _inflated(chunks: Iterator[bytes], ended: list[int] | None = None, refused:
 
 
 def _unpack(raw: bytes) -> tuple[bytes | None, bool, int]:
-    """(content of a compressed stream's members or None, whether it fits MAX_LAYER, bytes up to the last proper end)."""
+    """(content of a compressed stream's members or None, whether it fits MAX_LAYER, bytes up to the last proper end if it does)."""
     out, ended, refused = bytearray(), [], []
     for piece in _inflated(iter([raw]), ended, refused):
         out += piece
         if len(out) > MAX_LAYER:
-            return None, False, len(raw)
+            return None, False, 0
     return bytes(out) or None, not refused, len(raw) - ended[-1] if ended else 0
 
 
@@ -267,9 +267,9 @@ class _Worklist:
         while raw.startswith(_MAGIC) and (key := hashlib.blake2b(raw, digest_size=16).digest()) not in done:
             done.add(key)
             out, fits, size = _unpack(raw)
-            taken = taken if layers else size
             if not fits:
-                self.add_large(raw, where, depth + layers + 1)  # also marks a stream that asks for too much memory
+                size = self.add_large(raw, where, depth + layers + 1)  # also marks a stream that asks for too much memory
+            taken = taken if layers else size
             if out is None:
                 break
             if layers and size < len(raw):  # it may only begin like a stream
@@ -283,18 +283,25 @@ class _Worklist:
         for text, _ in _decoded(raw):
             self.add(text, where, depth)
 
-    def add_large(self, raw: bytes, where: _Map, depth: int) -> None:
-        """Scans a stream piece by piece, each with all its layers, so that memory stays bounded; then a stream in it likewise."""
+    def add_large(self, raw: bytes, where: _Map, depth: int) -> int:
+        """Scans a stream piece by piece, each with all its layers, so that memory stays bounded; then a stream in it likewise.
+
+        How many of the bytes are whole members.
+        """
         self.opaque.add(where.place(0, 1))
+        size = 0
         for level in range(1, NESTED + 1):
-            chunks = iter([raw])
-            for _ in range(level):
+            ended: list[int] = []
+            chunks = _inflated(iter([raw]), ended)
+            for _ in range(level - 1):
                 chunks = _inflated(chunks)
-            if not (first := next(chunks, b"")):
-                break
-            self.add_pieces(chain([first], chunks), where, depth + level - 1)
+            if first := next(chunks, b""):
+                self.add_pieces(chain([first], chunks), where, depth + level - 1)
+            if level == 1:
+                size = len(raw) - ended[-1] if ended else 0
             if not first.startswith(_MAGIC):
                 break
+        return size
 
     def add_pieces(self, chunks: Iterator[bytes], where: _Map, depth: int) -> None:
         held, queue = bytearray(), self.queue
@@ -351,7 +358,9 @@ def _escaped_streams(text: str, where: _Map, depth: int, work: _Worklist) -> Non
                 i += 1
         data, end = bytes(raw), 0
         for s in _START.finditer(data):
-            if s.start() >= end and any(_inflated(iter([data[s.start() : s.start() + 4096]]))):
+            # fed on until something comes out, as a header or a first block can be of any length
+            refused: list[str] = []
+            if s.start() >= end and (any(_inflated((data[i : i + 4096] for i in range(s.start(), len(data), 4096)), None, refused)) or refused):
                 place = _one(*where.place(places.of(s.start())[0], a))
                 end = s.start() + work.add_stream(data[s.start() :], place, depth + 1)
 
