@@ -309,7 +309,7 @@ def _count_merge(sizes: Sizes):
                 total = np.add.reduceat(count, first)
                 for bits, least, bitmap in marks:
                     bitmap[(token[first][total >= least] >> np.uint32(sizes.token - bits)).astype(np.int64)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], kinds[0]), *(pa.array([np.packbits(m).tobytes()], pa.binary()) for _, _, m in marks), *(pa.nulls(1, pa.int64()) for _ in range(4))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], kinds[0]), *(pa.array([_pack(np.packbits(m))], pa.binary()) for _, _, m in marks), *(pa.nulls(1, pa.int64()) for _ in range(4))], names)
 
     return run
 
@@ -343,7 +343,7 @@ def _prefixes(shared, sizes: Sizes, combine: bool = True):
                     node = stars.column(0).to_numpy()
                     yield sent(mix(node.view(np.uint64)).view(np.int64), node, stars.column(1).to_numpy())
 
-        repeated, hot = shared.value
+        repeated, hot = (f.array() for f in shared.value)
         seen: set[bytes] = set()
         tokens, owners, held = [], [], 0
         for batch in batches:
@@ -487,22 +487,39 @@ def _cold_pairs(batches) -> Iterator:
 
 
 def _every_shingle(batches) -> Iterator:
+    """Rows (doc, label, n, text): every shingle as (token, doc, label, n)."""
     import pyarrow as pa
 
     for batch in batches:
-        data, offsets = arrow_text(batch.column(1))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(ids), 512):
+        columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+        data, offsets = arrow_text(batch.column(3))
+        for at in range(0, len(columns[0]), 512):
             sets = shingle_sets(data, offsets[at : at + 513], SHINGLE)
-            if total := sum(map(len, sets)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids[at : at + 512], [len(s) for s in sets]).astype(np.int64))], ["token", "doc"])
+            sizes = [len(s) for s in sets]
+            if sum(sizes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), *(pa.array(np.repeat(c[at : at + 512], sizes)) for c in columns)], ["token", "doc", "label", "n"])
 
 
 # ------------------------------------------------------------------ filters
 
 
-def id_filter(ids: DataFrame, bits: int, bucket: int = 8) -> np.ndarray:
-    """A packed filter of 2**bits bits with each id's place marked."""
+class Filter:
+    """A filter of 2**bits bits in segments (bucket, marks) that stay compressed, as most are nearly empty, until a task needs them."""
+
+    def __init__(self, parts: list[tuple[int, bytes]], bits: int, bucket: int):
+        self.parts, self.bits, self.bucket, self.marks = parts, bits, bucket, None
+
+    def array(self) -> np.ndarray:
+        if self.marks is None:
+            out = np.zeros((1 << self.bucket, 1 << self.bits - self.bucket - 3), np.uint8)
+            for at, raw in self.parts:
+                out[at] |= _unpack(raw, np.uint8)
+            self.marks = out.ravel()
+        return self.marks
+
+
+def id_filter(ids: DataFrame, bits: int, bucket: int = 8) -> Filter:
+    """A filter of 2**bits bits with each id's place marked."""
     width = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = 1 << bits - bucket
 
@@ -516,7 +533,7 @@ def id_filter(ids: DataFrame, bits: int, bucket: int = 8) -> np.ndarray:
                 part = at[at >> bits - bucket == b] & slots - 1
                 marks.setdefault(b, np.zeros(slots, bool))[part] = True
         if marks:
-            yield pa.RecordBatch.from_arrays([pa.array(list(marks), pa.int32()), pa.array([np.packbits(m).tobytes() for m in marks.values()], pa.binary())], ["bucket", "marks"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(marks), pa.int32()), pa.array([_pack(np.packbits(m)) for m in marks.values()], pa.binary())], ["bucket", "marks"])
 
     def keyed(batches):
         import pyarrow as pa
@@ -537,13 +554,10 @@ def _marked(marks: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (marks[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _gathered(rows: DataFrame, bits: int, bucket: int) -> np.ndarray:
-    """The segments (bucket, marks) of a filter as one array."""
-    out = np.zeros((1 << bucket, 1 << bits - bucket - 3), np.uint8)
+def _gathered(rows: DataFrame, bits: int, bucket: int) -> Filter:
+    """The segments (bucket, marks) of a filter; the driver holds them compressed."""
     found = rows.toArrow()
-    for at, raw in zip(found.column("bucket").to_pylist(), found.column("marks").to_pylist()):
-        out[at] |= np.frombuffer(raw, np.uint8)
-    return out.ravel()
+    return Filter(list(zip(found.column("bucket").to_pylist(), found.column("marks").to_pylist())), bits, bucket)
 
 
 def _passing(shared, bits: int):
@@ -554,7 +568,7 @@ def _passing(shared, bits: int):
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(_marked(shared.value, _slots(ids, bits))))
+            yield batch.filter(pa.array(_marked(shared.value.array(), _slots(ids, bits))))
 
     return run
 
@@ -686,11 +700,16 @@ def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, posts: D
     dense = compared(posts)
     if not dense.limit(1).count():
         return links
-    # the same among the documents of hot shingles, with prefixes by their exact frequency there
-    every = materialize(texts.join(dense, "doc", "left_semi").select("doc", "text").mapInArrow(_every_shingle, "token bigint, doc bigint"), "jaccard-every")
-    counts = every.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = spread_join(every, counts, ["token"], ["doc"]).withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy("df", "token")))
-    prefix = ranked.join(now.select("doc", "n"), "doc").where("df > 1 and r <= n - ceil(3 * n / 4) + 1").select("token", "doc")
+    # the same among the documents of hot shingles, with prefixes by their exact frequency there. Shingles of one component
+    # are no part of what two components share, so they come first in the order and needn't be joined or sent
+    own = texts.join(dense, "doc", "left_semi").join(now.select(F.col("doc").alias("__d"), "label", "n"), F.col("doc") == F.col("__d"))
+    every = own.select("doc", "label", "n", "text").mapInArrow(_every_shingle, "token bigint, doc bigint, label bigint, n bigint")
+    every = materialize(every, "jaccard-every")
+    counts = every.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token", "df")
+    mixed = spread_join(every.select("token", "doc", "n"), counts, ["token"], ["doc"])
+    each = Window.partitionBy("doc")
+    ranked = mixed.withColumns({"m": F.count("*").over(each), "r": F.row_number().over(each.orderBy("df", "token"))})
+    prefix = ranked.where("r <= m - ceil(3 * n / 4) + 1").select("token", "doc")
     dense = compared(prefix)
     if not dense.limit(1).count():
         return links
