@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wordmill.functions import text as X
 from wordmill.operators import analysis as A
 from wordmill.operators import vocabulary as V
+from wordmill.plans.queries import QUERIES
 from wordmill.sources import tables as T
 
 GOLDEN = "Toissapäivänä menin pankkiin. Osoittautui, että se oli kiinni. No, leuka rintaan ja kohti uusia pettymyksiä!"
@@ -99,6 +100,21 @@ def test_lexicon(spark):
     assert [r["generated"] for r in made] == ["This was it."]
 
 
+def test_tagged_sentences(spark, small):
+    """The same paths as over exploded tokens, without a shuffle of them; sentences that begin, end and run through ambiguous words."""
+    odd = [GOLDEN, "that that on was die on that. on", "Was on that? x that y was z w on v.", "die die die die", "...", None, ""]
+    sample = texts(spark, odd).unionByName(T.deck_texts(spark, small).select("deck_id", "lang", "text").where("deck_id >= 100"))
+    columns = ["deck_id", "sentence_ix", "token_ix", "form", "lemma", "pos"]
+    for lexicon in (T.lexicon(spark), T.lexicon(spark).limit(0)):
+        found = V.candidates(A.tokens(sample), lexicon)
+        want = V.viterbi(found, V.transition_counts(V.best_analysis(found))).select(columns).collect()
+        got = V.tagged_sentences(A.sentences(sample), lexicon)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert len(want) > 1000 and sorted(want) == sorted(got.select(columns).collect())
+    plan = QUERIES["t13_viterbi"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+
+
 def test_reject_reasons(spark):
     rows = [("t", "FI", "x", None), ("", "FI", "x", "title"), ("t", "fi", "x", "lang"), ("t", "ET", "a" * 11, "size"), ("t", "ET", " \n ", "blank"), ("t", "ET", None, "blank"), (None, None, None, "title")]
     df = spark.createDataFrame(rows, "title string, lang string, text string, want string")

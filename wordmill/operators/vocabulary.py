@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+def _entries(lexicon: DataFrame) -> DataFrame:
+    """form, found: its analyses, best weight first (ties: lemma, then part of speech)."""
+    entry = F.struct((-F.col("weight")).alias("order"), "lemma", "pos", "feats", "gloss", "weight")
+    return lexicon.groupBy("form").agg(F.array_sort(F.collect_list(entry)).alias("found"))
+
+
 def candidates(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Each token with all analyses of its bare form, best weight first; unknown forms get the guesser's.
 
     The lexicon's entries are grouped first, so the join adds no rows; it is a dimension table and joined as such (Spark
     broadcasts it while it is small).
     """
-    entry = F.struct((-F.col("weight")).alias("order"), "lemma", "pos", "feats", "gloss", "weight")
-    grouped = lexicon.groupBy("form").agg(F.array_sort(F.collect_list(entry)).alias("found")).withColumnRenamed("form", "__f")
+    grouped = _entries(lexicon).withColumnRenamed("form", "__f")
     word = F.lower(X.bare(F.col("form")))
     guess = F.array(F.struct(F.lit(0).alias("order"), F.col("lemma"), F.col("pos"), F.lit("").alias("feats"), F.lit(None).cast("string").alias("gloss"), F.lit(0).alias("weight")))
     joined = tokens.withColumn("__w", word).join(grouped, F.col("__w") == F.col("__f"), "left")
@@ -37,32 +42,40 @@ def transition_counts(tags: DataFrame) -> DataFrame:
     return two.groupBy("a", "b", "c").agg(F.count("*").alias("n"))
 
 
+def _contexts(transitions: DataFrame) -> tuple[dict, dict]:
+    """Counts of the tag trigrams, and of their first two tags."""
+    counts = {(r["a"], r["b"], r["c"]): r["n"] for r in transitions.collect()}
+    context: dict[tuple[str, str], int] = {}
+    for (a, b, _), n in counts.items():
+        context[a, b] = context.get((a, b), 0) + n
+    return counts, context
+
+
+def best_path(tokens: list[list[tuple[str, int]]], counts: dict, context: dict, strength: float, before: tuple[str, str] = ("<s>", "<s>")) -> list[int]:
+    """The number of each token's candidate (tag, weight) on the most likely path after the two tags `before`."""
+    score = {before: (0.0, [])}
+    for found in tokens:
+        new: dict[tuple[str, str], tuple[float, list]] = {}
+        total = sum(w + 1 for _, w in found)
+        for (a, b), (s, way) in sorted(score.items()):
+            for i, (tag, weight) in enumerate(found):
+                p = (counts.get((a, b, tag), 0) + 0.1) / (context.get((a, b), 0) + 1.0)
+                v = s + strength * np.log(p) + np.log((weight + 1) / total)
+                if (b, tag) not in new or v > new[b, tag][0]:
+                    new[b, tag] = (v, [*way, i])
+        score = new
+    return max(score.values(), key=lambda x: x[0])[1]
+
+
 def viterbi(with_candidates: DataFrame, transitions: DataFrame, strength: float = 1.0) -> DataFrame:
     """deck_id, sentence_ix, token_ix, form, lemma, pos: the most likely path of candidates over tag trigrams.
 
     The transition table has at most tags**3 rows and is sent to the tasks; sentences are independent rows of arrays.
     """
-    counts = {(r["a"], r["b"], r["c"]): r["n"] for r in transitions.collect()}
-    context: dict[tuple[str, str], int] = {}
-    for (a, b, _), n in counts.items():
-        context[a, b] = context.get((a, b), 0) + n
+    counts, context = _contexts(transitions)
     token = F.struct("token_ix", "form", "candidates")
     rows = with_candidates.groupBy("deck_id", "sentence_ix").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
 
-    def path(tokens):
-        score = {("<s>", "<s>"): (0.0, [])}
-        for t in tokens:
-            new: dict[tuple[str, str], tuple[float, list]] = {}
-            total = sum(c["weight"] + 1 for c in t["candidates"])
-            for (a, b), (s, way) in sorted(score.items()):
-                for i, c in enumerate(t["candidates"]):
-                    p = (counts.get((a, b, c["pos"]), 0) + 0.1) / (context.get((a, b), 0) + 1.0)
-                    v = s + strength * np.log(p) + np.log((c["weight"] + 1) / total)
-                    if (b, c["pos"]) not in new or v > new[b, c["pos"]][0]:
-                        new[b, c["pos"]] = (v, [*way, i])
-            score = new
-        return max(score.values(), key=lambda x: x[0])[1]
-
     def run(batches):
         import pyarrow as pa
 
@@ -71,7 +84,7 @@ def viterbi(with_candidates: DataFrame, transitions: DataFrame, strength: float
         for batch in batches:
             out = []
             for deck, ix, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-                for t, i in zip(tokens, path(tokens)):
+                for t, i in zip(tokens, best_path([[(c["pos"], c["weight"]) for c in t["candidates"]] for t in tokens], counts, context, strength)):
                     c = t["candidates"][i]
                     out.append((deck, ix, t["token_ix"], t["form"], c["lemma"], c["pos"]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, types)], names)
@@ -79,6 +92,97 @@ def viterbi(with_candidates: DataFrame, transitions: DataFrame, strength: float
     return rows.mapInArrow(run, "deck_id bigint, sentence_ix int, token_ix int, form string, lemma string, pos string")
 
 
+def tagged_sentences(sentences: DataFrame, lexicon: DataFrame, strength: float = 1.0) -> DataFrame:
+    """deck_id, sentence_ix, token_ix, form, lemma, pos: viterbi() over whole sentences (deck_id, sentence_ix, text), narrow.
+
+    Trigrams are counted on the best single analyses, in each task first. The lexicon is a dimension that goes to the tasks;
+    one too large for that goes by candidates() and viterbi(). A path is open only from a word of several analyses to the
+    next two of one each; equal stretches are worked out once.
+    """
+    t = F.col("__t")
+    lists = sentences.select(F.col("deck_id").cast("bigint").alias("deck_id"), "sentence_ix", X.tokens(F.col("text")).alias("__t")).where(F.size("__t") > 0)
+    lists = lists.select("deck_id", "sentence_ix", t.alias("forms"), F.transform(t, lambda w: F.lower(X.bare(w))).alias("words"), F.transform(t, X.lemma).alias("lemmas"), F.transform(t, lambda w: X.pos(w)).alias("tags"))
+    entries = [(r["form"], [(c["lemma"], c["pos"], c["weight"]) for c in r["found"]]) for r in _entries(lexicon.where("form is not null")).collect()]
+    known = [form for form, _ in entries]
+    several = np.array([len(found) for _, found in entries], np.int64)
+    first = np.cumsum(several) - several
+    analyses = [a for _, found in entries for a in found]
+
+    def chosen(at: np.ndarray, guess, part: int):
+        """Part 0 (lemma) or 1 (tag) of the analyses numbered `at`, or the guess where that is -1."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(analyses):
+            return guess
+        taken = pa.array([a[part] for a in analyses], pa.string()).take(pa.array(np.maximum(at, 0)))
+        return pc.if_else(pa.array(at >= 0), taken, guess)
+
+    def found(batch):
+        """(number of each token's form in the lexicon or -1, the number of its best analysis or -1, begin of each sentence)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = pc.index_in(batch.column("words").flatten(), value_set=pa.array(known, pa.string())).fill_null(-1).to_numpy().astype(np.int64)
+        best = np.where(at >= 0, first[at], -1) if len(known) else np.full(len(at), -1)
+        sizes = batch.column("words").value_lengths().to_numpy()
+        return at, best, np.cumsum(sizes) - sizes
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            _, best, begin = found(batch)
+            tags = chosen(best, batch.column("tags").flatten(), 1).dictionary_encode()
+            names = ["<s>", *tags.dictionary.to_pylist()]
+            c = tags.indices.to_numpy().astype(np.int64) + 1
+            b = np.concatenate([[0], c[:-1]])
+            b[begin] = 0
+            a = np.concatenate([[0], b[:-1]])
+            a[begin] = 0
+            key, n = np.unique((a * len(names) + b) * len(names) + c, return_counts=True)
+            rows = [[names[k] for k in key // len(names) ** i % len(names)] for i in (2, 1, 0)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(r, pa.string()) for r in rows), pa.array(n.astype(np.int64))], ["a", "b", "c", "n"])
+
+    counts, context = _contexts(lists.select("words", "tags").mapInArrow(count, "a string, b string, c string, n bigint").groupBy("a", "b", "c").agg(F.sum("n").alias("n")))
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["deck_id", "sentence_ix", "token_ix", "form", "lemma", "pos"]
+        ways: dict[tuple, list[int]] = {}
+        for batch in batches:
+            at, best, begin = found(batch)
+            guess = batch.column("tags").flatten()
+            end = np.append(begin[1:], len(at))
+            open_ = np.flatnonzero((at >= 0) & (several[at] > 1)) if len(known) else np.zeros(0, np.int64)
+            if len(open_):
+                tags, of = chosen(best, guess, 1).to_pylist(), np.searchsorted(begin, open_, "right") - 1
+                ambiguous, done = set(open_.tolist()), -1
+                for i, k in zip(open_.tolist(), of.tolist()):
+                    if i < done:
+                        continue
+                    lo, hi, j, single = int(begin[k]), int(end[k]), i, 0
+                    while j < hi and single < 2:
+                        single = 0 if j in ambiguous else single + 1
+                        j += 1
+                    before = tuple(tags[x] if x >= lo else "<s>" for x in (i - 2, i - 1))
+                    stretch = (before, *(int(at[x]) if x in ambiguous else tags[x] for x in range(i, j)))
+                    if stretch not in ways:
+                        if len(ways) >= 1 << 16:
+                            ways.clear()
+                        ways[stretch] = best_path([[a[1:] for a in entries[x][1]] if isinstance(x, int) else [(x, 0)] for x in stretch[1:]], counts, context, strength, before)
+                    best[i:j] += np.where(best[i:j] >= 0, ways[stretch], 0)
+                    done = j
+            sizes = end - begin
+            row = pa.array(np.repeat(np.arange(len(begin)), sizes))
+            place = (np.arange(len(at)) - np.repeat(begin, sizes)).astype(np.int32)
+            columns = [batch.column("deck_id").take(row), batch.column("sentence_ix").take(row), pa.array(place), batch.column("forms").flatten()]
+            yield pa.RecordBatch.from_arrays([*columns, chosen(best, batch.column("lemmas").flatten(), 0), chosen(best, guess, 1)], names)
+
+    return lists.mapInArrow(run, "deck_id bigint, sentence_ix int, token_ix int, form string, lemma string, pos string")
+
+
 def label(analysed: DataFrame, labels: DataFrame) -> DataFrame:
     """analysed (pos, feats) with the feature string's label, or the plain one."""
     names = labels.select(F.col("pos").alias("__p"), F.col("feats").alias("__f"), F.col("label").alias("__l"))
