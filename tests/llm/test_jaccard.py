@@ -108,6 +108,41 @@ def test_hot_groups(spark, monkeypatch):
     assert len({want[i][1] for i in range(20_600, 20_800)}) > 20  # many components share the passage's shingles
 
 
+def test_rare_shingles_need_no_join(spark, monkeypatch):
+    """Texts that share passages of few others make one large cluster; their shingles are neither counted nor joined."""
+    monkeypatch.setattr(J, "TILE_DOCS", 16)
+    joined = []
+    plain = J.spread_join
+
+    def spread_join(many, few, keys, by, how="inner"):
+        if keys == ["token"]:
+            joined.append(many.count())
+        return plain(many, few, keys, by, how)
+
+    monkeypatch.setattr(J, "spread_join", spread_join)
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    parts = [r.choices(words, k=20) for _ in range(101)]
+    rows = [(i, " ".join(parts[i] + parts[i + 1])) for i in range(100)] + [(100 + i, " ".join(parts[i] + parts[i + 1][:-1])) for i in range(100)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in J.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute(rows)
+    assert joined and not any(joined)
+
+
+def test_cold_pairs():
+    """All tokens of one size at once give the pairs that a loop gives."""
+    r = random.Random(5)
+    rows = [(t, d, d % 9, 10 + d % 7) for t in range(300) for d in r.sample(range(60), r.choice([1, 2, 3, 17, 48]))]
+    r.shuffle(rows)
+    got = [x for b in J._cold_pairs([pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["token", "doc", "label", "n"])]) for x in zip(*(c.to_pylist() for c in b.columns))]
+    by = defaultdict(list)
+    for t, *row in rows:
+        by[t].append(row)
+    want = {(min(a, b), max(a, b)) for x in by.values() for a, k, m in x for b, l, n in x if k != l and 4 * m >= 3 * n and 4 * n >= 3 * m}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert not list(J._cold_pairs([]))
+
+
 def test_filters_grow():
     small, mid, large = (J.Sizes.of(n) for n in (1_000, 30 << 30, 100 << 40))
     assert small.repeated < mid.repeated <= large.repeated <= 30 and small.bucket < mid.bucket <= large.bucket

@@ -314,11 +314,23 @@ def _count_merge(sizes: Sizes):
     return run
 
 
-def _prefixes(shared, sizes: Sizes, combine: bool = True):
+def _prefix(s: np.ndarray, repeated: np.ndarray, hot: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """The marked part of a set's prefix: first the shingles that the filter of hot ones doesn't know, then those it does."""
+    n = len(s)
+    marked = s[_marked(repeated, (s >> np.uint64(64 - sizes.repeated)).astype(np.int64))]
+    length = n - -(-3 * n // 4) + 1 - (n - len(marked))
+    if length <= 0 or not n:
+        return s[:0], s[:0]
+    late = _marked(hot, (marked >> np.uint64(64 - sizes.hot)).astype(np.int64))
+    cold = marked[~late][:length]
+    return cold, marked[late][: length - len(cold)]
+
+
+def _prefixes(shared, sizes: Sizes):
     """Map side: the marked part of each set's prefix, as rows (token, doc, root).
 
-    combine: of a shingle's documents in the task's hands only the smallest is sent, and the others are tied to it: rows
-    with a root, for which token only deals them. Else every (token, doc).
+    Of a shingle's documents in the task's hands only the smallest is sent, and the others are tied to it: rows with a root,
+    for which token only deals them.
     """
 
     def run(batches):
@@ -329,9 +341,6 @@ def _prefixes(shared, sizes: Sizes, combine: bool = True):
 
         def flush():
             token, doc = np.concatenate(tokens).view(np.int64), np.concatenate(owners)
-            if not combine:
-                yield sent(token, doc)
-                return
             order = np.lexsort((doc, token))
             token, doc = token[order], doc[order]
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -351,21 +360,16 @@ def _prefixes(shared, sizes: Sizes, combine: bool = True):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(ids), 512):
                 for key, s in zip(ids[at : at + 512], shingle_sets(data, offsets[at : at + 513], SHINGLE)):
-                    n = len(s)
-                    marked = s[_marked(repeated, (s >> np.uint64(64 - sizes.repeated)).astype(np.int64))]
-                    length = n - -(-3 * n // 4) + 1 - (n - len(marked))
-                    if length <= 0 or not n:
+                    prefix = np.concatenate(_prefix(s, repeated, hot, sizes))
+                    if not len(prefix):
                         continue
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if digest in seen:  # copies inside the task are left to the classes
                         continue
                     seen.add(digest)
-                    late = _marked(hot, (marked >> np.uint64(64 - sizes.hot)).astype(np.int64))
-                    if late.any():
-                        marked = np.concatenate([marked[~late], marked[late]])
-                    tokens.append(marked[:length])
-                    owners.append(np.full(len(tokens[-1]), key, np.int64))
-                    held += len(tokens[-1])
+                    tokens.append(prefix)
+                    owners.append(np.full(len(prefix), key, np.int64))
+                    held += len(prefix)
                 if held >= _POSTINGS:
                     yield from flush()
                     tokens, owners, held = [], [], 0
@@ -375,6 +379,23 @@ def _prefixes(shared, sizes: Sizes, combine: bool = True):
     return run
 
 
+def _prefix_rows(shared, sizes: Sizes):
+    """Rows (doc, text): a row (doc, cold, hot) with the two parts of its set's prefix."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        repeated, hot = (f.array() for f in shared.value)
+        for batch in batches:
+            data, offsets = arrow_text(batch.column(1))
+            for at in range(0, len(offsets) - 1, 512):
+                parts = [_prefix(s, repeated, hot, sizes) for s in shingle_sets(data, offsets[at : at + 513], SHINGLE)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x).view(np.int64))) for x in zip(*parts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), *lists], ["doc", "cold", "hot"])
+
+    return run
+
+
 def _stars(ties: np.ndarray) -> Iterator:
     """Edges (n x 2) as trees: rows (root, other documents), a long list in pieces."""
     import pyarrow as pa
@@ -474,30 +495,40 @@ def _cold_pairs(batches) -> Iterator:
         return
     order = np.argsort(columns[0], kind="stable")
     token, doc, label, n = (c[order] for c in columns)
-    cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    pairs: set[tuple[int, int]] = set()
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(token)]):
-        i, j = np.triu_indices(b - a, 1)
-        i, j = i + a, j + a
-        good = (label[i] != label[j]) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
-        i, j = doc[i[good]], doc[j[good]]
-        pairs.update(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
-    if pairs:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
-
-
-def _every_shingle(batches) -> Iterator:
-    """Rows (doc, label, n, text): every shingle as (token, doc, label, n)."""
-    import pyarrow as pa
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.append(first, len(token)))
+    several = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
+    pairs = []
+    for k in np.unique(size[several]).tolist():  # all tokens of k documents at once, in pieces of bounded size
+        starts, (i, j) = first[several & (size == k)], np.triu_indices(k, 1)
+        step = max(1, (1 << 20) // len(i))
+        for at in range(0, len(starts), step):
+            x, y = ((starts[at : at + step, None] + m).ravel() for m in (i, j))
+            good = (label[x] != label[y]) & (4 * n[x] >= 3 * n[y]) & (4 * n[y] >= 3 * n[x])
+            x, y = doc[x[good]], doc[y[good]]
+            pairs.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+    both = np.unique(np.concatenate(pairs), axis=0) if pairs else ()
+    if len(both):
+        yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in both.T], ["a", "b"])
 
-    for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
-        data, offsets = arrow_text(batch.column(3))
-        for at in range(0, len(columns[0]), 512):
-            sets = shingle_sets(data, offsets[at : at + 513], SHINGLE)
-            sizes = [len(s) for s in sets]
-            if sum(sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), *(pa.array(np.repeat(c[at : at + 512], sizes)) for c in columns)], ["token", "doc", "label", "n"])
+
+def _every_shingle(shared, sizes: Sizes):
+    """Rows (doc, label, n, text): every shingle that can stand in two documents as (token, doc, label, n)."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        repeated = shared.value[0].array()
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+            data, offsets = arrow_text(batch.column(3))
+            for at in range(0, len(columns[0]), 512):
+                sets = [s[_marked(repeated, (s >> np.uint64(64 - sizes.repeated)).astype(np.int64))] for s in shingle_sets(data, offsets[at : at + 513], SHINGLE)]
+                counts = [len(s) for s in sets]
+                if sum(counts):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), *(pa.array(np.repeat(c[at : at + 512], counts)) for c in columns)], ["token", "doc", "label", "n"])
+
+    return run
 
 
 # ------------------------------------------------------------------ filters
@@ -641,8 +672,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     comps = links.where("tiles = 1").select(F.col("a").alias("node"), F.col("b").alias("comp"))
     large = members.where("tiles > 1")
     if large.limit(1).count():
-        posts = texts.mapInArrow(_prefixes(shared, bits, combine=False), postings).select("token", "doc")
-        comps = comps.union(components(_across_tiles(texts, large, links.where("tiles > 1"), posts), "jaccard-final"))
+        comps = comps.union(components(_across_tiles(texts, large, links.where("tiles > 1"), shared, bits), "jaccard-final"))
     out = spread_join(classed.where("doc_id is not null"), comps.withColumnRenamed("node", "rep"), ["rep"], ["doc_id"], "left")
     out = out.select("doc_id", "n", F.coalesce("comp", "rep").alias("comp")).union(classed.where("doc_id is null").select("doc_id", "n", "rep"))
     result = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
@@ -651,8 +681,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     return result
 
 
-def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, posts: DataFrame) -> DataFrame:
-    """Completes the links of clusters with several tiles. posts: token, doc of the prefixes under the filters' order."""
+def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, shared, bits: Sizes) -> DataFrame:
+    """Completes the links of clusters with several tiles. shared: the filters of repeated and of hot shingles."""
     links = links.select("a", "b")
 
     def labelled(links: DataFrame) -> DataFrame:
@@ -675,15 +705,18 @@ def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, posts: D
         if not merged or not several:
             break
 
-    def compared(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(links, labels, postings of hot shingles that stand in several components) after the pairs of all others."""
+    def compared(cold: DataFrame, hot: DataFrame) -> DataFrame:
+        """Compares the pairs of all shingles of at most HOT_DF documents; returns the documents (doc) of others that stand in several components.
+
+        Both hold token, doc, label, n. A shingle of cold has at most HOT_DF rows, so these meet at once; only those of hot
+        are counted, and joined with their counts.
+        """
         nonlocal links, now
         width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        posts = materialize(posts.join(now.select("doc", "label", "n"), "doc").select("token", "doc", "label", "n"), "jaccard-posts")
-        stats = posts.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token", "df")
-        found = materialize(spread_join(posts, stats, ["token"], ["doc"]), "jaccard-mixed")
-        cold = found.where(F.col("df") <= HOT_DF).select("token", "doc", "label", "n").repartition(width, "token")
-        pairs = materialize(cold.mapInArrow(_cold_pairs, "a bigint, b bigint").distinct(), "jaccard-pairs")
+        stats = hot.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token", "df")
+        found = materialize(spread_join(hot, stats, ["token"], ["doc"]), "jaccard-mixed")
+        few = cold.union(found.where(F.col("df") <= HOT_DF).select("token", "doc", "label", "n")).repartition(width, "token")
+        pairs = materialize(few.mapInArrow(_cold_pairs, "a bigint, b bigint").distinct(), "jaccard-pairs")
         if pairs.limit(1).count():
             counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE_DOCS).cast("int").alias("parts"))
             dealt = spread_join(pairs, counts, ["a"], ["b"]).withColumn("tile", F.pmod(F.xxhash64("b", "parts"), F.col("parts")).cast("int"))
@@ -697,20 +730,22 @@ def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, posts: D
         still = hot.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
         return materialize(spread_join(hot, still, ["token"], ["doc"]).select("doc").distinct(), "jaccard-dense")
 
-    dense = compared(posts)
+    posts = texts.mapInArrow(_prefix_rows(shared, bits), "doc bigint, cold array<bigint>, hot array<bigint>")
+    posts = materialize(posts.join(now.select("doc", "label", "n"), "doc"), "jaccard-posts")
+    dense = compared(*(posts.select(F.explode(part).alias("token"), "doc", "label", "n") for part in ("cold", "hot")))
     if not dense.limit(1).count():
         return links
     # the same among the documents of hot shingles, with prefixes by their exact frequency there. Shingles of one component
     # are no part of what two components share, so they come first in the order and needn't be joined or sent
     own = texts.join(dense, "doc", "left_semi").join(now.select(F.col("doc").alias("__d"), "label", "n"), F.col("doc") == F.col("__d"))
-    every = own.select("doc", "label", "n", "text").mapInArrow(_every_shingle, "token bigint, doc bigint, label bigint, n bigint")
+    every = own.select("doc", "label", "n", "text").mapInArrow(_every_shingle(shared, bits), "token bigint, doc bigint, label bigint, n bigint")
     every = materialize(every, "jaccard-every")
     counts = every.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token", "df")
-    mixed = spread_join(every.select("token", "doc", "n"), counts, ["token"], ["doc"])
+    mixed = spread_join(every, counts, ["token"], ["doc"])
     each = Window.partitionBy("doc")
     ranked = mixed.withColumns({"m": F.count("*").over(each), "r": F.row_number().over(each.orderBy("df", "token"))})
-    prefix = ranked.where("r <= m - ceil(3 * n / 4) + 1").select("token", "doc")
-    dense = compared(prefix)
+    prefix = materialize(ranked.where("r <= m - ceil(3 * n / 4) + 1").select("token", "doc", "label", "n", "df"), "jaccard-prefix")
+    dense = compared(*(prefix.where(x).drop("df") for x in (F.col("df") <= HOT_DF, F.col("df") > HOT_DF)))
     if not dense.limit(1).count():
         return links
     rows = now.join(dense, "doc", "left_semi").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int"))
