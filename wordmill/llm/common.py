@@ -153,6 +153,27 @@ def shuffle_width(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
+def released(run):
+    """run (batches to batches); at the end of a task its worker gives freed memory back to the system.
+
+    Idle workers stay beside the executor's heap while later stages run, and count as the executor's.
+    """
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # there is no such call outside glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 # ------------------------------------------------------------------ words and shingles in numpy
 
 SEGMENT = 1 << 20

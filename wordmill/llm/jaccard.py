@@ -39,10 +39,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _forest, arrow_text, components, fresh, materialize, mix, quoted, scratch, shingle_sets, spread_join, table
+from .common import _forest, arrow_text, components, fresh, materialize, mix, quoted, released, scratch, shingle_sets, spread_join, table
 
 SHINGLE = 5
 HOT_DF = 48
@@ -604,6 +605,81 @@ def _passing(shared, bits: int):
     return run
 
 
+def _known(tokens: DataFrame) -> tuple:
+    """A filter of tokens for every executor, and its bits."""
+    bits = int(np.clip(tokens.count().bit_length() + 6, 16, 27))
+    return tokens.sparkSession.sparkContext.broadcast(id_filter(tokens, bits)), bits
+
+
+# ------------------------------------------------------------------ hot shingles, by rows (doc, label, n, hot)
+
+
+def _lists(batch) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all rows, and how many each row has."""
+    hot = batch.column(batch.num_columns - 1)
+    return hot.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(hot.offsets.to_numpy())
+
+
+def _hot_counts(batches) -> Iterator:
+    """Rows (label, hot): each shingle's documents, and the smallest and largest label, once for each task (or piece of it)."""
+    import pyarrow as pa
+
+    def flush():
+        if held:
+            token, label = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(token, kind="stable")
+            token, label = token[order], label[order]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
+            if len(first):
+                counts = np.diff(np.append(first, len(token))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token[first], counts, np.minimum.reduceat(label, first), np.maximum.reduceat(label, first))], ["token", "df", "x", "y"])
+
+    held, size = [], 0
+    for batch in batches:
+        token, counts = _lists(batch)
+        held.append((token, np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), counts)))
+        size += len(token)
+        if size >= _POSTINGS:
+            yield from flush()
+            held, size = [], 0
+    yield from flush()
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """token, df of the hot shingles that stand in several components."""
+    some = rows.select("label", "hot").mapInArrow(_hot_counts, "token bigint, df bigint, x bigint, y bigint")
+    return some.groupBy("token").agg(F.sum("df").alias("df"), F.min("x").alias("x"), F.max("y").alias("y")).where("x < y").select("token", "df")
+
+
+def _of_hot(known, bits: int):
+    """Postings (token, doc, label, n) of the hot shingles that the filter knows."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            token, counts = _lists(batch)
+            good = _marked(known.value.array(), _slots(token, bits))
+            if good.any():
+                yield pa.RecordBatch.from_arrays([pa.array(token[good]), *(pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64), counts)[good]) for i in range(3))], ["token", "doc", "label", "n"])
+
+    return run
+
+
+def _with_hot(known, bits: int):
+    """The documents that have a hot shingle which the filter knows."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            token, counts = _lists(batch)
+            good = np.repeat(np.arange(len(counts)), counts)[_marked(known.value.array(), _slots(token, bits))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.unique(good)))], ["doc"])
+
+    return run
+
+
 # ------------------------------------------------------------------ the join
 
 
@@ -614,7 +690,7 @@ def _with_text(texts: DataFrame, members: DataFrame) -> DataFrame:
 def _joined(rows: DataFrame, name: str) -> DataFrame:
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(width, "cluster", "tile").sortWithinPartitions("cluster", "tile")
-    return materialize(dealt.mapInArrow(_tiles, "a bigint, b bigint, tiles bigint"), name)
+    return materialize(dealt.mapInArrow(released(_tiles), "a bigint, b bigint, tiles bigint"), name)
 
 
 def _tiled(members: DataFrame, keys: tuple[str, ...] = ("cluster",)) -> DataFrame:
@@ -644,15 +720,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     bits = Sizes.of(docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0)
 
-    counted = docs.mapInArrow(_count_side(bits), "bucket int, a binary, b binary").repartition(width, "bucket").mapInArrow(_count_merge(bits), "bucket int, marks binary, hot binary, doc_id bigint, n bigint, d1 bigint, d2 bigint")
+    counted = docs.mapInArrow(released(_count_side(bits)), "bucket int, a binary, b binary").repartition(width, "bucket").mapInArrow(released(_count_merge(bits)), "bucket int, marks binary, hot binary, doc_id bigint, n bigint, d1 bigint, d2 bigint")
     counted = materialize(counted, "jaccard-counts")
     segments = counted.where("bucket is not null")
     shared = spark.sparkContext.broadcast((_gathered(segments.select("bucket", "marks"), bits.repeated, bits.bucket), _gathered(segments.select("bucket", F.col("hot").alias("marks")), bits.hot, bits.bucket)))
     classed = materialize(_classes(counted.where("bucket is null").select("doc_id", "n", "d1", "d2")), "jaccard-classes")
 
     postings = "token bigint, doc bigint, root bigint"
-    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(shared, bits), postings)
-    trees = materialize(prefixes.repartition(width, "token").mapInArrow(_ties, "a bigint, b array<bigint>"), "jaccard-ties")
+    prefixes = docs.where("doc_id is not null").mapInArrow(released(_prefixes(shared, bits)), postings)
+    trees = materialize(prefixes.repartition(width, "token").mapInArrow(released(_ties), "a bigint, b array<bigint>"), "jaccard-ties")
     ties = trees.mapInArrow(_unpacked, "a bigint, b bigint")
     of = classed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("rep", "n")).alias("m")).select(F.col("doc_id").alias("d"), "m.rep", "m.n")
     edges = ties.distinct().join(of.select(F.col("d").alias("a"), F.col("rep").alias("ra")), "a")
@@ -705,18 +781,23 @@ def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, shared,
         if not merged or not several:
             break
 
-    def compared(cold: DataFrame, hot: DataFrame) -> DataFrame:
+    def compared(posts: DataFrame) -> DataFrame:
         """Compares the pairs of all shingles of at most HOT_DF documents; returns the documents (doc) of others that stand in several components.
 
-        Both hold token, doc, label, n. A shingle of cold has at most HOT_DF rows, so these meet at once; only those of hot
-        are counted, and joined with their counts.
+        posts: doc, cold, hot (arrays of shingles). A cold shingle has at most HOT_DF documents, so these meet at once. Hot
+        ones are counted inside the tasks first; only those that prove to be rare are sent. (Some documents more may return.)
         """
         nonlocal links, now
         width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        stats = hot.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token", "df")
-        found = materialize(spread_join(hot, stats, ["token"], ["doc"]), "jaccard-mixed")
-        few = cold.union(found.where(F.col("df") <= HOT_DF).select("token", "doc", "label", "n")).repartition(width, "token")
-        pairs = materialize(few.mapInArrow(_cold_pairs, "a bigint, b bigint").distinct(), "jaccard-pairs")
+        posts = materialize(posts.join(now.select("doc", "n"), "doc").select("doc", "n", "cold", "hot"), "jaccard-posts")
+        rows = posts.join(now.select("doc", "label"), "doc").select("doc", "label", "n", "cold", "hot")
+        few = rows.select(F.explode("cold").alias("token"), "doc", "label", "n")
+        rare = materialize(_mixed(rows).where(F.col("df") <= HOT_DF).select("token"), "jaccard-rare")
+        if rare.limit(1).count():
+            known, bits = _known(rare)
+            sent = rows.select("doc", "label", "n", "hot").mapInArrow(_of_hot(known, bits), "token bigint, doc bigint, label bigint, n bigint")
+            few = few.union(spread_join(sent, rare, ["token"], ["doc"]).select("token", "doc", "label", "n"))
+        pairs = materialize(few.repartition(width, "token").mapInArrow(_cold_pairs, "a bigint, b bigint").distinct(), "jaccard-pairs")
         if pairs.limit(1).count():
             counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE_DOCS).cast("int").alias("parts"))
             dealt = spread_join(pairs, counts, ["a"], ["b"]).withColumn("tile", F.pmod(F.xxhash64("b", "parts"), F.col("parts")).cast("int"))
@@ -726,13 +807,14 @@ def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, shared,
             if more.limit(1).count():
                 links = links.union(more)
                 now = labelled(links)
-        hot = found.where(F.col("df") > HOT_DF).select("token", "doc").join(now.select("doc", "label"), "doc")
-        still = hot.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-        return materialize(spread_join(hot, still, ["token"], ["doc"]).select("doc").distinct(), "jaccard-dense")
-
-    posts = texts.mapInArrow(_prefix_rows(shared, bits), "doc bigint, cold array<bigint>, hot array<bigint>")
-    posts = materialize(posts.join(now.select("doc", "label", "n"), "doc"), "jaccard-posts")
-    dense = compared(*(posts.select(F.explode(part).alias("token"), "doc", "label", "n") for part in ("cold", "hot")))
+        rows = posts.join(now.select("doc", "label"), "doc").select("doc", "label", "n", "hot")
+        still = materialize(_mixed(rows).where(F.col("df") > HOT_DF).select("token"), "jaccard-still")
+        if not still.limit(1).count():
+            return still.withColumnRenamed("token", "doc")
+        known, bits = _known(still)
+        return materialize(rows.mapInArrow(_with_hot(known, bits), "doc bigint"), "jaccard-dense")
+
+    dense = compared(texts.mapInArrow(released(_prefix_rows(shared, bits)), "doc bigint, cold array<bigint>, hot array<bigint>"))
     if not dense.limit(1).count():
         return links
     # the same among the documents of hot shingles, with prefixes by their exact frequency there. Shingles of one component
@@ -741,11 +823,11 @@ def _across_tiles(texts: DataFrame, large: DataFrame, links: DataFrame, shared,
     every = own.select("doc", "label", "n", "text").mapInArrow(_every_shingle(shared, bits), "token bigint, doc bigint, label bigint, n bigint")
     every = materialize(every, "jaccard-every")
     counts = every.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token", "df")
-    mixed = spread_join(every, counts, ["token"], ["doc"])
+    mixed = spread_join(every.select("token", "doc", "n"), counts, ["token"], ["doc"])
     each = Window.partitionBy("doc")
     ranked = mixed.withColumns({"m": F.count("*").over(each), "r": F.row_number().over(each.orderBy("df", "token"))})
-    prefix = materialize(ranked.where("r <= m - ceil(3 * n / 4) + 1").select("token", "doc", "label", "n", "df"), "jaccard-prefix")
-    dense = compared(*(prefix.where(x).drop("df") for x in (F.col("df") <= HOT_DF, F.col("df") > HOT_DF)))
+    prefix = ranked.where("r <= m - ceil(3 * n / 4) + 1")
+    dense = compared(prefix.groupBy("doc").agg(*(F.collect_list(F.when(x, F.col("token"))).alias(k) for k, x in (("cold", F.col("df") <= HOT_DF), ("hot", F.col("df") > HOT_DF)))))
     if not dense.limit(1).count():
         return links
     rows = now.join(dense, "doc", "left_semi").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int"))
@@ -774,17 +856,33 @@ def _chosen(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return some.withColumn(mark, F.xxhash64(*quoted(plain))).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(mark, nth)
 
 
+def _apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs in two parts by a filter of ids: rows of none of them, which need no join, and the rest (some others too)."""
+    bits = int(np.clip(ids.count().bit_length() + 4, 16, 30))
+    inside = docs.sparkSession.sparkContext.broadcast(id_filter(ids, bits))
+
+    @F.pandas_udf("boolean")
+    def marked(key: pd.Series) -> pd.Series:
+        return pd.Series(_marked(inside.value.array(), _slots(key.to_numpy(), bits)))
+
+    key = F.col("doc_id").cast("bigint")
+    told = key.isNotNull() & marked(F.coalesce(key, F.lit(0).cast("bigint")))
+    return docs.where(~told), docs.where(told)
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component stays (the smallest id), with all columns; rows without id stay; of repeated rows, one."""
     found = similar_documents(docs)
     gone, twice = fresh(docs.columns, "gone", "twice")
     counts = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("times"))
-    kept = docs.join(counts.where("c <> doc_id").select(F.col("doc_id").alias(gone)), F.col("doc_id").cast("bigint") == F.col(gone), "left_anti")
-    again = counts.where("times > 1 and c = doc_id").select(F.col("doc_id").alias(twice))
+    leave = materialize(counts.where("c <> doc_id").select(F.col("doc_id").alias(gone)), "jaccard-gone")
+    again = materialize(counts.where("times > 1 and c = doc_id").select(F.col("doc_id").alias(twice)), "jaccard-again")
+    kept, looked = _apart(docs, leave.union(again))
+    looked = looked.join(leave, F.col("doc_id").cast("bigint") == F.col(gone), "left_anti")
     if again.limit(1).count():
-        one = _chosen(kept, again, twice)
-        kept = kept.join(again, F.col("doc_id").cast("bigint") == F.col(twice), "left_anti").unionByName(one)
-    return kept.select(*quoted(docs.columns))
+        one = _chosen(looked, again, twice)
+        looked = looked.join(again, F.col("doc_id").cast("bigint") == F.col(twice), "left_anti").unionByName(one)
+    return kept.unionByName(looked).select(*quoted(docs.columns))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

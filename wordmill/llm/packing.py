@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import released, table
 
 LENGTHS = (2048, 4096, 8192, 16384, 32768)
 OVERHEAD, QUADRATIC = 32.0, 0.1
@@ -160,7 +160,7 @@ def pack_documents(docs: DataFrame, with_text: bool = False, lengths: tuple[int,
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
     dealt = rows.repartition(width, "shard").sortWithinPartitions("shard")
     schema = "doc_id bigint, piece int, start bigint, length bigint, bin_id bigint, capacity bigint, bin_offset bigint" + (", text string" if with_text else "")
-    return dealt.mapInArrow(_pack_shards(with_text, lengths), schema)
+    return dealt.mapInArrow(released(_pack_shards(with_text, lengths)), schema)
 
 
 def lower_bound(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> float:

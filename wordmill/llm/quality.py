@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_text, crc_fold, numbered_columns, quoted, table
+from .common import arrow_text, crc_fold, numbered_columns, quoted, released, table
 
 WIDTH, FILTERS, CHUNK = 8, 16, 512
 SAMPLE, EPOCHS = 1500, 8
@@ -190,7 +190,7 @@ def with_scores(docs: DataFrame, model: Network | float, keep: list[str], name:
             yield pa.RecordBatch.from_arrays([pa.array(score, pa.float64()), *batch.columns[1:]], out)
 
     schema = ", ".join(["score double", *(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[1:])])
-    return plain.mapInArrow(run, schema).toDF(name, *keep).select(*quoted([*keep, name]))
+    return plain.mapInArrow(released(run), schema).toDF(name, *keep).select(*quoted([*keep, name]))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

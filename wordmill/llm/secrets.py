@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered_columns, place_of, table
+from .common import numbered_columns, place_of, released, table
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER, PIECE, OVERLAP, NESTED = 16 << 20, 4 << 20, 64 << 10, 64
@@ -564,7 +564,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                 columns[counted] = pa.array([o if t is s or s is None else len(s) for o, t, s in zip(old, texts, new)], batch.schema.field(counted).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(released(run), plain.schema).toDF(*docs.columns)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
