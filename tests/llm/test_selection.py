@@ -243,6 +243,31 @@ def test_neighbours_few(spark):
     assert N.nearest(df.where("vec_id = 0"), "vec_id = 0").count() == 0
 
 
+def test_neighbours_few_exchanges(spark):
+    """However many dealings begin the graph, they and a round take few exchanges: each costs the driver threads and plans."""
+    rng = np.random.default_rng(3)
+    points = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "u bigint, x array<double>")
+    context = spark.sparkContext._jsc.sc()
+    before = context.newShuffleId()
+    graph = N.build_graph(points, 200_000, 8, change=1.0)
+    assert context.newShuffleId() - before <= 16
+    assert graph.count() > 500
+
+
+def test_neighbours_both_ways(spark):
+    """Reverse neighbours come in the same exchange; of a hub's the nearest, or the new ones first."""
+    rows = [(i, [1000, i + 1], [float(i), 0.5], [i % 40 == 0, False]) for i in range(200)] + [(1000, [5, 300], [5.0, 9.0], [False, True])]
+    graph = spark.createDataFrame(rows, "u bigint, ids array<bigint>, dist array<double>, new array<boolean>").repartition(3)
+    near = {r["u"]: r for r in N._both_ways(graph, 6, 4, True).collect()}
+    assert set(near) == {*range(201), 300, 1000}
+    assert near[1000]["ids"] == [5, 300, 0, 1, 2, 3, 4, 5] and near[7]["ids"] == [1000, 8, 6] and near[300]["ids"] == [1000] and near[300]["new"] == [True]
+    some = {r["u"]: r for r in N._both_ways(graph, 6, 4, False).collect()}
+    assert len(some[1000]["ids"]) == 8 and some[1000]["ids"][:2] == [5, 300] and set(some[1000]["ids"][2:7]) == {0, 40, 80, 120, 160} and some[1000]["new"][2:] == [True] * 5 + [False]
+    ids = [0, -1, 7, 2**63 - 1, -(2**63), *range(100, 150)]
+    dealt = spark.createDataFrame([(i,) for i in ids], "i bigint").select(N._part("i", 37).alias("p")).collect()
+    assert N._part_of(np.array(ids), 37).tolist() == [r["p"] for r in dealt]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(3000), r.randrange(3000)) for _ in range(1500)] + [(i, i + 1) for i in range(5000, 5200)] + [(9000, i) for i in range(9001, 9400)]

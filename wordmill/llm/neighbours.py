@@ -12,6 +12,8 @@ Equal vectors form one class (its smallest id, and the smallest ids that a resul
   expanded are joined with the graph (both directions), the neighbours' distances are taken, and the beam is merged. It
   ends when every member of every beam is expanded.
 * Lists of ids meet the vectors by hashed parts of bounded size; a part gets each vector it needs once.
+* A step has few exchanges: rows of several kinds go by one key to a task that puts them together. Each exchange costs the
+  driver threads, plans and the figures of its tasks, whatever the rows are.
 * All distances are sums of squared differences in double precision, so the beam is ranked exactly whatever the vectors'
   offset or size is; vectors of extreme size are scaled by a power of two for that. (Products of matrices only tell which
   pairs are worth a difference.) Classes become ids again, ties going to the smaller id.
@@ -29,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scratch, spread_join, table
+from .common import discard, materialize, mix, scratch, spread_join, table
 
 TOP, NEIGHBOURS, BLOCK, CHANGE, OFFERS = 10, 32, 512, 0.12, 8
 BEAM, EXPAND, ENTRIES = 128, 64, 32
@@ -184,24 +186,25 @@ def _mean(points: DataFrame, size: int) -> np.ndarray:
 # ------------------------------------------------------------------ the graph
 
 
-def _start(points: DataFrame, count: int, mean: np.ndarray, k: int, seed: int) -> DataFrame:
-    """Each point's nearest in a block of points on the same sides of random hyperplanes."""
+def _start(points: DataFrame, count: int, mean: np.ndarray, k: int, seeds: range) -> DataFrame:
+    """Each point's nearest in a block of points on the same sides of random hyperplanes; a dealing for each seed, all in one pass."""
     width = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = min(60, max(0, (count // BLOCK).bit_length() - 1))
-    planes = np.random.default_rng(seed).normal(size=(bits, len(mean)))
+    planes = [np.random.default_rng(seed).normal(size=(bits, len(mean))) for seed in seeds]
 
     def side(batches):
         import pyarrow as pa
 
         for batch in batches:
             x = _numbers(batch.column(1))
-            code = (((x - mean) @ planes.T > 0) @ (1 << np.arange(bits, dtype=np.int64))) if bits and len(x) else np.zeros(len(x), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int64))], ["u", "x", "code"])
+            for seed, plane in zip(seeds, planes):
+                code = (((x - mean) @ plane.T > 0) @ (1 << np.arange(bits, dtype=np.int64))) if bits and len(x) else np.zeros(len(x), np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(x), seed, np.int32)), pa.array(code.astype(np.int64))], ["u", "x", "seed", "code"])
 
-    coded = points.mapInArrow(side, "u bigint, x array<double>, code bigint")
-    parts = coded.groupBy("code").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts"))
-    blocks = spread_join(coded, parts, ["code"], ["u"]).withColumn("part", F.pmod(F.xxhash64("u", F.lit(seed)), F.col("parts")).cast("int"))
-    dealt = blocks.select("code", "part", "u", "x").repartition(width, "code", "part").sortWithinPartitions("code", "part")
+    coded = points.mapInArrow(side, "u bigint, x array<double>, seed int, code bigint")
+    parts = coded.groupBy("seed", "code").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts"))
+    blocks = spread_join(coded, parts, ["seed", "code"], ["u"]).withColumn("part", F.pmod(F.xxhash64("u", "seed"), F.col("parts")).cast("int"))
+    dealt = blocks.select("seed", "code", "part", "u", "x").repartition(width, "seed", "code", "part").sortWithinPartitions("seed", "code", "part")
 
     def nearest(batches):
         def near(ids, x):
@@ -216,8 +219,8 @@ def _start(points: DataFrame, count: int, mean: np.ndarray, k: int, seed: int) -
 
         now, ids, x = None, [], []
         for batch in batches:
-            rows, names = _numbers(batch.column(3)), batch.column(2).to_pylist()
-            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            rows, names = _numbers(batch.column(4)), batch.column(3).to_pylist()
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
                 if key != now:
                     if ids and (out := near(ids, x)) is not None:
                         yield out
@@ -231,21 +234,85 @@ def _start(points: DataFrame, count: int, mean: np.ndarray, k: int, seed: int) -
 
 
 def _both_ways(graph: DataFrame, most: int, width: int, nearest: bool) -> DataFrame:
-    """u, ids, new: neighbours in both directions; of the reverse ones the `most` nearest, or new ones first and then any."""
-    edges = graph.select("u", F.explode(F.arrays_zip("ids", "dist", "new")).alias("e"))
-    drawn = F.when(F.col("e.new"), 0.0).otherwise(1.0) + F.pmod(F.xxhash64("u", "e.ids"), F.lit(1 << 20)) / float(1 << 20)
-    turned = edges.select(F.col("e.ids").alias("u"), F.array("u").alias("ids"), F.array(F.col("e.dist") if nearest else drawn).alias("dist"), F.array("e.new").alias("new"))
-    back = _merged(turned, most, width).select("u", F.col("ids").alias("ids2"), F.col("new").alias("new2"))
-    both = graph.select("u", "ids", "new").join(back, "u", "full")
-    none, no = F.array().cast("array<bigint>"), F.array().cast("array<boolean>")
-    return both.select("u", F.concat(F.coalesce("ids", none), F.coalesce("ids2", none)).alias("ids"), F.concat(F.coalesce("new", no), F.coalesce("new2", no)).alias("new"))
+    """u, ids, new: neighbours in both directions; of the reverse ones the `most` nearest, or new ones first and then any.
+
+    One exchange: a task sends its graph rows as they are, and the reverse ones that it has, cut.
+    """
+
+    def edges(batch):
+        sizes = batch.column(1).value_lengths().to_numpy()
+        return np.repeat(batch.column(0).to_numpy(), sizes), *(batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+
+    def marked(rows, back: bool):
+        import pyarrow as pa
+
+        out = _packed(*rows)
+        return pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(out.num_rows, back))], [*out.schema.names, "back"])
+
+    def cut(held):
+        return _best(*(np.concatenate(c) for c in zip(*held)), most)
+
+    def turn(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, v, dist, new = rows = edges(batch)
+            yield marked(rows, False)
+            drawn = dist if nearest else np.where(new, 0.0, 1.0) + (mix(_hashed(u) ^ v.view(np.uint64)) >> np.uint64(44)) / float(1 << 20)
+            held.append((v, u, drawn, new))
+            size += len(u)
+            if size > 2_000_000:
+                held = [cut(held)]
+                size = len(held[0][0])
+        if size:
+            yield marked(cut(held), True)
+
+    def meet(batches):
+        held, own, size = [], [], 0
+        for batch in batches:
+            back = batch.column(4).to_numpy(zero_copy_only=False)
+            if not back.all():
+                own.append(edges(batch.take(_positions(~back))))
+            if back.any():
+                held.append(edges(batch.take(_positions(back))))
+                size += len(held[-1][0])
+            if size > 2_000_000:
+                held = [cut(held)]
+                size = len(held[0][0])
+        rows = [np.concatenate(c) for c in zip(*own, *([cut(held)] if size else []))]
+        if rows:
+            order = np.argsort(rows[0], kind="stable")  # the own ones stay before the reverse ones
+            yield _packed(*(c[order] for c in rows))
+
+    return graph.mapInArrow(turn, _GRAPH + ", back boolean").repartition(width, "u").mapInArrow(meet, _GRAPH).select("u", "ids", "new")
+
+
+def _hashed(values: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a bigint, as unsigned numbers."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x, n):
+        return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+    h = (np.uint64(42 + 8) + p5) ^ turned(values.astype(np.int64).view(np.uint64) * p2, 31) * p1
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
 
 
 def _part(column: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(column, F.lit(5)), F.lit(parts)).cast("int")
+    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+
+
+def _part_of(values: np.ndarray, parts: int) -> np.ndarray:
+    """The same in numpy."""
+    return (_hashed(values).view(np.int64) % parts).astype(np.int32)
 
 
 _MAIL = "part int, kind int, a bigint, ids array<bigint>, new array<boolean>, far double, x array<double>"
+_MAIL_NAMES = ["part", "kind", "a", "ids", "new", "far", "x"]
 
 
 def _mail(kind: int, part: Column, a: Column, ids=None, new=None, far=None, x=None) -> list[Column]:
@@ -272,6 +339,15 @@ def _positions(mask: np.ndarray):
     return pa.array(np.flatnonzero(mask))
 
 
+def _different(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs, sorted."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = np.ones(len(a), bool)
+    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[keep], b[keep]
+
+
 def _vectors(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, far, matrix) sorted by id."""
     ids = np.concatenate([b.column(2).to_numpy() for b in batches])
@@ -284,13 +360,47 @@ def _vectors(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _descend(points: DataFrame, graph: DataFrame, k: int, parts: int, width: int) -> DataFrame:
     """One round of NN-descent."""
     infinite = F.lit(float("inf"))
-    farthest = graph.select("u", F.when(F.size("ids") < k, infinite).otherwise(F.element_at("dist", -1)).alias("far"))
     lists = materialize(_both_ways(graph, k, width, False).where(F.exists("new", lambda n: n)), "nn-lists")
     place = _part(F.col("u"), parts)
-    need = lists.select(place.alias("p"), F.explode(F.array_union("ids", F.array("u"))).alias("u")).distinct()
-    known = points.join(farthest, "u", "left").select("u", "x", F.coalesce("far", infinite).alias("far"))
-    vectors = need.join(known, "u").select(*_mail(0, F.col("p"), F.col("u"), far=F.col("far"), x=F.col("x")))
-    mail = lists.select(*_mail(1, place, F.col("u"), ids=F.col("ids"), new=F.col("new"))).union(vectors).repartition(parts, "part")
+
+    def ask(batches):
+        """The vectors that lists need, with the part that needs them, once for each batch."""
+        import pyarrow as pa
+
+        for batch in batches:
+            u, p = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sizes = batch.column(2).value_lengths().to_numpy()
+            u, p = _different(np.concatenate([batch.column(2).flatten().to_numpy(), u]), np.concatenate([np.repeat(p, sizes), p]))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(p)], ["u", "p"])
+
+    def send(batches):
+        """Of a task's vectors: to each part those that it needs, with the distance of the farthest neighbour they hold."""
+        import pyarrow as pa
+
+        got: list[list] = [[], [], []]
+        for batch in batches:
+            kind = batch.column(1).to_numpy()
+            for i in np.unique(kind).tolist():
+                got[i].append(batch.take(_positions(kind == i)))
+        if not got[0] or not got[2]:
+            return
+        ids, far, x = _vectors(got[0])
+        far = np.full(len(ids), np.inf)
+        for b in got[1]:
+            far[np.searchsorted(ids, b.column(2).to_numpy())] = b.column(5).to_numpy()
+        u, p = _different(*(np.concatenate([b.column(i).to_numpy() for b in got[2]]) for i in (2, 0)))
+        step = max(1, (1 << 20) // max(1, x.shape[1]))
+        for i in range(0, len(u), step):
+            at = np.searchsorted(ids, u[i : i + step])
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(p[i : i + step]), pa.array(np.zeros(n, np.int32)), pa.array(ids[at]), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_())), pa.array(far[at]), _lists(x[at].ravel(), np.arange(n + 1) * x.shape[1], pa.float64())], _MAIL_NAMES)
+
+    nowhere, u = F.lit(None), F.col("u")
+    need = lists.select("u", place.alias("p"), "ids").mapInArrow(ask, "u bigint, p int")
+    farthest = graph.select(*_mail(1, nowhere, u, far=F.when(F.size("ids") < k, infinite).otherwise(F.element_at("dist", -1))))
+    asked = points.select(*_mail(0, nowhere, u, x=F.col("x"))).union(farthest).union(need.select(*_mail(2, F.col("p"), u)))
+    vectors = asked.repartition(parts, "a").mapInArrow(send, _MAIL)
+    mail = lists.select(*_mail(1, place, u, ids=F.col("ids"), new=F.col("new"))).union(vectors).repartition(parts, "part")
 
     def meet(batches):
         for rows in _by_part(batches):
@@ -325,19 +435,19 @@ def _descend(points: DataFrame, graph: DataFrame, k: int, parts: int, width: int
                 yield _packed(*_best(*(np.concatenate(c) for c in zip(*found)), k))
 
     old = graph.select("u", "ids", "dist", F.transform("new", lambda _: F.lit(False)).alias("new"))
-    return _merged(mail.mapInArrow(meet, _GRAPH).union(old), k, width)
+    out = materialize(_merged(mail.mapInArrow(meet, _GRAPH).union(old), k, width), "nn-graph")
+    discard(lists)
+    return out
 
 
 def build_graph(points: DataFrame, count: int, size: int, k: int = NEIGHBOURS, change: float = CHANGE) -> DataFrame:
     """u, ids, dist (squared), new: points (u, x array<double>) with their nearest found."""
     width, parts = _widths(points, count)
     mean = _mean(points, size)
-    first = _start(points, count, mean, k, 1)
-    for seed in range(2, 3 + max(1, (count // BLOCK).bit_length())):
-        first = first.union(_start(points, count, mean, k, seed))
+    first = _start(points, count, mean, k, range(1, 3 + max(1, (count // BLOCK).bit_length())))
     graph = materialize(_merged(first, k, width), "nn-graph")
     for _ in range(_MOST):
-        graph, before = materialize(_descend(points, graph, k, parts, width), "nn-graph"), graph
+        graph, before = _descend(points, graph, k, parts, width), graph
         discard(before)
         changed = graph.agg(F.sum(F.size(F.filter("new", lambda n: n))), F.sum(F.size("new"))).first()
         if (changed[0] or 0) <= change * (changed[1] or 0):
@@ -364,12 +474,49 @@ def search(points: DataFrame, graph: DataFrame, queries: DataFrame, count: int,
     target = materialize(queries.join(points, F.col("q") == F.col("u")).select("q", F.col("x").alias("y")), "nn-queries")
     # a few points taken by their hash are where every search begins, besides the query's own neighbours
     gates = [r["u"] for r in points.select("u").orderBy(F.xxhash64("u", F.lit(3)), "u").limit(ENTRIES).collect()]
-    entry = target.select("q", F.explode(F.array(*map(F.lit, gates)) if gates else F.array().cast("array<bigint>")).alias("v"))
-    wanted = entry.union(target.select("q").join(around, F.col("q") == F.col("u")).select("q", F.explode("near").alias("v")))
+    entry = target.select("q", (F.array(*map(F.lit, gates)) if gates else F.array()).cast("array<bigint>").alias("near"))
+    wanted = entry.union(target.select("q").join(around, F.col("q") == F.col("u")).select("q", "near"))
     held = points.select(*_mail(0, _part(F.col("u"), parts), F.col("u"), x=F.col("x")))
     infinite = F.lit(float("inf"))
     state = None
 
+    def address(batches):
+        """Rows sorted by query, its vector and limit first: what it wants, by the part that holds it, with vector and limit."""
+        import pyarrow as pa
+
+        def letters(held):
+            out: list[tuple] = []
+            for q, y, far, wants in held:
+                v = np.unique(np.concatenate([np.zeros(0, np.int64), *wants]))
+                v = v[v != q]
+                p = _part_of(v, parts)
+                order = np.argsort(p, kind="stable")
+                ends = _starts(p[order])
+                n = len(ends) - 1
+                out.append((p[order][ends[:-1]], np.full(n, q), np.diff(ends), v[order], np.full(n, far), np.tile(y, (n, 1))))
+            p, q, sizes, v, far, y = (np.concatenate(c) for c in zip(*out))
+            n = len(p)
+            return pa.RecordBatch.from_arrays([pa.array(p), pa.array(np.ones(n, np.int32)), pa.array(q), _lists(v, np.append(0, np.cumsum(sizes)), pa.int64()), pa.nulls(n, pa.list_(pa.bool_())), pa.array(far), _lists(y.ravel(), np.arange(n + 1) * y.shape[1], pa.float64())], _MAIL_NAMES)
+
+        held, size = [], 0
+        for batch in batches:
+            ids, x, fars = batch.column(3), batch.column(6), batch.column(5).to_pylist()
+            for i, (kind, q) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if not held or held[-1][0] != q:
+                    if size > 4_000_000:
+                        yield letters(held)
+                        held, size = [], 0
+                    held.append([q, None, math.inf, []])
+                if kind == 0:
+                    held[-1][1] = x[i].values.to_numpy()
+                elif kind == 1:
+                    held[-1][2] = fars[i]
+                else:
+                    held[-1][3].append(ids[i].values.to_numpy())
+                    size += min(parts, len(held[-1][3][-1])) * len(held[-1][1])  # places that copies of the vector take, at most
+        if held:
+            yield letters(held)
+
     def measure(batches):
         import pyarrow as pa
 
@@ -377,7 +524,7 @@ def search(points: DataFrame, graph: DataFrame, queries: DataFrame, count: int,
             if 1 not in rows:
                 continue
             ids, _, x = _vectors(rows[0])
-            asked, far, y = _vectors(rows[2])
+            asked, far, y = _vectors(rows[1])
             q = np.concatenate([np.repeat(b.column(2).to_numpy(), b.column(3).value_lengths().to_numpy()) for b in rows[1]])
             v = np.concatenate([b.column(3).flatten().to_numpy() for b in rows[1]])
             a, b = np.searchsorted(asked, q), np.searchsorted(ids, v)
@@ -420,20 +567,19 @@ def search(points: DataFrame, graph: DataFrame, queries: DataFrame, count: int,
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *columns, pa.array([r[5] for r in rows], pa.int64())], ["q", "ids", "dist", "done", "go", "seen"])
 
     for _ in range(_MOST):
-        pairs = wanted.where("q <> v").groupBy(_part(F.col("v"), parts).alias("p"), "q").agg(F.collect_set("v").alias("ids"))
-        limits = target if state is None else target.join(state.select("q", F.when(F.size("ids") < beam, infinite).otherwise(F.element_at("dist", -1)).alias("far")), "q", "left")
-        limits = limits.withColumn("far", infinite) if state is None else limits
-        asked = pairs.join(limits, "q")
-        lists = asked.select(*_mail(1, F.col("p"), F.col("q"), ids=F.col("ids")))
-        ys = asked.select(*_mail(2, F.col("p"), F.col("q"), far=F.coalesce("far", infinite), x=F.col("y")))
-        measured = held.union(lists).union(ys).repartition(parts, "part").mapInArrow(measure, _STATE + ", seen bigint")
+        nowhere, q = F.lit(None), F.col("q")
+        rows = target.select(*_mail(0, nowhere, q, x=F.col("y"))).union(wanted.select(*_mail(2, nowhere, q, ids=F.col("near"))))
+        if state is not None:
+            rows = rows.union(state.select(*_mail(1, nowhere, q, far=F.when(F.size("ids") < beam, infinite).otherwise(F.element_at("dist", -1)))))
+        letters = rows.repartition(width, "a").sortWithinPartitions("a", "kind").mapInArrow(address, _MAIL)
+        measured = held.union(letters).repartition(parts, "part").mapInArrow(measure, _STATE + ", seen bigint")
         together = measured if state is None else measured.union(state.select("q", "ids", "dist", "done", "seen"))
         state, before = materialize(together.repartition(width, "q").mapInArrow(merge, _MARKED), "nn-state"), state
         discard(before)
         front = state.select("q", F.explode("go").alias("v"))
         if not front.limit(1).count():
             return state.select("q", "ids", "dist", "seen")
-        wanted = front.join(around, F.col("v") == F.col("u")).select("q", F.explode("near").alias("v"))
+        wanted = front.join(around, F.col("v") == F.col("u")).select("q", "near")
     raise RuntimeError("the search did not settle")
 
 
